@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this folder and of the pipeline, for ``__spark_entry__``."""
 
-from . import quality_rules
+from . import mixing, quality_rules, secret_scan
 
-_MODULES = [quality_rules]
+_MODULES = [quality_rules, mixing, secret_scan]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
