@@ -27,6 +27,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -68,21 +69,13 @@ class Shingler:
         known = len(self.codes)
         ids = self.codes.of(words)
         if len(self.codes) > known:
-            new = list(self.codes)[known:] if known == 0 else self._since(known)
+            new = list(islice(reversed(self.codes), len(self.codes) - known))[::-1]
             if len(self.codes) > len(self.hashes):
                 self.hashes = np.concatenate([self.hashes, np.zeros(max(len(self.codes), 1024), np.uint64)])
             self.hashes[known : len(self.codes)] = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
         width = min(WORDS, len(words))
         return np.unique(windows(self.hashes[ids], width) + np.uint64(width))
 
-    def _since(self, known: int) -> list[bytes]:
-        out = []
-        for word in reversed(self.codes):
-            if len(out) == len(self.codes) - known:
-                break
-            out.append(word)
-        return out[::-1]
-
 
 def minima(shingles: np.ndarray, block: int = 2048) -> np.ndarray:
     """For each universal hash (a x + b mod 2**64) the upper 32 bits of its minimum over the set."""
