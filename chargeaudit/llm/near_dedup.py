@@ -10,10 +10,12 @@ least 75 % of their union.
 3. Per band key the smallest document is the pivot and every other one is a candidate with it: as many pairs as
    rows, however large the bucket.  Pairs whose minima agree too little to reach the threshold are dropped, and
    the rest is confirmed on full sets, recomputed from the texts of candidates alone.
-4. Buckets whose documents still lie in several components lose their pivot, whose pairs are all decided, and
-   go on.  Small ones are paired off across components; large ones get several pivots a round until they are
-   small or of one component.  So no pair of a bucket is left undecided unless a chain links it anyway.
-5. Components of the confirmed links by alternating large-star and small-star.
+4. Components of the confirmed links by alternating large-star and small-star.
+5. Buckets whose documents still lie in several components are open.  Documents that open buckets chain together
+   form a cell.  In a cell all members outside its largest component are compared on full sets with all
+   members, in blocks of bounded size, and a block returns a spanning forest of the links it finds.  So no
+   pair of a bucket is left undecided unless a chain links it anyway, and no block emits more rows than it read.
+6. Components again, of the old labels and the new links.
 
 A pair at exactly 75 % is missed by all bands with probability (1 - 0.75 ** ROWS) ** BANDS, below 1e-5.
 Sets are held as 64-bit hashes of shingles.
@@ -36,16 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCodes, cut, has_columns, slices, table, texts_of, windows, written
+from .common import WordCodes, cut, has_columns, join_small, slices, table, texts_of, windows, written
 
 WORDS = 5
 PERCENT = 75
 BANDS = 32
 ROWS = 4
-#: A bucket of at most so many documents is paired off at once.
-SMALL = 64
-#: Pivots that a larger bucket gets in a round.
-PIVOTS = 16
+#: Members of a cell that a block compares, outside and inside the largest component, about.
+OUTSIDE = 512
+MEMBERS = 2048
 #: Agreement of the byte-sized minima below which a pair is not confirmed: over six standard deviations under the threshold.
 LEAST_AGREEMENT = 0.52
 
@@ -139,17 +140,21 @@ def agreeing(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets share at least PERCENT of their union; docs: one row per id that occurs."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi")
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and s, the full shingle set, of the documents in ``ids``."""
+    wanted = join_small(docs, ids.select(F.col("id").alias("_id")), docs["doc_id"] == F.col("_id"), "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             shingler = Shingler()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingler(t).tobytes() for t in texts_of(batch, "text")], pa.binary())], names=["id", "s"])
 
-    full = written(wanted.select("doc_id", "text").mapInArrow(sets, "id long, s binary"), "sets", "snappy").dropDuplicates(["id"])
+    return written(wanted.select("doc_id", "text").mapInArrow(work, "id long, s binary"), "sets", "snappy").dropDuplicates(["id"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets share at least PERCENT of their union."""
+    full = full_sets(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     both = pairs.join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,38 +193,92 @@ def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("component", "c").hint("merge"), "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("c"))
 
 
-def open_buckets(rows: DataFrame) -> DataFrame:
-    """Those rows (bucket, id, c) whose bucket holds several components, with the bucket's number of rows."""
-    many = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("bucket", "size")
-    return rows.join(many.hint("merge"), "bucket")
+def open_rows(rows: DataFrame) -> DataFrame:
+    """Those rows (bucket, id, c) whose bucket holds several components."""
+    many = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("bucket")
+    return rows.join(many.hint("merge"), "bucket", "left_semi")
+
+
+def shared(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Intersection sizes of all sets in ``x`` with all in ``y``, by products of 0/1 matrices, ``width`` shingles at a time."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    xs, ys = (np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (x, y))
+    both = np.intersect1d(xs, ys)
+    marks = []
+    for values, sets in ((xs, x), (ys, y)):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(both, values)
+        hit = (at < len(both)) & (both[np.minimum(at, max(len(both) - 1, 0))] == values) if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(at[hit], kind="stable")
+        marks.append((row[hit][order], at[hit][order], len(sets)))
+    for low in range(0, len(both), width):
+        parts = []
+        for row, at, n in marks:
+            a, b = np.searchsorted(at, [low, low + width])
+            m = np.zeros((n, min(width, len(both) - low)), np.float32)
+            m[row[a:b], at[a:b] - low] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def forest(data: pa.Table) -> pa.Table:
+    """Links that join components of one block: rows (outside, id, c, s), each outside row against each other row."""
+    out = np.asarray(data.column("outside"))
+    ids, c = np.asarray(data.column("id")), data.column("c").to_pylist()
+    sets = [np.frombuffer(s, np.uint64) for s in data.column("s").to_pylist()]
+    x, y = np.flatnonzero(out), np.flatnonzero(~out)
+    found: list[tuple[int, int]] = []
+    if len(x) and len(y):
+        both = shared([sets[i] for i in x], [sets[i] for i in y])
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        linked = 100 * both >= PERCENT * (sizes[x][:, None] + sizes[y][None, :] - both)
+        parent: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        for i, j in np.argwhere(linked):
+            p, q = top(c[x[i]]), top(c[y[j]])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                found.append((int(ids[x[i]]), int(ids[y[j]])))
+    columns = list(zip(*found, strict=True)) or [(), ()]
+    return pa.table([pa.array(v, pa.int64()) for v in columns], names=["a", "b"])
+
+
+def cell_links(todo: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components in the open rows ``todo`` (bucket, id, c)."""
+    low = todo.groupBy("bucket").agg(F.min("id").alias("a"))
+    cells = components(todo.join(low.hint("merge"), "bucket").select("a", F.col("id").alias("b")).filter("a <> b").distinct())
+    members = todo.select("id", "c").distinct()
+    cell = members.join(cells.hint("merge"), "id", "left").select("id", "c", F.coalesce("component", "id").alias("cell"))
+    sizes = cell.groupBy("cell", "c").agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"))
+    sizes = sizes.select("cell", F.ceil(F.col("n") / MEMBERS).cast("int").alias("chunks"), F.greatest(F.ceil((F.col("n") - F.col("most.n")) / OUTSIDE), F.lit(1)).cast("int").alias("parts"), F.col("most.c").alias("largest"))
+    rows = cut(cell.join(sizes.hint("merge"), "cell"))
+    full = full_sets(docs, rows.select("id"))
+    draw = F.xxhash64("id")
+    inside = rows.select("cell", F.pmod(draw, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("outside"), "id", "c")
+    out = rows.filter("c <> largest").select("cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(draw, "parts").cast("int").alias("part"), F.lit(True).alias("outside"), "id", "c")
+    both = inside.union(out).join(full.hint("merge"), "id")
+    return both.select("cell", "chunk", "part", "outside", "id", "c", "s").groupBy("cell", "chunk", "part").applyInArrow(forest, "a long, b long")
 
 
 def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     """id, component of the class representatives in ``sketch`` that are linked with another."""
     rows = sketch.select("id", F.explode("bands").alias("bucket"))
     pivot = rows.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("size")).filter("size > 1").select("bucket", "a")
-    rows = written(rows.join(pivot.hint("merge"), "bucket").select("bucket", "id", "a"), "buckets")
-    pairs = rows.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    edges = cut(confirmed(cut(agreeing(pairs, sketch)), docs))
-    found = components(edges)
-    left = rows.filter("id <> a").select("bucket", "id")
-    while True:
-        todo = cut(open_buckets(labelled(left, found)))
-        if todo.isEmpty():
-            return found
-        small = todo.filter(F.col("size") <= SMALL)
-        other = small.select("bucket", F.col("id").alias("b"), F.col("c").alias("d"))
-        pairs = small.join(other.hint("merge"), "bucket").filter("c <> d AND id < b").select(F.col("id").alias("a"), "b")
-        large = todo.filter(F.col("size") > SMALL)
-        # one pivot of each part of a large bucket; a part is a residue of the hashed component and id
-        part = F.pmod(F.xxhash64("bucket", "c", "id"), F.lit(PIVOTS))
-        pivots = large.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("id", "c")).alias("p")).select("bucket", F.col("p.id").alias("a"), F.col("p.c").alias("d"))
-        pivots = cut(pivots)
-        star = large.join(pivots.hint("merge"), "bucket").filter("c <> d").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        more = cut(confirmed(cut(agreeing(pairs.union(star).distinct(), sketch)), docs))
-        edges = cut(edges.union(more))
-        found = components(edges)
-        left = large.select("bucket", "id").join(pivots.select("bucket", F.col("a").alias("id")).hint("merge"), ["bucket", "id"], "left_anti")
+    rows = written(rows.join(pivot.hint("merge"), "bucket").select("bucket", "id", "a"), "buckets").filter("id <> a")
+    pairs = rows.select("a", F.col("id").alias("b")).distinct()
+    found = components(confirmed(cut(agreeing(pairs, sketch)), docs))
+    # pivots' pairs are decided; what is left of a bucket is open if it lies in several components
+    todo = cut(open_rows(labelled(rows.select("bucket", "id"), found)))
+    if todo.isEmpty():
+        return found
+    more = cell_links(todo, docs)
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
