@@ -110,7 +110,9 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, segment: int = S
     meta = cut(described(own, least))
     size = meta.agg(F.sum("payload_bytes")).first()[0] or 0
     parts = max(1, -(-size // FILE_BYTES))
-    full = own.select("row", "url", "html").join(meta.hint("merge"), "row").select("row", "page_id", "url", "html", "payload_digest", "refers_to", "to_row")
+    # row numbers hash evenly, so files come out alike; both sides are dealt so, and the pages move once
+    dealt = own.select("row", "url", "html").repartition(parts, "row")
+    full = dealt.join(meta.repartition(parts, "row").hint("merge"), "row").select("row", "page_id", "url", "html", "payload_digest", "refers_to", "to_row")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
@@ -119,8 +121,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, segment: int = S
             out = [r.removesuffix("\r\n\r\n") for html, (page, row, url, digest, to, to_row) in zip(texts, others, strict=True) for r in records(page, row, url or "", html or b"", digest, to, to_row, segment)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    # row numbers hash evenly, so files come out alike
-    full.repartition(parts, "row").mapInArrow(work, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    full.mapInArrow(work, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
