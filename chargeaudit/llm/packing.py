@@ -1,7 +1,7 @@
 """Packing documents into training sequences along a space-filling curve.
 
-Each document's token counts are a hashed vector; a seeded sign projection brings it to DIMENSIONS numbers,
-the normal distribution function to BITS-bit coordinates, and the Hilbert index of these is its key.  The
+Each document's counts of longer words are a hashed vector; a sign projection by the words' hashes brings it to
+DIMENSIONS numbers, the normal distribution function to BITS-bit coordinates, and the Hilbert index of these is its key.  The
 tokens are written out once, range-sorted by (key, doc_id), and every partition cuts its stream of documents
 every ``width`` tokens, so a sequence holds neighbours on the curve.  What is left at a partition's end is cut
 at powers of two, so no sequence needs padding.  Equal keys (copies) are told apart by doc_id and position, so
@@ -18,6 +18,7 @@ null; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -25,6 +26,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,7 @@ from .common import WordCodes, has_columns, slices, table, texts_of, written
 
 WIDTH = 2048
 END = 1
+LEAST_BYTES = 4
 DIMENSIONS = 4
 BITS = 12
 #: A worker's tables of encodings hold at most about so many words and word parts.
@@ -41,8 +44,10 @@ PARTS_KEPT = 400_000
 #: Tokens for a partition of the range sort.
 PARTITION_TOKENS = 4 << 20
 
-#: Words of these characters alone are cut and lower-cased here as the tokenizer does it.
-_PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-įĲ-ɏ]+")
+#: Texts of these characters alone are lower-cased and cut here as the tokenizer does it.
+_PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xac\xae-įĲ-ɏ]*")
+#: A sign that stands alone between a letter and a blank is a word of its own.
+_SIGN = re.compile(r"[.,;:!?](?=[\t-\r ]|\Z)(?<=[^\W\d_].)", re.S)
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -53,6 +58,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """Words that can be encoded apart: between blanks, and in plain texts lower-cased and without a last sign."""
+    plain = text.decode()
+    return _SIGN.sub(r" \g<0>", plain.lower()).encode().split() if _PLAIN.fullmatch(plain) else text.split()
+
+
+#: For each value of a word's bits what it adds: a sign in each dimension and 1, or nothing where the weight is 0.
+_KINDS = np.array([[(2 * (k >> d & 1) - 1) * (k >> DIMENSIONS) for d in range(DIMENSIONS)] + [k >> DIMENSIONS] for k in range(2 << DIMENSIONS)])
+#: Stands at a text's end among its words; no word holds a blank.
+STOP = b" "
+
+
 class Encoder:
     """Token ids of texts, with a bounded table of the words met so far."""
 
@@ -67,7 +84,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters, self.parts = self.tokenizer.model, byte_letters(), {}
         self.words = WordCodes()
-        self.starts, self.sizes, self.seen = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        # of each word: how often it was met; and its signs, number of ids and their start, packed into one number
+        self.seen, self.packed = (np.zeros(1 << 16, np.int64) for _ in range(2))
         self.flat, self.filled = np.zeros(1 << 18, np.uint32), 0
 
     def part(self, text: str) -> list[int]:
@@ -79,6 +97,8 @@ class Encoder:
         return ids
 
     def word(self, word: bytes) -> list[int]:
+        if word == STOP:
+            return [END]
         if word.isalpha():  # bytes: ASCII letters alone
             return self.part(word.lower().decode())
         text = word.decode()
@@ -87,8 +107,6 @@ class Encoder:
         text = text.lower()
         if text.isalpha():
             return self.part(text)
-        if text[:-1].isalpha() and not text[-1].isalnum():
-            return self.part(text[:-1]) + self.part(text[-1])
         return [i for p in _PARTS.findall(text) for i in self.part(p)]
 
     def learn(self, words: list[bytes], at: int) -> None:
@@ -97,47 +115,50 @@ class Encoder:
         found = list(map(self.word, words))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total = int(sizes.sum())
-        while end > len(self.starts):
-            self.starts, self.sizes, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.seen))
+        while end > len(self.seen):
+            self.seen, self.packed = (np.concatenate([x, np.zeros_like(x)]) for x in (self.seen, self.packed))
         while self.filled + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.starts[at:end] = self.filled + np.cumsum(sizes) - sizes
-        self.sizes[at:end] = sizes
+        self.packed[at:end] = (self.filled + np.cumsum(sizes) - sizes) << 30 | sizes << 5 | signs(words)
         self.seen[at:end] = 0
         self.filled += total
 
     def forget(self) -> None:
         """Words met once go; if that is too little, all go."""
-        kept = [w for w, at in self.words.items() if self.seen[at] > 1]
-        old = [(w, self.words[w]) for w in kept] if len(kept) < WORDS_KEPT // 2 else []
-        keep = [(w, self.flat[self.starts[at] : self.starts[at] + self.sizes[at]].copy()) for w, at in old]
-        self.words, self.filled = WordCodes(), 0
+        kept = [(w, at) for w, at in self.words.items() if self.seen[at] > 1]
+        kept = kept if len(kept) < WORDS_KEPT // 2 else []
+        packed = self.packed[[at for _, at in kept]]
+        sizes = packed >> 5 & 0x1FFFFFF
+        self.flat[: sizes.sum()] = self.gather(packed >> 30, sizes)
+        self.filled = int(sizes.sum())
+        self.packed[: len(kept)] = (np.cumsum(sizes) - sizes) << 30 | packed & 0x3FFFFFFF
         self.seen[:] = 0
-        for at, (w, ids) in enumerate(keep):
-            self.words[w] = at
-            self.starts[at], self.sizes[at] = self.filled, len(ids)
-            self.flat[self.filled : self.filled + len(ids)] = ids
-            self.filled += len(ids)
-
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, END after each text, and each text's number of ids."""
+        self.words = WordCodes(zip((w for w, _ in kept), range(len(kept)), strict=True))
+
+    def gather(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, END after each text; each text's number of ids; each text's projected vector and its squared length."""
         if len(self.words) > WORDS_KEPT:
             self.forget()
-        split = [(t or b"").split() for t in texts]
+        split = [[*words_of(t or b""), STOP] for t in texts]
         each = np.array([len(ws) for ws in split], np.int64)
         known = len(self.words)
         codes = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(each.sum()))
         self.learn(list(islice(reversed(self.words), len(self.words) - known))[::-1], known)
         used = np.bincount(codes, minlength=len(self.words))
         self.seen[: len(used)] += used
-        sizes = self.sizes[codes]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(total)]
-        upto = np.concatenate([[0], ends])[np.cumsum(each)]
-        lengths = np.diff(upto, prepend=0)
-        return np.insert(ids, upto, END), lengths + 1
+        packed = self.packed[codes]
+        sizes = packed >> 5 & 0x1FFFFFF
+        ids = self.gather(packed >> 30, sizes)
+        last = np.cumsum(each)
+        lengths = np.diff(np.concatenate([[0], np.cumsum(sizes)])[last], prepend=0)
+        kinds = 2 << DIMENSIONS
+        kind = np.repeat(np.arange(len(texts)) * kinds, each) + (packed & (kinds - 1))
+        return ids, lengths, np.bincount(kind, minlength=len(texts) * kinds).reshape(-1, kinds) @ _KINDS
 
 
 _encoders: dict[str | None, Encoder] = {}
@@ -149,22 +170,18 @@ def encoder(path: str | None) -> Encoder:
     return _encoders[path]
 
 
-def signs(size: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(7)).choice(np.array([-1, 1], np.int32), (size, DIMENSIONS))
+def signs(words: list[bytes]) -> np.ndarray:
+    """DIMENSIONS bits of each word's hash, and above them its weight: 0 for words under LEAST_BYTES, which are much alike everywhere."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    weights = np.fromiter((len(w) >= LEAST_BYTES for w in words), np.int64, len(words))
+    return hashes & ((1 << DIMENSIONS) - 1) | weights << DIMENSIONS
 
 
-def coordinates(ids: np.ndarray, plane: np.ndarray) -> np.ndarray:
-    """The document's place in DIMENSIONS coordinates of BITS bits."""
-    counts = np.bincount(ids, minlength=1) if len(ids) > 4096 else None
-    if counts is None:
-        token, n = np.unique(ids, return_counts=True)
-    else:
-        token = np.flatnonzero(counts)
-        n = counts[token]
-    tf = np.log1p(n)  # damped, so that common words do not place every document
-    at = (tf @ plane[token % len(plane)]) / np.sqrt((tf * tf).sum())
-    unit = np.array([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in at])
-    return np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
+def coordinates(projected: np.ndarray) -> np.ndarray:
+    """Places in DIMENSIONS coordinates of BITS bits; signs of words add up like a normal variable."""
+    unit = projected[:, :DIMENSIONS] / np.sqrt(np.maximum(projected[:, DIMENSIONS:], 1))
+    share = 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(unit / math.sqrt(2)))
+    return np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -200,13 +217,15 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         size = encode.tokenizer.get_vocab_size()
-        plane, kind = signs(1 << 16), "<u2" if size <= 1 << 16 else "<u4"
+        kind = "<u2" if size <= 1 << 16 else "<u4"
         for batch in slices(batches, "text", 4 << 20):
-            ids, lengths = encode(texts_of(batch, "text"))
-            each = np.split(ids, np.cumsum(lengths)[:-1])
-            keys = hilbert(np.array([coordinates(x, plane) for x in each]).reshape(-1, DIMENSIONS))
+            ids, lengths, projected = encode(texts_of(batch, "text"))
+            raw, width = memoryview(ids.astype(kind).tobytes()), np.dtype(kind).itemsize
+            ends = np.cumsum(lengths) * width
+            each = [raw[a:b] for a, b in zip(ends - lengths * width, ends, strict=True)]
+            keys = hilbert(coordinates(projected))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lengths), pa.array(keys), pa.array([x.astype(kind).tobytes() for x in each], pa.binary())], names=["doc_id", "n", "key", "ids"]
+                [batch.column("doc_id"), pa.array(lengths), pa.array(keys), pa.array(each, pa.binary())], names=["doc_id", "n", "key", "ids"]
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n long, key long, ids binary")
@@ -269,7 +288,7 @@ def pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 def pack(docs: DataFrame, width: int = WIDTH, path: str | None = None) -> DataFrame:
     """One row per piece of each row of ``docs`` (doc_id, text)."""
     has_columns(docs, "doc_id", "text")
-    tokens = written(tokenized(docs, path), "tokens")
+    tokens = written(tokenized(docs, path), "tokens", "lz4")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // PARTITION_TOKENS))
     # copies share key and perhaps doc_id; a random-looking last column lets the ranges split them
