@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -38,9 +39,8 @@ END = 1
 LEAST_BYTES = 4
 DIMENSIONS = 4
 BITS = 12
-#: A worker's tables of encodings hold at most about so many words and word parts.
-WORDS_KEPT = 900_000
-PARTS_KEPT = 400_000
+#: A worker's table of encodings holds at most about so many words.
+WORDS_KEPT = 600_000
 #: Tokens for a partition of the range sort.
 PARTITION_TOKENS = 4 << 20
 
@@ -82,44 +82,40 @@ class Encoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.letters, self.parts = self.tokenizer.model, byte_letters(), {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.words = WordCodes()
         # of each word: how often it was met; and its signs, number of ids and their start, packed into one number
         self.seen, self.packed = (np.zeros(1 << 16, np.int64) for _ in range(2))
         self.flat, self.filled = np.zeros(1 << 18, np.uint32), 0
 
-    def part(self, text: str) -> list[int]:
-        """Ids of one lower-cased part between cuts."""
-        if (ids := self.parts.get(text)) is None:
-            if len(self.parts) >= PARTS_KEPT:
-                self.parts.clear()
-            ids = self.parts[text] = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, text.encode())))]
-        return ids
+    def part(self, text: str) -> bytes:
+        """Ids of one lower-cased part between cuts, four bytes each."""
+        return array("I", [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, text.encode())))]).tobytes()
 
-    def word(self, word: bytes) -> list[int]:
+    def word(self, word: bytes) -> bytes:
         if word == STOP:
-            return [END]
+            return array("I", [END]).tobytes()
         if word.isalpha():  # bytes: ASCII letters alone
             return self.part(word.lower().decode())
         text = word.decode()
         if _PLAIN.fullmatch(text) is None:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         text = text.lower()
         if text.isalpha():
             return self.part(text)
-        return [i for p in _PARTS.findall(text) for i in self.part(p)]
+        return b"".join(map(self.part, _PARTS.findall(text)))
 
     def learn(self, words: list[bytes], at: int) -> None:
         """Encodes words whose codes begin with ``at``."""
         end = at + len(words)
         found = list(map(self.word, words))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         total = int(sizes.sum())
         while end > len(self.seen):
             self.seen, self.packed = (np.concatenate([x, np.zeros_like(x)]) for x in (self.seen, self.packed))
         while self.filled + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.flat[self.filled : self.filled + total] = np.frombuffer(b"".join(found), np.uint32)
         self.packed[at:end] = (self.filled + np.cumsum(sizes) - sizes) << 30 | sizes << 5 | signs(words)
         self.seen[at:end] = 0
         self.filled += total
