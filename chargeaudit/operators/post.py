@@ -185,3 +185,48 @@ def cited(evidence: Column, sources: dict[str, str]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(F.contains(evidence, F.lit(mark)), F.lit(name)) for mark, name in sources.items()])))
 
 
+
+
+def clarification_letter(analysed: DataFrame, issues: DataFrame) -> DataFrame:
+    """bill_id and content: a polite request about charges that are not confirmed; bills without such charges get a short one."""
+    open_ = issues.filter("confidence IN ('low', 'medium')")
+    j = analysed.join(section(open_, "a", 50), "bill_id", "left")
+    body = F.coalesce(F.concat(F.lit("\n\nCharges to clarify:\n"), F.col("a"), F.lit("\n\nFor each please give the exact name and code, whether it is a package, and your published tariff.")), F.lit(""))
+    head = F.concat(F.lit("Request for clarification of bill "), F.col("bill_id").cast("string"), F.lit("\nTotal: "), rupees(F.col("total_bill").cast(MONEY), 0))
+    return j.select("bill_id", F.concat(head, body, F.lit("\n\nPlease answer in writing within 14 days.")).alias("content"))
+
+
+def insurer_letter(analysed: DataFrame, issues: DataFrame) -> DataFrame:
+    """bill_id and content: the claim's amounts and its disputed decisions, for bills with a rejected amount or a claim issue."""
+    claim = section(issues.filter(F.col("issue_type").isin(*rules.CLAIM_TYPES)), "a", 50)
+    j = analysed.join(claim, "bill_id", "left").filter(F.col("a").isNotNull() | (F.col("total_rejected") > 0))
+    line = lambda name, c: F.concat(F.lit(f"\n{name}: "), rupees(F.coalesce(F.col(c), F.lit(0.0)).cast(MONEY), 0))
+    head = F.concat(F.lit("Grievance about the claim for bill "), F.col("bill_id").cast("string"), line("Claimed", "total_bill"), line("Approved", "total_approved"), line("Rejected", "total_rejected"))
+    body = F.coalesce(F.concat(F.lit("\n\nDecisions to review:\n"), F.col("a")), F.lit(""))
+    return j.select("bill_id", F.concat(head, body, F.lit("\n\nPlease give the clause and basis of each deduction within 15 working days.")).alias("content"))
+
+
+def patient_summary(analysed: DataFrame, issues: DataFrame, limit: int = 10) -> DataFrame:
+    """bill_id and content: totals and the first issues of each confidence."""
+    j = analysed
+    for level in rules.CONFIDENCES:
+        j = j.join(section(issues.filter(F.col("confidence") == level), level, limit), "bill_id", "left")
+    titles = {"high": "Confirmed excess", "medium": "To verify", "low": "To clarify"}
+    parts = [F.coalesce(F.concat(F.lit(f"\n\n{titles[level]}:\n"), F.col(level)), F.lit("")) for level in rules.CONFIDENCES]
+    head = F.concat(F.lit("Summary of bill "), F.col("bill_id").cast("string"), F.lit("\nTotal: "), rupees(F.col("total_bill").cast(MONEY), 0), F.lit("\nConfirmed excess: "), rupees(F.col("verified").cast(MONEY), 0))
+    return j.select("bill_id", F.concat(head, *parts, F.lit("\n\nKeep the bill, the receipts and proof of every letter.")).alias("content"))
+
+
+def letter_run(scenarios: DataFrame, issues: DataFrame) -> DataFrame:
+    """All letters that scenarios call for, written and checked: bill_id, letter_type, content, reason (null if it may be sent)."""
+    wanted = letters_for(scenarios)
+    written = {
+        "hospital_professional": hospital_letter(scenarios, issues), "hospital_clarification": clarification_letter(scenarios, issues),
+        "insurer": insurer_letter(scenarios, issues), "patient_summary": patient_summary(scenarios, issues),
+    }
+    out = None
+    for kind, letters in written.items():
+        part = wanted.filter(F.col("letter_type") == kind).join(letters, "bill_id")
+        out = part if out is None else out.unionByName(part)
+    verified = scenarios.select("bill_id", "verified")
+    return out.join(verified, "bill_id").withColumn("reason", letter_problem(F.col("content"), F.col("scenario"), F.col("verified"))).drop("verified")
