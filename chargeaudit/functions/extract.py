@@ -125,8 +125,11 @@ def expanded(terms: DataFrame, dictionary: dict[str, list[str]] = ABBREVIATIONS)
 def anchored(cells: DataFrame, is_anchor: Column, key: str, order: str, column: str, text: str, columns: list[str]) -> DataFrame:
     """Spans from one anchor cell to the next, the texts of each column joined in order: one row per span."""
     number = F.sum(is_anchor.cast("int")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " "), F.lit(""))
-    return cells.withColumn("entry", number).filter("entry > 0").groupBy(key, "entry").pivot(column, columns).agg(joined)
+    def joined(name: str) -> Column:
+        own = F.array_sort(F.collect_list(F.when(F.col(column) == name, F.struct(order, text))))
+        return F.nullif(F.array_join(F.transform(own, lambda x: x[text]), " "), F.lit("")).alias(name)
+
+    return cells.withColumn("entry", number).filter("entry > 0").groupBy(key, "entry").agg(*map(joined, columns))
 
 
 def price_list(spark: SparkSession, path: str) -> DataFrame:
