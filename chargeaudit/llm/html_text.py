@@ -312,10 +312,10 @@ def extract(pages: DataFrame) -> DataFrame:
     has_columns(pages, "page_id", "url", "html")
     found = cut(templates(pages))
     rows = pages.select("page_id", "url", "html", host_column(F.col("url")).alias("_host"))
-    common = found.filter(F.col("host") == COMMON).select(F.struct("tokens", "keep", "fixed").alias("_all"))
+    common = found.filter(F.col("host") == COMMON).select(F.col("host").alias("_c"), F.struct("tokens", "keep", "fixed").alias("_all"))
     own = found.filter(F.col("host") != COMMON).select(F.col("host").alias("_h"), F.struct("tokens", "keep", "fixed").alias("_own"))
     joined = join_small(rows, own, rows["_host"] == own["_h"], "left", BROADCAST_HOSTS)
-    joined = joined.join(common.hint("broadcast"), F.lit(True), "left")  # one row
+    joined = joined.withColumn("_any", F.lit(COMMON)).join(common.hint("broadcast"), F.col("_any") == F.col("_c"), "left")  # one row
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[dict[int, bool], frozenset[int]]] = {}
