@@ -298,9 +298,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of which no near-duplicate has a smaller doc_id, one row for each doc_id, with their columns as they are."""
+    """The rows of ``docs`` of which no near-duplicate has a smaller doc_id, with their columns as they are.
+
+    Rows that repeat both doc_id and text stay once.
+    """
     keep = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
+    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
