@@ -230,3 +230,28 @@ def letter_run(scenarios: DataFrame, issues: DataFrame) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     verified = scenarios.select("bill_id", "verified")
     return out.join(verified, "bill_id").withColumn("reason", letter_problem(F.col("content"), F.col("scenario"), F.col("verified"))).drop("verified")
+
+
+class Sections:
+    """A registry of letter sections: when one applies, what it says, and how early it comes.
+
+    ``applies`` is a Column over issue rows; ``builds`` makes the section's text of its rows' aggregates ``n`` and ``total``.
+    """
+
+    def __init__(self) -> None:
+        self.entries: dict[str, tuple[Column, Column, int]] = {}
+
+    def register(self, name: str, applies: Column, builds: Column, priority: int) -> None:
+        self.entries[name] = (applies, builds, priority)
+
+    def written(self, issues: DataFrame) -> DataFrame:
+        """bill_id and content: the sections that apply to each bill, highest priority first."""
+        per = issues.groupBy("bill_id").agg(*[F.struct(F.count_if(a).alias("n"), F.coalesce(F.sum(F.when(a, money("overcharge"))), F.lit(0).cast(MONEY)).alias("total")).alias(f"_{k}") for k, (a, _, _) in self.entries.items()])
+        parts = []
+        for k, (_, builds, priority) in self.entries.items():
+            one = per.select("bill_id", F.col(f"_{k}.n").alias("n"), F.col(f"_{k}.total").alias("total")).filter("n > 0")
+            parts.append(one.select("bill_id", F.lit(-priority).alias("_order"), F.lit(k).alias("_name"), builds.alias("_text")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.groupBy("bill_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_order", "_name", "_text"))), lambda x: x["_text"]), "\n").alias("content"))

@@ -155,10 +155,28 @@ def cited_regulations(spark, d):
     return docs.select("doc_id", F.array_join(P.cited(F.col("text"), {"the": "Rate schedule", "tion": "Price orders", "que": "Master circular"}), "; ").alias("cited"))
 
 
+def assessment_rows(spark, d):
+    i = line_items(spark, d)
+    settled = (F.col("amount") * (1 - F.col("discount"))).cast("decimal(18,2)")
+    rows = i.select(
+        F.col("bill_id").alias("doc_id"), F.col("pos").alias("row"), F.concat(F.lit(" "), "description", F.lit("  x ")).alias("description"), F.concat(F.lit("raft"), F.format_number("amount", 2)).alias("claimed"), settled.cast("string").alias("settled"),
+        F.element_at(F.array(*map(F.lit, ("partially appro", "Rejected", "Approved in full", "open"))), (F.col("code") % 4 + 1).cast("int")).alias("status"), F.when(F.col("code") % 2 == 0, "VECDlause 4").otherwise("lause 5").alias("clause"),
+    )
+    return S.assessments(rows)
+
+
+def section_registry(spark, d):
+    final = P.deduplicated(_issues(spark, d)[0])
+    r = P.Sections()
+    r.register("drugs", F.col("issue_type") == "drug_overcharge", F.concat(F.lit("Drugs: "), "n"), 50)
+    r.register("sure", F.col("confidence") == "high", F.concat(F.lit("Confirmed: "), "n", F.lit(" over "), F.format_number("total", 2)), 100)
+    return r.written(final)
+
+
 QUERIES = {
     f.__name__: f
     for f in (collection_roundtrip, searchable_text, flat_metadata, page_text, issue_sink, result_export, file_types, column_roles, payable_status, price_tokens, price_buckets, parse_quality, consumables, lab_overcharge,
-              suppress_consults, first_prices, special_match, lookup_format, cited_regulations)
+              suppress_consults, first_prices, special_match, lookup_format, cited_regulations, assessment_rows, section_registry)
 }
 ORACLE_SQL = {
     "collection_roundtrip": BRIDGE + f", k AS (SELECT code, name, rate::DOUBLE AS rate, {KINDS} AS type FROM bench) SELECT * FROM k WHERE type = 'nppa_drug' OR (type = 'cghs_rate' AND code % 2 = 0)",
@@ -184,4 +202,10 @@ ORACLE_SQL = {
     "lookup_format": BRIDGE
     + ", t AS (SELECT department, description, amount, row_number() OVER (PARTITION BY department ORDER BY amount DESC, bill_id, pos) AS n FROM li JOIN bills USING (bill_id)) SELECT department, string_agg('[' || n || '] ' || description || ': ₹' || format('{:,.2f}', amount::DOUBLE), chr(10) ORDER BY n) AS text FROM t WHERE n <= 3 GROUP BY department",
     "cited_regulations": "SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN contains(text, 'the') THEN 'Rate schedule' END, CASE WHEN contains(text, 'tion') THEN 'Price orders' END, CASE WHEN contains(text, 'que') THEN 'Master circular' END], lambda x: x IS NOT NULL)), '; ') AS cited FROM documents",
+    "assessment_rows": BRIDGE
+    + ", s AS (SELECT *, CAST(amount * (1 - discount) AS DECIMAL(18,2)) AS st FROM li) SELECT bill_id AS doc_id, pos AS row, description || ' x' AS description, amount::DOUBLE AS claimed, st::DOUBLE AS settled, (amount - st)::DOUBLE AS disputed, ['PARTIALLY APPROVED', 'REJECTED', 'APPROVED', 'OPEN'][code % 4 + 1] AS status, CASE WHEN code % 2 = 0 THEN 'Clause 4' ELSE 'Clause 5' END AS clause FROM s",
+    "section_registry": ISSUES
+    + """, d2 AS (SELECT * FROM iss QUALIFY row_number() OVER (PARTITION BY bill_id, trim(regexp_replace(lower(description), '[^a-z0-9_ ]', '', 'g')), billed ORDER BY CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, coalesce(overcharge, 0) DESC, stage, pos) = 1),
+p AS (SELECT bill_id, count(*) FILTER (confidence = 'high') AS a, coalesce(sum(overcharge) FILTER (confidence = 'high'), 0) AS t, count(*) FILTER (issue_type = 'drug_overcharge') AS b FROM d2 GROUP BY bill_id)
+SELECT bill_id, array_to_string(list_filter([CASE WHEN a > 0 THEN 'Confirmed: ' || a || ' over ' || format('{:,.2f}', t::DOUBLE) END, CASE WHEN b > 0 THEN 'Drugs: ' || b END], lambda x: x IS NOT NULL), chr(10)) AS content FROM p WHERE a > 0 OR b > 0""",
 }

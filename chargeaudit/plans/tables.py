@@ -158,4 +158,5 @@ ORACLE_SQL = {
     "rules_v1": BRIDGE + "SELECT bill_id, pos, kind, amount::DOUBLE AS billed, (rate * quantity)::DOUBLE AS benchmark FROM (SELECT *, CASE WHEN contains(description, 'rod') THEN 'device' WHEN contains(description, 'plate') THEN 'room' WHEN contains(description, 'gear') THEN 'diagnostic' WHEN contains(description, 'ring') THEN 'consultation' END AS kind FROM li) WHERE kind IS NOT NULL AND amount > rate * quantity * 1.5",
     "rate_limit": "SELECT event_id, user_id, n FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > 2",
     "running_totals": "SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, sum(CAST(value AS DECIMAL(18,2)))::DOUBLE AS total FROM events GROUP BY ALL",
+    "audit_stream": "SELECT l_orderkey AS bill_id, l_linenumber, l_extendedprice AS billed, p_retailprice * l_quantity AS benchmark FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_extendedprice > 1.5::DOUBLE * p_retailprice * l_quantity",
 }

@@ -138,3 +138,26 @@ def parse_quality(items: DataFrame) -> DataFrame:
     garbled = (F.col("pos") <= 5) & (F.length(d) > 0) & (F.length(letters) / F.length(d) > 0.4)
     per = items.groupBy("bill_id").agg(F.coalesce(F.bool_or(F.col("amount") > 0), F.lit(False)).alias("has_amounts"), F.bool_or(F.length(F.trim(d)) > 3).alias("has_descriptions"), F.count_if(garbled).alias("n_garbled"))
     return per.withColumn("usable", F.col("has_amounts") & F.col("has_descriptions") & (F.col("n_garbled") < 2))
+
+
+def assessment_status(text: Column) -> Column:
+    """Statuses as they are cut off in cells, made whole."""
+    up = F.upper(F.trim(text))
+    return F.when(F.contains(up, F.lit("PARTIALLY")) & F.contains(up, F.lit("APPRO")), "PARTIALLY APPROVED").when(up == "REJECTED", up).when(F.contains(up, F.lit("APPROV")), "APPROVED").otherwise(up)
+
+
+def assessment_clause(text: Column) -> Column:
+    """A clause without the letters that bled in from the cell before it."""
+    return F.regexp_replace(F.regexp_replace(F.trim(text), r"^[A-Z]{2,4}(?=lause)", ""), r"^lause", "Clause")
+
+
+def assessments(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, row, description, claimed, settled, status, clause as texts.  Amounts, whole statuses and clauses, and what is disputed."""
+    from ..functions.text import amount
+
+    claimed, settled = amount(F.regexp_replace("claimed", r"^[^\d,]+", "")), amount(F.col("settled"))
+    out = rows.filter(F.trim("description") != "")
+    return out.select(
+        "doc_id", "row", F.regexp_replace(F.trim("description"), r"\s+", " ").alias("description"), claimed.cast("double").alias("claimed"), settled.cast("double").alias("settled"),
+        (claimed - settled).cast("double").alias("disputed"), assessment_status(F.col("status")).alias("status"), assessment_clause(F.col("clause")).alias("clause"),
+    )
