@@ -3,7 +3,7 @@
 Each document's counts of longer words are a hashed vector; a sign projection by the words' hashes brings it to
 DIMENSIONS numbers, the normal distribution function to BITS-bit coordinates, and the Hilbert index of these is its key.  The
 tokens are written out once, range-sorted by (key, doc_id), and every partition cuts its stream of documents
-every ``width`` tokens, so a sequence holds neighbours on the curve.  What is left at a partition's end is cut
+every ``width`` tokens, so a sequence holds neighbours on the curve.  Long documents are several rows of the sort.  What is left at a partition's end is cut
 at powers of two, so no sequence needs padding.  Equal keys (copies) are told apart by doc_id and position, so
 a large group of copies spreads over partitions.
 
@@ -41,6 +41,8 @@ DIMENSIONS = 4
 BITS = 12
 #: A worker's table of encodings holds at most about so many words.
 WORDS_KEPT = 600_000
+#: Tokens of a row of the range sort at most; longer documents have several rows, so rows and bytes are alike.
+SEGMENT = 2048
 #: Tokens for a partition of the range sort.
 PARTITION_TOKENS = 4 << 20
 
@@ -208,7 +210,7 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n, key and ids (little-endian, two bytes each where the vocabulary allows) of each row."""
+    """doc_id, doc_tokens, key and, for each segment of a row, start, n and ids (little-endian, two bytes each where the vocabulary allows)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -217,21 +219,26 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in slices(batches, "text", 4 << 20):
             ids, lengths, projected = encode(texts_of(batch, "text"))
             raw, width = memoryview(ids.astype(kind).tobytes()), np.dtype(kind).itemsize
-            ends = np.cumsum(lengths) * width
-            each = [raw[a:b] for a, b in zip(ends - lengths * width, ends, strict=True)]
+            ends = np.cumsum(lengths)
             keys = hilbert(coordinates(projected))
+            count = -(-lengths // SEGMENT)
+            row = np.repeat(np.arange(len(lengths)), count)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
+            size = np.minimum(lengths[row] - start, SEGMENT)
+            at = (ends - lengths)[row] + start
+            cut = [raw[a * width : (a + n) * width] for a, n in zip(at.tolist(), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lengths), pa.array(keys), pa.array(each, pa.binary())], names=["doc_id", "n", "key", "ids"]
+                [batch.column("doc_id").take(pa.array(row)), pa.array(lengths[row]), pa.array(keys[row]), pa.array(start), pa.array(size), pa.array(cut, pa.binary())], names=["doc_id", "doc_tokens", "key", "start", "n", "ids"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n long, key long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, doc_tokens long, key long, start long, n long, ids binary")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Cuts one partition's stream of (doc_id, n, ids); what stays open is at most one sequence."""
+    """Cuts one partition's stream of (doc_id, doc_tokens, start, n, ids); what stays open is at most one sequence."""
     number = TaskContext.get().partitionId() << 32
     open_rows: list[tuple] = []  # doc_id, start, bytes, doc_tokens of the sequence that is being filled
     used = 0
@@ -252,14 +259,19 @@ def pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in PIECES.split(", ")])
 
     for given in slices(batches, "ids"):
-        for doc_id, tokens, raw in zip(*(given.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True):
-            kind = "<u2" if len(raw) == 2 * tokens else "<u4"
+        for doc_id, tokens, first, size, raw in zip(*(given.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "start", "n", "ids")), strict=True):
+            kind = "<u2" if len(raw) == 2 * size else "<u4"
             ids = np.frombuffer(raw, kind).astype("<u4").tobytes()
-            start = 0
-            while start < tokens:
-                n = min(width - used, tokens - start)
-                open_rows.append((doc_id, start, ids[4 * start : 4 * (start + n)], tokens))
-                start, used = start + n, used + n
+            at = 0
+            while at < size:
+                n = min(width - used, size - at)
+                part = ids[4 * at : 4 * (at + n)]
+                last = open_rows[-1] if open_rows else None
+                if last and last[0] == doc_id and last[3] == tokens and last[1] + len(last[2]) // 4 == first + at:
+                    open_rows[-1] = (doc_id, last[1], last[2] + part, tokens)  # goes on where the segment before it ended
+                else:
+                    open_rows.append((doc_id, first + at, part, tokens))
+                at, used = at + n, used + n
                 if used == width:
                     close(open_rows)
                     open_rows, used = [], 0
@@ -287,10 +299,10 @@ def pack(docs: DataFrame, width: int = WIDTH, path: str | None = None) -> DataFr
     tokens = written(tokenized(docs, path), "tokens", "lz4")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // PARTITION_TOKENS))
-    # copies share key and perhaps doc_id; a random-looking last column lets the ranges split them
-    order = ["key", "doc_id", "spread"]
+    # rows may share even doc_id and start; a last column lets the ranges split them
+    order = ["key", "doc_id", "start", "spread"]
     ranged = tokens.withColumn("spread", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return ranged.select("doc_id", "n", "ids").mapInArrow(lambda b: pieces(b, width), PIECES)
+    return ranged.select("doc_id", "doc_tokens", "start", "n", "ids").mapInArrow(lambda b: pieces(b, width), PIECES)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
