@@ -42,7 +42,7 @@ def extract_claims(spark, d):
         F.col("bill_id").cast("string"), F.col("patient_id").cast("string"), F.format_number(F.col("bill_total").cast("int"), 0), F.when(F.col("bill_id") % 2 == 0, "Yes").otherwise("no"),
         F.date_format("discharge_date", "dd/MM/yyyy"), F.when(F.col("bill_id") % 3 == 0, F.date_format("decision_date", "dd-MM-yyyy")).otherwise(F.date_format("decision_date", "dd/MM/yyyy")), F.format_number(F.col("bill_total").cast("int"), 0))
     out = E.claims(c.select(F.col("bill_id").alias("doc_id"), text.alias("text")))
-    return out.select("doc_id", "claim_number", "policy_number", "sum_insured", "cashless", "amount_claimed", "amount_settled", "settlement_mode", "days", "late")
+    return out.select("doc_id", "claim_number", "policy_number", "sum_insured", "cashless", "amount_claimed", "amount_settled", "settlement_mode", F.col("days").cast("double").alias("days"), F.col("late").cast("string").alias("late"))
 
 
 def extract_discharges(spark, d):
@@ -109,7 +109,7 @@ ORACLE_SQL = {
     + "SELECT bill_id AS doc_id, 'CITY GENERAL HOSPITAL' AS hospital_name, 'B-' || bill_id AS bill_number, strftime(bill_date, '%d/%m/%Y') AS bill_date, 'P' || patient_id AS patient_id, (patient_id % 90)::INTEGER AS age, CASE WHEN patient_id % 2 = 0 THEN 'Male' ELSE 'Female' END AS sex, sum(amount)::DOUBLE AS subtotal, bill_total::DOUBLE AS grand_total FROM bills JOIN li USING (bill_id) GROUP BY ALL",
     "extract_items": BRIDGE + "SELECT bill_id AS doc_id, count(*) AS n_items, sum(amount)::DOUBLE AS amount, min('Part ' || description) AS first_description FROM li JOIN bills USING (bill_id) GROUP BY bill_id",
     "extract_claims": CLAIMS
-    + "SELECT bill_id AS doc_id, 'C/' || bill_id AS claim_number, 'P-' || patient_id AS policy_number, trunc(bill_total)::BIGINT AS sum_insured, bill_id % 2 = 0 AS cashless, trunc(bill_total)::DOUBLE AS amount_claimed, NULL::DOUBLE AS amount_settled, 'NEFT' AS settlement_mode, CASE WHEN bill_id % 3 <> 0 THEN (decision_date - discharge_date)::INTEGER END AS days, CASE WHEN bill_id % 3 <> 0 THEN decision_date - discharge_date > 15 END AS late FROM claims JOIN bills USING (bill_id)",
+    + "SELECT bill_id AS doc_id, 'C/' || bill_id AS claim_number, 'P-' || patient_id AS policy_number, trunc(bill_total)::BIGINT AS sum_insured, bill_id % 2 = 0 AS cashless, trunc(bill_total)::DOUBLE AS amount_claimed, NULL::DOUBLE AS amount_settled, 'NEFT' AS settlement_mode, CASE WHEN bill_id % 3 <> 0 THEN (decision_date - discharge_date)::DOUBLE END AS days, CASE WHEN bill_id % 3 <> 0 THEN (decision_date - discharge_date > 15)::VARCHAR END AS late FROM claims JOIN bills USING (bill_id)",
     "extract_discharges": BRIDGE
     + "SELECT bill_id AS doc_id, count(*)::INTEGER AS stay_days, 'ICU:' || count(*) || ',Private Deluxe:4' AS wards, string_agg(description, '|' ORDER BY pos) AS procedures FROM li WHERE line_status = 'F' GROUP BY bill_id",
     "anchor_span": BRIDGE

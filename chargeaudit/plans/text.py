@@ -22,7 +22,7 @@ def amount_parse(spark, d):
     li = table(spark, d, "lineitem")
     money = F.concat(F.lit("Rs. "), F.format_number("l_extendedprice", 2), F.lit("/-"))
     raw = F.when(F.col("l_linenumber") == 1, F.lit("n/a")).when(F.col("l_linenumber") == 2, F.concat(F.lit("₹-"), F.col("l_partkey").cast("string"))).otherwise(money)
-    return li.select("l_orderkey", "l_linenumber", raw.alias("raw")).select("l_orderkey", "raw", X.amount(F.col("raw")).cast("double").alias("amount"), X.signed_amount(F.col("raw")).cast("double").alias("signed"), X.digits(F.col("raw")).alias("digits"))
+    return li.select("l_orderkey", "l_linenumber", raw.alias("raw")).select("l_orderkey", "raw", X.amount(F.col("raw")).cast("double").alias("amount"), X.signed_amount(F.col("raw")).cast("double").alias("signed"), X.digits(F.col("raw")).cast("double").alias("digits"))
 
 
 def quantity_parse(spark, d):
@@ -128,7 +128,7 @@ def tolerance_cluster(spark, d):
 def salvage_json(spark, d):
     e = table(spark, d, "events")
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.lit("no object here")).otherwise(F.col("props"))
-    return e.select("event_id", F.get_json_object(X.json_part(raw), "$.k").cast("bigint").alias("k"))
+    return e.select("event_id", F.get_json_object(X.json_part(raw), "$.k").cast("double").alias("k"))
 
 
 def json_roundtrip(spark, d):
@@ -140,7 +140,7 @@ def json_roundtrip(spark, d):
 def late_days(spark, d):
     li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     early = F.when(F.col("l_linenumber") == 1, F.date_format("o_orderdate", "dd-MM-yyyy")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
-    return li.select("l_orderkey", "l_linenumber", X.days_between(early, F.date_format("l_shipdate", "dd/MM/yyyy")).alias("days"))
+    return li.select("l_orderkey", "l_linenumber", X.days_between(early, F.date_format("l_shipdate", "dd/MM/yyyy")).cast("double").alias("days"))
 
 
 def _sql_replace(column: str, pairs) -> str:
@@ -168,7 +168,7 @@ QUERIES = {
 ORACLE_SQL = {
     "amount_parse": """WITH r AS (SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN 'n/a' WHEN l_linenumber = 2 THEN '₹-' || l_partkey ELSE 'Rs. ' || format('{:,.2f}', l_extendedprice) || '/-' END AS raw FROM lineitem)
 SELECT l_orderkey, raw, coalesce(try_cast(regexp_replace(regexp_replace(raw, '[₹,/\\-\\s]|Rs\\.?', '', 'g'), '\\.+$', '') AS DECIMAL(18,2)), 0)::DOUBLE AS amount,
-  try_cast(regexp_replace(raw, '[₹,\\s]|Rs\\.?|/-', '', 'g') AS DECIMAL(18,2))::DOUBLE AS signed, try_cast(regexp_replace(raw, '[^0-9]', '', 'g') AS BIGINT) AS digits FROM r""",
+  try_cast(regexp_replace(raw, '[₹,\\s]|Rs\\.?|/-', '', 'g') AS DECIMAL(18,2))::DOUBLE AS signed, try_cast(regexp_replace(raw, '[^0-9]', '', 'g') AS BIGINT)::DOUBLE AS digits FROM r""",
     "quantity_parse": "WITH r AS (SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN 'none' ELSE 'Qty: ' || l_quantity::INT || ' x 2' END AS raw FROM lineitem) SELECT l_orderkey, raw, coalesce(try_cast(regexp_extract(raw, '\\d+\\.?\\d*') AS DOUBLE), 1.0) AS quantity FROM r",
     "metadata_sanitise": "SELECT c_custkey, CASE WHEN c_custkey % 5 >= 3 THEN c_name END AS name FROM customer",
     "enum_check": "SELECT doc_id, quality FROM labels WHERE quality <> 1 OR quality IS NULL",
@@ -189,7 +189,7 @@ SELECT l_orderkey, raw, coalesce(try_cast(regexp_replace(regexp_replace(raw, '[
     "chunk_stats": f"SELECT lang, count(*) AS n_docs, sum(len(c))::BIGINT AS n_clauses, count(*) FILTER (len(c) > 0) AS with_clauses, sum(coalesce(list_sum(list_transform(c, lambda x: length(x))), 0))::BIGINT AS chars FROM (SELECT lang, {CLAUSES_SQL} AS c FROM documents) GROUP BY lang",
     "record_fold": LINES_SQL
     + ", r AS (SELECT doc_id, line, x, sum(regexp_matches(x, '^[A-Z][a-z]+ ')::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS record FROM ln) SELECT doc_id, record::BIGINT AS record, string_agg(x, ' ' ORDER BY line) AS joined, count(*) AS n_lines FROM r WHERE record > 0 GROUP BY doc_id, record",
-    "salvage_json": "SELECT event_id, CASE WHEN event_id % 3 <> 1 THEN (props->>'k')::BIGINT END AS k FROM events",
+    "salvage_json": "SELECT event_id, CASE WHEN event_id % 3 <> 1 THEN (props->>'k')::DOUBLE END AS k FROM events",
     "json_roundtrip": "SELECT event_id, '{\"type\":\"' || event_type || '\",\"k\":' || ((props->>'k')::BIGINT + 1) || '}' AS doc FROM events",
-    "late_days": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 1 THEN (l_shipdate::DATE - o_orderdate::DATE)::INTEGER END AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "late_days": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 1 THEN (l_shipdate::DATE - o_orderdate::DATE)::DOUBLE END AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 }
