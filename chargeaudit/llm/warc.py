@@ -12,8 +12,8 @@ segment number and must be gapless and add up to the total length; then the HTTP
 are joined, and the digest of the payload is compared with the header's.  Records that fail have ``problem`` set.
 
 Defined cases: a null html is an empty payload; page_ids that are null or repeated keep their rows, for record
-identifiers carry a row number; among equal payloads with the same largest page_id one row is the response and
-the rest revisit it; an empty table gives an empty result; other columns are ignored.
+identifiers carry a row number where they need one; rows that repeat both the largest page_id and its payload are
+all responses; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,25 +35,28 @@ LEAST = 1000
 #: Bytes of a block beyond which a record is segmented, and of a chunk.
 SEGMENT = 64 << 10
 CHUNK = 8 << 10
-#: Bytes of pages that a file gets.
-FILE_BYTES = 24 << 20
 
 
 def described(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """row, page_id, payload_bytes, payload_digest, record_type, refers_to and the response's row; no payloads."""
+    """page_id, url, html, payload_digest, refers_to and ``named``: whether the record's identifier can do without a row number.
+
+    One scan finds the payloads that several pages share, a second one meets them by digest; nothing ties a row of
+    one scan to a row of the other, for splits may change when executors go.
+    """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    meta = cut(pages.select("row", "page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest")))
-    shared = meta.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.count("*").alias("n"), F.max(F.struct(F.col("page_id"), -F.col("row"))).alias("m"))
-    shared = shared.filter("n > 1").select("payload_digest", "payload_bytes", F.col("m.page_id").alias("to"), (-F.col("m.col2")).alias("to_row"))
-    first = meta.join(shared.hint("merge"), ["payload_digest", "payload_bytes"], "left")
-    revisit = F.col("to_row").isNotNull() & (F.col("to_row") != F.col("row"))
-    return first.select(
-        "row", "page_id", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("to")).alias("refers_to"), F.when(revisit, F.col("to_row")).alias("to_row")
-    )
+    meta = pages.select("page_id", F.octet_length(payload).alias("bytes"), F.sha1(payload).alias("digest")).filter(F.col("bytes") >= least)
+    per = meta.groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    shared = per.groupBy("digest").agg(F.sum("n").alias("all"), F.max(F.struct("page_id", "n")).alias("top")).filter("all > 1")
+    shared = cut(shared.select("digest", F.col("top.page_id").alias("to"), (F.col("top.n") == 1).alias("one")))
+    own = pages.select("page_id", "url", "html", F.sha1(payload).alias("payload_digest"))
+    joined = own.join(shared.hint("merge"), own["payload_digest"] == shared["digest"], "left")
+    revisit = ~F.col("to").eqNullSafe(F.col("page_id")) & F.col("digest").isNotNull()
+    return joined.select("page_id", "url", "html", "payload_digest", revisit.alias("revisit"), F.when(revisit, F.col("to")).alias("refers_to"), F.coalesce(F.col("one") & ~revisit, F.lit(False)).alias("named"))
 
 
-def record_id(page_id: int | None, row: int) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}:{row}>"
+def record_id(page_id: int | None, digest: str, row: int | None = None) -> str:
+    """The identifier of the record of a page; with a row number where page and payload do not make it unique."""
+    return f"<urn:x-page:{'' if page_id is None else page_id}:{digest}{'' if row is None else f':{row}'}>"
 
 
 def page_of(identifier: str) -> int | None:
@@ -77,13 +80,12 @@ def record(headers: list[tuple[str, object]], block: bytes) -> str:
     return f"{VERSION}\r\n{head}Content-Length: {len(block)}\r\n\r\n{block.decode()}\r\n\r\n"
 
 
-def records(page_id: int | None, row: int, url: str, html: bytes, digest: str, to_page: int | None, to_row: int | None, segment: int = SEGMENT) -> Iterator[str]:
-    """The text of a page's records, each with the blank line that ends it."""
-    name = record_id(page_id, row)
+def records(name: str, url: str, html: bytes, digest: str, refers: str | None, segment: int = SEGMENT) -> Iterator[str]:
+    """The text of a page's records, each with the blank line that ends it; ``refers``: the response's identifier of a revisit."""
     target = url.replace("\r", "%0D").replace("\n", "%0A")
     common = [("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}")]
-    if to_row is not None:
-        extra = [("WARC-Refers-To", record_id(to_page, to_row)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+    if refers is not None:
+        extra = [("WARC-Refers-To", refers), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
         # a revisit has the response's header alone, whose field tells the length of what it stands for
         yield record([("WARC-Type", "revisit"), *common, *extra, ("Content-Type", "application/http;msgtype=response")], f"HTTP/1.1 200 OK\r\nX-Payload-Length: {len(html)}\r\n\r\n".encode())
         return
@@ -105,20 +107,17 @@ def records(page_id: int | None, row: int, url: str, html: bytes, digest: str, t
 def write_warc(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT) -> None:
     """Writes the rows of ``pages`` (page_id, url, html) as gzipped WARC files under ``path``."""
     has_columns(pages, "page_id", "url", "html")
-    # a row's number holds as long as the table's files do: both uses below read them in the same order
-    own = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    meta = cut(described(own, least))
-    size = meta.agg(F.sum("payload_bytes")).first()[0] or 0
-    parts = max(1, -(-size // FILE_BYTES))
-    # row numbers hash evenly, so files come out alike; both sides are dealt so, and the pages move once
-    dealt = own.select("row", "url", "html").repartition(parts, "row")
-    full = dealt.join(meta.repartition(parts, "row").hint("merge"), "row").select("row", "page_id", "url", "html", "payload_digest", "refers_to", "to_row")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    full = described(own, least).select("*", F.monotonically_increasing_id().alias("row"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             texts = batch.column("html").cast(pa.binary()).to_pylist()
-            others = zip(*(batch.column(c).to_pylist() for c in ("page_id", "row", "url", "payload_digest", "refers_to", "to_row")), strict=True)
-            out = [r.removesuffix("\r\n\r\n") for html, (page, row, url, digest, to, to_row) in zip(texts, others, strict=True) for r in records(page, row, url or "", html or b"", digest, to, to_row, segment)]
+            others = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload_digest", "revisit", "refers_to", "named", "row")), strict=True)
+            out = []
+            for html, (page, url, digest, revisit, to, named, row) in zip(texts, others, strict=True):
+                name, refers = record_id(page, digest, None if named else row), record_id(to, digest) if revisit else None
+                out += [r.removesuffix("\r\n\r\n") for r in records(name, url or "", html or b"", digest, refers, segment)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     full.mapInArrow(work, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
