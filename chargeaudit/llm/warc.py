@@ -233,9 +233,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS b FROM pages),
-d AS (SELECT page_id, b, sha1(h) AS d, row_number() OVER (PARTITION BY sha1(h), b ORDER BY page_id DESC) AS k, max(page_id) OVER (PARTITION BY sha1(h), b) AS m FROM p)
-SELECT page_id, b AS payload_bytes, d AS payload_digest, CASE WHEN b >= 1000 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN b >= 1000 AND k > 1 THEN m END AS refers_to
+d AS (SELECT page_id, b, sha1(h) AS d, max(page_id) OVER (PARTITION BY sha1(h), b) AS m FROM p)
+SELECT page_id, b AS payload_bytes, d AS payload_digest, CASE WHEN b >= 1000 AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b >= 1000 AND page_id IS DISTINCT FROM m THEN m END AS refers_to
 FROM d
 """
 
