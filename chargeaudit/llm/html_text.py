@@ -11,13 +11,16 @@ each page times the occurrences, stands for the vector and is merged by addition
    A host's list is bounded by the size of its pages, for few tokens can be on half of them.
 3. Slots are judged once per host: those under a menu, header, footer, sidebar, notice, advert, form or comments
    are not text; of the rest, those in the article, or where there is none those in the container of
-   most text with few links.  Blocks of fixed text, on nine of ten different pages of a host, are template too.
-4. A second pass extracts the blocks of the remaining slots.  Places outside the template follow the nearest
+   most text with few links.
+4. A second pass lists the blocks that each page of a larger host has in the remaining slots.  Blocks of fixed text, on
+   nine of ten different pages of a host, are template too.  A page of which more than half stands on m pages of
+   its host counts 1/m, so copies and near copies of an article count as one page together.
+5. A third pass extracts the blocks of the remaining slots.  Places outside the template follow the nearest
    slot above them.  Hosts with too few pages to compare use the template of all hosts together.
 
 Defined cases: a null or empty html gives the empty text; a page in which no slot remains gives what is outside
-boilerplate elements; a null url counts as the empty host; repeated rows are extracted each, and equal pages
-count once for fixed text; an empty table gives an empty result; other columns are ignored.
+boilerplate elements; a page whose slots hold fixed text alone keeps it; a null url counts as the empty host; repeated
+rows are extracted each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -194,7 +197,7 @@ def block_key(text: str) -> int:
     return (xxhash.xxh3_64_intdigest(text) >> 1) | 1
 
 
-TOKENS = "host string, token long, above long, text boolean, noise boolean, main boolean, pages long, count long, vector long, first long, chars long, links long"
+TOKENS = "host string, token long, above long, noise boolean, main boolean, pages long, count long, vector long, first long, chars long, links long"
 NAMES = [x.split()[0] for x in TOKENS.split(", ")]
 
 
@@ -209,21 +212,18 @@ def tokens(pages: DataFrame) -> DataFrame:
                 host, own, page = host_of(url), {}, page or ""
                 draw = xxhash.xxh3_64_intdigest(page) & ((1 << 40) - 1)
                 for i, (place, text, links, opened) in enumerate(blocks(page, root)):
-                    x = own.setdefault(place.key, [place.above.key if place.above else 0, False, place.noise, place.main, 0, i, 0, 0])
+                    x = own.setdefault(place.key, [place.above.key if place.above else 0, place.noise, place.main, 0, i, 0, 0])
                     if opened is not None:
-                        x[4] += 1
+                        x[3] += 1
                     else:
-                        x[6] += len(text)
-                        x[7] += links
-                        if not place.noise:
-                            y = own.setdefault(block_key(text) - (1 << 62), [place.key, True, False, False, 0, i, len(text), 0])
-                            y[4] += 1
-                for key, (above, is_text, noise, main, n, first, chars, links) in own.items():
-                    x = sums.setdefault((host, key), [above, is_text, noise, main, 0, 0, 0, 0, 0, 0])
+                        x[5] += len(text)
+                        x[6] += links
+                for key, (above, noise, main, n, first, chars, links) in own.items():
+                    x = sums.setdefault((host, key), [above, noise, main, 0, 0, 0, 0, 0, 0])
                     for j, v in enumerate((1, n, n * draw, first, chars, links)):
-                        x[4 + j] += v
-            rows = [(h, k, *x[:6], x[6] & ((1 << 62) - 1), *x[7:]) for (h, k), x in sums.items()]
-            kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.bool_()] * 3, *[pa.int64()] * 6]
+                        x[3 + j] += v
+            rows = [(h, k, *x[:5], x[5] & ((1 << 62) - 1), *x[6:]) for (h, k), x in sums.items()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.bool_()] * 2, *[pa.int64()] * 6]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=NAMES)
 
@@ -234,7 +234,7 @@ def merged(parts: DataFrame, *keys: str) -> DataFrame:
     # vectors are sums modulo 2**62, taken apart so that adding them cannot overflow
     low, high = F.sum(F.col("vector").bitwiseAND((1 << 31) - 1)), F.sum(F.shiftright("vector", 31))
     vector = (F.pmod(high + F.shiftright(low, 31), F.lit(1 << 31)) * (1 << 31) + F.pmod(low, F.lit(1 << 31))).alias("vector")
-    once = [F.min(c).alias(c) for c in ("above", "text", "noise", "main")]
+    once = [F.min(c).alias(c) for c in ("above", "noise", "main")]
     return parts.groupBy(*keys).agg(*once, *[F.sum(c).alias(c) for c in ("pages", "count", "first", "chars", "links")], vector)
 
 
@@ -242,8 +242,7 @@ def deduced(rows: list[dict]) -> dict[int, bool]:
     """Template tokens of one host and whether their slots are text.  rows: tokens on half of the pages, with ``of``, the number of pages."""
     classes: dict[int, list[dict]] = {}
     for r in rows:
-        if not r["text"]:
-            classes.setdefault(r["vector"], []).append(r)
+        classes.setdefault(r["vector"], []).append(r)
     places = {r["token"]: r for c in classes.values() for r in c if len(c) > 1 or r["pages"] == r["of"]}
 
     def line(token: int) -> Iterator[dict]:
@@ -269,25 +268,24 @@ def deduced(rows: list[dict]) -> dict[int, bool]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, slots (token -> is it text) and fixed (keys of fixed blocks): one row per host, and one for all together."""
+    """host, number of pages and slots (token -> is it text): one row per host, and one for all together."""
     parts = cut(merged(tokens(pages), "host", "token"))
-    every = merged(parts.filter("NOT text"), "token").withColumn("host", F.lit(COMMON))
+    every = merged(parts, "token").withColumn("host", F.lit(COMMON))
     both = parts.unionByName(every.select(*parts.columns))
     # each page has one element at the top of the document at least, if it has any
-    totals = both.filter("NOT text AND above = 0").groupBy("host").agg(F.max("pages").alias("of")).withColumnRenamed("host", "_host")
-    held = join_small(both, totals, both["host"] == totals["_host"]).filter(2 * F.col("pages") >= F.col("of")).drop("_host")
-    held = held.filter((F.col("of") >= LEAST_PAGES) & (~F.col("text") | ((F.col("of") >= FIXED_PAGES) & (F.col("pages") >= FIXED_SHARE * F.col("of")))))
+    totals = both.filter("above = 0").groupBy("host").agg(F.max("pages").alias("of")).withColumnRenamed("host", "_host")
+    held = join_small(both, totals, both["host"] == totals["_host"]).filter((2 * F.col("pages") >= F.col("of")) & (F.col("of") >= LEAST_PAGES)).drop("_host")
 
     def group(data: pa.Table) -> pa.Table:
         rows = data.to_pylist()
         slots = deduced(rows)
-        fixed = sorted(r["token"] for r in rows if r["text"])
-        return pa.table([pa.array([rows[0]["host"]]), pa.array([list(slots)], pa.list_(pa.int64())), pa.array([list(slots.values())], pa.list_(pa.bool_())), pa.array([fixed], pa.list_(pa.int64()))], names=["host", "tokens", "keep", "fixed"])
+        return pa.table([pa.array([rows[0]["host"]]), pa.array([rows[0]["of"]]), pa.array([list(slots)], pa.list_(pa.int64())), pa.array([list(slots.values())], pa.list_(pa.bool_()))], names=["host", "of", "tokens", "keep"])
 
-    return held.groupBy("host").applyInArrow(group, "host string, tokens array<long>, keep array<boolean>, fixed array<long>")
+    return held.groupBy("host").applyInArrow(group, "host string, of long, tokens array<long>, keep array<boolean>")
 
 
-def main_text(page: str, root: Place, slots: dict[int, bool], fixed: frozenset[int]) -> str:
+def slot_blocks(page: str, root: Place, slots: dict[int, bool]) -> tuple[list[tuple[Place, str, int]], list[str]]:
+    """(place, text, characters in links) of all blocks of a page, and the texts of those in slots of text."""
     verdicts: dict[int, bool] = {}
 
     def keep(place: Place) -> bool:
@@ -301,7 +299,51 @@ def main_text(page: str, root: Place, slots: dict[int, bool], fixed: frozenset[i
         return verdicts[place.key]
 
     found = [(p, t, n) for p, t, n, opened in blocks(page, root) if opened is None]
-    kept = [t for p, t, _ in found if keep(p) and (block_key(t) - (1 << 62)) not in fixed]
+    return found, [t for p, t, _ in found if keep(p)]
+
+
+def fixed_blocks(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """host and fixed (keys of fixed blocks) of the hosts that have any."""
+    own = found.filter((F.col("host") != COMMON) & (F.col("of") >= FIXED_PAGES)).select(F.col("host").alias("_h"), F.struct("tokens", "keep").alias("_own"))
+    rows = pages.select("html", host_column(F.col("url")).alias("_host"))
+    rows = join_small(rows, own, rows["_host"] == own["_h"], "inner", BROADCAST_HOSTS)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, dict[int, bool]] = {}
+        for batch in slices(batches, "html"):
+            root, out = Place(0, ""), []
+            hosts, pages_in = batch.column("_host").to_pylist(), batch.column("html").to_pylist()
+            for i, (host, page) in enumerate(zip(hosts, pages_in, strict=True)):
+                if host not in memo:
+                    if len(memo) >= 256:
+                        memo.clear()
+                    t = batch.column("_own")[i].as_py()
+                    memo[host] = dict(zip(t["tokens"], t["keep"], strict=True))
+                own = {block_key(t): len(t) for t in slot_blocks(page or "", root, memo[host])[1]}
+                if own:
+                    out.append((host, list(own), list(own.values())))
+            if out:
+                kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["host", "blocks", "sizes"])
+
+    listed = rows.select("_host", "html", "_own").mapInArrow(work, "host string, blocks array<long>, sizes array<long>")
+    listed = cut(listed.withColumn("page", F.monotonically_increasing_id()))
+    each = listed.select("page", "host", F.explode(F.arrays_zip("blocks", "sizes")).alias("x")).select("page", "host", F.col("x.blocks").alias("block"), F.col("x.sizes").alias("size"))
+    shared = each.groupBy("host", "block").agg(F.count("*").alias("on")).filter(F.col("on") > 1).select(F.col("host").alias("_h"), F.col("block").alias("_b"), "on")
+    each = join_small(each, shared, (each["host"] == shared["_h"]) & (each["block"] == shared["_b"]), "left").withColumn("on", F.coalesce("on", F.lit(1)))
+    # a page counts 1 / m: more than half of its text is in blocks on m pages or more
+    held = each.groupBy("page", "host").agg(F.sum("size").alias("chars"), F.sort_array(F.collect_list(F.struct("on", "size", "block")), asc=False).alias("held"))
+    weight = F.expr("1 / aggregate(held, struct(0L AS seen, 1L AS m), (s, x) -> IF(2 * s.seen <= chars, struct(s.seen + x.size AS seen, x.on AS m), s)).m")
+    held = cut(held.select("host", weight.alias("weight"), F.expr(f"transform(filter(held, x -> x.on >= {FIXED_SHARE * FIXED_PAGES}), x -> x.block)").alias("blocks")))
+    totals = held.groupBy("host").agg(F.sum("weight").alias("of")).filter(F.col("of") > FIXED_PAGES - 1e-6).withColumnRenamed("host", "_host")
+    weights = held.select("host", "weight", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.sum("weight").alias("pages"))
+    fixed = join_small(weights, totals, weights["host"] == totals["_host"]).filter(F.col("pages") > FIXED_SHARE * F.col("of") - 1e-6)
+    return fixed.groupBy("host").agg(F.sort_array(F.collect_list("block")).alias("fixed"))
+
+
+def main_text(page: str, root: Place, slots: dict[int, bool], fixed: frozenset[int]) -> str:
+    found, slot = slot_blocks(page, root, slots)
+    kept = [t for t in slot if block_key(t) not in fixed] or slot
     if not kept:
         kept = [t for p, t, n in found if not p.noise and 2 * n <= len(t)]
     return "\n".join(kept)
@@ -311,6 +353,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages`` (page_id, url, html)."""
     has_columns(pages, "page_id", "url", "html")
     found = cut(templates(pages))
+    fixed = fixed_blocks(pages, found).select(F.col("host").alias("_f"), "fixed")
+    found = cut(join_small(found, fixed, found["host"] == fixed["_f"], "left").select("host", "tokens", "keep", F.coalesce("fixed", F.array().cast("array<long>")).alias("fixed")))
     rows = pages.select("page_id", "url", "html", host_column(F.col("url")).alias("_host"))
     common = found.filter(F.col("host") == COMMON).select(F.col("host").alias("_c"), F.struct("tokens", "keep", "fixed").alias("_all"))
     own = found.filter(F.col("host") != COMMON).select(F.col("host").alias("_h"), F.struct("tokens", "keep", "fixed").alias("_own"))

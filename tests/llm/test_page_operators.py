@@ -51,6 +51,20 @@ def test_templates(pages):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_near_copies_are_no_template(spark):
+    """A host of copies and near copies of one article, and a few others that quote it."""
+    body = [f"Paragraph {k} of the article, long enough to be most of it." for k in range(6)]
+    article = lambda ps: SHELL.format("<article>" + "".join(f"<p>{p}</p>" for p in [*ps, "Follow us"]) + "</article><div class=more><p>Outside of it</p></div>")
+    texts = [body] * 10 + [[*body[: i % 6], f"Altered {i}", *body[i % 6 + 1 :]] for i in range(20)] + [[f"Other page {i} with words of its own, and with a quotation:", body[1]] for i in range(3)]
+    rows = [(i, f"http://copies.example/{i}", article(t), "", "") for i, t in enumerate(texts)]
+    # where pages differ, what all of them hold is template, whatever number of copies stands beside them
+    rows += [(100 + i, f"http://mixed.example/{i}", article(body if i < 40 else [f"Page {i} has {i * 7} words of its own"]), "", "") for i in range(60)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == "\n".join([*t, "Follow us"])
+    assert got[100] == "\n".join(body) and got[150] == "Page 50 has 350 words of its own"
+
+
 def test_hosts_agree(spark):
     urls = ["http://A.b/c?d", "x.y/z", None, "https://u@h:80#q", "//k", ""]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(html_text.host_column(F.col("u"))).collect()]
