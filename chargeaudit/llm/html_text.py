@@ -9,6 +9,8 @@ each page times the occurrences, stands for the vector and is merged by addition
    valid if it has several tokens or is on every page, and classes nest by their places in the document.  The
    valid classes are the template, their tokens are its fixed part, and what lies under each is a slot.
    A host's list is bounded by the size of its pages, for few tokens can be on half of them.
+   Class and id words, and forms, only mark an element as noise: html, body and main are never marked, and the mark is lifted
+   from what holds the article or most of the page's text.
 3. Slots are judged once per host: those under a menu, header, footer, sidebar, notice, advert, form or comments
    are not text; of the rest, those in the article, or where there is none those in the container of
    most text with few links.
@@ -53,7 +55,7 @@ RAW = frozenset("script style noscript template textarea title iframe svg math o
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("head nav footer aside form menu dialog button label fieldset legend".split()) | RAW
+DROPPED = frozenset("head nav footer aside menu dialog button label fieldset legend".split()) | RAW
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CLOSED_BY_BLOCKS = BLOCKS - {"html", "body", "head"}
 NOISE = frozenset(
@@ -64,12 +66,17 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+_NUMBER = re.compile(r"[-_]?\d+$")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass(slots=True)
 class Place:
-    """An element in its place; ``noise`` and ``main`` hold for all below it."""
+    """An element in its place; ``noise``, ``main`` and ``hard`` hold for all below it.
+
+    ``mark``: its own words, or that it is a form, make it noise unless its key is in ``lifted``; ``pure``: a name of it
+    is such a word alone; ``hard``: noise whatever it holds; ``kind``: article or main, if it is one.
+    """
 
     key: int
     tag: str
@@ -78,33 +85,91 @@ class Place:
     link: bool = False
     above: Place | None = None
     below: dict[tuple[str, str], Place] = field(default_factory=dict)
+    lifted: frozenset[int] = frozenset()
+    mark: bool = False
+    pure: bool = False
+    hard: bool = False
+    kind: str = ""
+    variants: dict[frozenset[int], Place] | None = None
 
     def child(self, tag: str, attributes: str) -> Place:
         found = self.below.get((tag, attributes))
         if found is None:
-            words, role, hidden = named(attributes) if attributes else ((), "", False)
-            main = self.main or tag in ("article", "main") or role in ("main", "article")
-            noise = self.noise or tag in DROPPED or hidden or role in ROLES or not NOISE.isdisjoint(words)
-            noise = noise or (not main and (tag == "header" or not HEADERS.isdisjoint(words)) and tag not in ("body", "html", "h1"))
+            words, role, hidden, pure = named(attributes) if attributes else ((), "", False, False)
+            kind = tag if tag in ("article", "main") else role if role in ("article", "main") else ""
+            main = self.main or kind != ""
+            hard = self.hard or tag in DROPPED or hidden or role in ROLES or (not main and tag == "header")
+            named_noise = not NOISE.isdisjoint(words) or (not main and tag != "h1" and not HEADERS.isdisjoint(words))
+            mark = tag == "form" or (named_noise and tag not in ("html", "body") and kind != "main" and (pure or kind != "article"))
             key = xxhash.xxh3_64_intdigest(f"{self.key} {tag} {' '.join(sorted(words))}") >> 1
-            found = Place(key, tag, noise, main and not noise, self.link or tag == "a", self)
+            noise = self.noise or hard or (mark and key not in self.lifted)
+            found = Place(key, tag, noise, main and not noise, self.link or tag == "a", self, lifted=self.lifted, mark=mark, pure=pure, hard=hard, kind=kind)
             if len(self.below) < 10_000:
                 self.below[tag, attributes] = found
         return found
 
+    def line(self) -> Iterator[Place]:
+        place: Place | None = self
+        while place is not None:
+            yield place
+            place = place.above
+
 
-def named(attributes: str) -> tuple[tuple[str, ...], str, bool]:
-    """Words of class and id, the role, and whether the element is hidden."""
-    words, role, hidden = [], "", False
+def named(attributes: str) -> tuple[tuple[str, ...], str, bool, bool]:
+    """Words of class and id, the role, whether the element is hidden, and whether a name is a noise word alone."""
+    words, role, hidden, pure = [], "", False, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             words += [w.lower() for w in _WORD.findall(value)]
+            pure = pure or any(_NUMBER.sub("", w) in NOISE for w in value.lower().split())
         elif name == "role":
             role = value.lower()
         elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
-    return tuple(words), role, hidden
+    return tuple(words), role, hidden, pure
+
+
+def wrappers(found: list[tuple[Place, str, int, Place | None]]) -> frozenset[int]:
+    """Keys of marked elements that are no noise on this page, for they hold its article or most of its text."""
+    soft = [(p, t, n) for p, t, n, opened in found if opened is None and p.noise and not p.hard]
+    if not soft:
+        return frozenset()
+    clean = [(p, t, n) for p, t, n, opened in found if opened is None and not p.noise]
+    kinds = {p.kind for p, _, _, opened in found if opened is not None and not p.noise}
+    places: dict[int, Place] = {}
+    chars: dict[int, int] = {}
+    links: dict[int, int] = {}
+    for p, t, n in soft:
+        for x in p.line():
+            places[x.key] = x
+            chars[x.key] = chars.get(x.key, 0) + len(t)
+            links[x.key] = links.get(x.key, 0) + n
+    lifted: set[int] = set()
+    inside = not kinds.isdisjoint(("article", "main"))
+    total = sum(len(t) - n for _, t, n in [*clean, *soft])
+    held = [x for x in places.values() if x.kind]
+    if held and "article" not in kinds:
+        best = max(held, key=lambda x: (x.kind == "article", chars[x.key], -x.key))
+        marks = [x for x in best.line() if x.mark]
+        if not any(x.pure for x in marks) or (not inside and 2 * chars[best.key] > total):
+            lifted.update(x.key for x in [*marks, *held] if x.mark)
+            inside = True
+    for k, x in places.items():
+        if x.mark and not (x.pure and inside) and 2 * links[k] <= chars[k] and chars[k] - links[k] > total * (0.9 if x.pure or inside else 0.5):
+            lifted.add(k)
+    return frozenset(lifted)
+
+
+def read(page: str, root: Place) -> list[tuple[Place, str, int, Place | None]]:
+    """What ``blocks`` yields, without the marks of wrappers."""
+    found = list(blocks(page, root))
+    if lifted := wrappers(found):
+        root.variants = root.variants or {}
+        if lifted not in root.variants and len(root.variants) >= 16:
+            root.variants.clear()
+        found = list(blocks(page, root.variants.setdefault(lifted, Place(0, "", lifted=lifted))))
+    return found
 
 
 def blocks(page: str, root: Place) -> Iterator[tuple[Place, str, int, Place | None]]:
@@ -211,7 +276,7 @@ def tokens(pages: DataFrame) -> DataFrame:
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 host, own, page = host_of(url), {}, page or ""
                 draw = xxhash.xxh3_64_intdigest(page) & ((1 << 40) - 1)
-                for i, (place, text, links, opened) in enumerate(blocks(page, root)):
+                for i, (place, text, links, opened) in enumerate(read(page, root)):
                     x = own.setdefault(place.key, [place.above.key if place.above else 0, place.noise, place.main, 0, i, 0, 0])
                     if opened is not None:
                         x[3] += 1
@@ -298,7 +363,7 @@ def slot_blocks(page: str, root: Place, slots: dict[int, bool]) -> tuple[list[tu
                 verdicts[place.key] = place.main or (place.above is not None and place.above.tag != "" and keep(place.above))
         return verdicts[place.key]
 
-    found = [(p, t, n) for p, t, n, opened in blocks(page, root) if opened is None]
+    found = [(p, t, n) for p, t, n, opened in read(page, root) if opened is None]
     return found, [t for p, t, _ in found if keep(p)]
 
 
@@ -354,7 +419,7 @@ def extract(pages: DataFrame) -> DataFrame:
     has_columns(pages, "page_id", "url", "html")
     found = cut(templates(pages))
     fixed = fixed_blocks(pages, found).select(F.col("host").alias("_f"), "fixed")
-    found = cut(join_small(found, fixed, found["host"] == fixed["_f"], "left").select("host", "tokens", "keep", F.coalesce("fixed", F.array().cast("array<long>")).alias("fixed")))
+    found = cut(join_small(found, fixed, found["host"] == fixed["_f"], "left", BROADCAST_HOSTS).select("host", "tokens", "keep", F.coalesce("fixed", F.array().cast("array<long>")).alias("fixed")))
     rows = pages.select("page_id", "url", "html", host_column(F.col("url")).alias("_host"))
     common = found.filter(F.col("host") == COMMON).select(F.col("host").alias("_c"), F.struct("tokens", "keep", "fixed").alias("_all"))
     own = found.filter(F.col("host") != COMMON).select(F.col("host").alias("_h"), F.struct("tokens", "keep", "fixed").alias("_own"))

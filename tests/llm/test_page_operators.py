@@ -32,6 +32,28 @@ def test_one_page(body, text):
     assert html_text.main_text(page, html_text.Place(0, ""), {}, frozenset()) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='no-sidebar'>{}</body>",
+        "<body><main class='has-comments'>{}</main></body>",
+        "<body><div id='page' class='right-sidebar'>{}</div></body>",
+        "<body><form action=/><div class='with-header'>{}</div></form></body>",
+        "<body class='menu'><div class=sidebar-left><form>{}</form></div></body>",
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "article class=post-share", "div"])
+def test_wrappers_are_no_noise(page, tag):
+    body = f"<nav><a>Home</a></nav><{tag}><p>Some <b>bold</b> text of the page.</p><p>More of it, and more than all comments.</p></{tag.split()[0]}>"
+    html = "<html><head><title>t</title></head>" + page.format(body + "<div class=ad>Buy</div><section id=comments><article class=comment-7><p>nice</p></article></section>") + "</html>"
+    assert html_text.main_text(html, html_text.Place(0, ""), {}, frozenset()) == "Some bold text of the page.\nMore of it, and more than all comments."
+
+
+def test_comments_stay_noise():
+    page = "<body><main><p>Short.</p><section id=comments><article><p>A comment that is longer than the page.</p></article></section></main><form>Mail us at once</form></body>"
+    assert html_text.main_text(page, html_text.Place(0, ""), {}, frozenset()) == "Short."
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [(i, f"http://h.example/{i}", SHELL.format(f"<article><h1>Title {i}</h1><p>Body {i} {'w ' * i}</p><p>Follow us</p></article>"), "clash", "clash") for i in range(20)]
