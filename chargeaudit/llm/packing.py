@@ -8,8 +8,8 @@ at powers of two, so no sequence needs padding.  Equal keys (copies) are told ap
 a large group of copies spreads over partitions.
 
 A document's ids are those of the tokenizer for its whole text, without special tokens, then END.  Words
-between blanks are encoded apart from each other, which changes nothing in this tokenizer (it drops blanks);
-each worker keeps a bounded table of word encodings.
+between blanks are encoded apart from each other, which changes nothing in this tokenizer (it drops blanks).
+Its added tokens, such as <|endoftext|>, keep their own ids where a text holds them; texts are split there first.  Each worker keeps a bounded table of word encodings.
 
 Defined cases: a null, empty or blank text has END alone; repeated rows are packed each; a null doc_id keeps
 null; an empty table gives an empty result; other columns are ignored.
@@ -83,13 +83,22 @@ class Encoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        #: added tokens among words, after a blank, which no word holds: words in lower case may look like them
+        self.added = {b" " + t.encode(): i for t, i in added.items()}
+        self.cuts = re.compile(b"(" + b"|".join(re.escape(t.encode()) for t in sorted(added, key=len, reverse=True)) + b")") if added else None
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.words = WordCodes()
         # of each word: how often it was met; and its signs, number of ids and their start, packed into one number
         self.seen, self.packed = (np.zeros(1 << 16, np.int64) for _ in range(2))
         self.flat, self.filled = np.zeros(1 << 18, np.uint32), 0
 
+    def split(self, text: bytes) -> list[bytes]:
+        """The words of a text, cut at added tokens."""
+        if self.cuts is None or self.cuts.search(text) is None:
+            return words_of(text)
+        return [w for i, x in enumerate(self.cuts.split(text)) for w in ([b" " + x] if i % 2 else words_of(x))]
+
     def part(self, text: str) -> bytes:
         """Ids of one lower-cased part between cuts, four bytes each."""
         return array("I", [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, text.encode())))]).tobytes()
@@ -97,6 +106,8 @@ class Encoder:
     def word(self, word: bytes) -> bytes:
         if word == STOP:
             return array("I", [END]).tobytes()
+        if word in self.added:
+            return array("I", [self.added[word]]).tobytes()
         if word.isalpha():  # bytes: ASCII letters alone
             return self.part(word.lower().decode())
         text = word.decode()
@@ -142,7 +153,7 @@ class Encoder:
         """All ids, END after each text; each text's number of ids; each text's projected vector and its squared length."""
         if len(self.words) > WORDS_KEPT:
             self.forget()
-        split = [[*words_of(t or b""), STOP] for t in texts]
+        split = [[*self.split(t or b""), STOP] for t in texts]
         each = np.array([len(ws) for ws in split], np.int64)
         known = len(self.words)
         codes = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(each.sum()))

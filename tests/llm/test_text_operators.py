@@ -106,6 +106,15 @@ def test_shared_and_forest():
     assert [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]] == both.astype(int).tolist()
 
 
+def test_added_tokens():
+    """Ids are those of the tokenizer as it is loaded."""
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a<|endoftext|>b", "A.<|endoftext|> <|startoftext|>", "é<|endoftext|>É x", "<|ENDOFTEXT|> a<|EndOfText|>b", "<|endoftext|><|endoftext|>'s", "é <|ENDOFTEXT|>", "<|end of", "x.<|endoftext|>\u0301b", "plain text."]
+    ids, lengths, _ = packing.Encoder(None)([x.encode() for x in texts])
+    want = [[*t.encode(x, add_special_tokens=False).ids, packing.END] for x in texts]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
 @pytest.mark.parametrize("width", [64, 2048])
 def test_packing(docs, empty, frame, width):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
