@@ -50,8 +50,9 @@ def text_knn(spark, d):
 
 
 def lsh_knn(spark, d):
+    """Rows near those whose number is divisible by 100, of whatever label, but for themselves."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), array_to_vector("embedding").alias("features"), "label")
-    return S.approximate_join(e.filter("label = 0"), e.filter("label = 1"), 1.2)
+    return S.approximate_join(e.filter("id % 100 = 0"), e, 1.2).filter("id <> other")
 
 
 def keyword_recall(spark, d):

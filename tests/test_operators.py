@@ -16,6 +16,7 @@ from chargeaudit.operators import detect as D
 from chargeaudit.operators import pages as G
 from chargeaudit.operators import post as P
 from chargeaudit.operators import tables as T
+from chargeaudit.plans import search as plans
 from chargeaudit.streaming import streams
 
 LINES = "bill_id long, pos int, description string, category string, quantity decimal(12,2), rate decimal(12,2), amount decimal(12,2), batch_no string"
@@ -151,3 +152,10 @@ def test_stream_equals_batch(spark, tmp_path):
     q = streams.totals(stream).writeStream.format("memory").queryName("totals_stream").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("totals_stream").collect())) == sorted(map(tuple, streams.totals(df).collect()))
+
+
+def test_lsh_knn_searches_all_labels(spark, tmp_path):
+    rows = [(i, [1.0, i / 1000.0], i % 3) for i in range(99, 104)] + [(200, [-5.0, -5.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.id, r.other) for r in plans.lsh_knn(spark, str(tmp_path)).collect()}
+    assert got == {(100, i) for i in (99, 101, 102, 103)}
