@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import search as S
@@ -45,14 +45,14 @@ def invalid_rejection(spark, d):
 def text_knn(spark, d):
     """Documents near a benchmark passage, by TF-IDF vectors of both."""
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), "text").union(table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("key"), "text"))
-    vectors = S.text_vectors(docs, "key", 1 << 10)
-    return S.approximate_join(vectors.filter("id LIKE 'b%'"), vectors.filter("id LIKE 'd%'"), 1.0)
+    vectors = S.text_vectors(docs, "key", 1 << 10).select("id", vector_to_array("features").alias("vec"))
+    return S.near_join(vectors.filter("id LIKE 'b%'"), vectors.filter("id LIKE 'd%'"), 1.0)
 
 
 def lsh_knn(spark, d):
     """Rows near those whose number is divisible by 100, of whatever label, but for themselves."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), array_to_vector("embedding").alias("features"), "label")
-    return S.approximate_join(e.filter("id % 100 = 0"), e, 1.2).filter("id <> other")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return S.near_join(e.filter("id % 100 = 0"), e, 1.2).filter("id <> other")
 
 
 def keyword_recall(spark, d):

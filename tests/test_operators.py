@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -15,6 +16,7 @@ from chargeaudit.functions.predicates import dispatch, episode, sanitised
 from chargeaudit.operators import detect as D
 from chargeaudit.operators import pages as G
 from chargeaudit.operators import post as P
+from chargeaudit.operators import search as S
 from chargeaudit.operators import tables as T
 from chargeaudit.plans import search as plans
 from chargeaudit.streaming import streams
@@ -159,3 +161,15 @@ def test_lsh_knn_searches_all_labels(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {(r.id, r.other) for r in plans.lsh_knn(spark, str(tmp_path)).collect()}
     assert got == {(100, i) for i in (99, 101, 102, 103)}
+
+
+def test_near_join_finds_all(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 30)
+    x = np.random.default_rng(6).normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, rows[5], (400, None), (401, [float("nan")] * 16), (402, [1.0])], "id long, vec array<double>")
+    got = sorted((r.id, r.other) for r in S.near_join(df.filter("id % 10 = 0"), df, 1.2).collect())
+    brute = [(i, j) for i in range(0, 300, 10) for j in [*range(300), 5] if np.linalg.norm(x[i] - x[j]) < 1.2]
+    assert got == sorted(brute) and len(got) > 1000
+    assert S.near_join(df.limit(0), df, 1.2).count() == 0
