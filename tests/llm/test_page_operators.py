@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
+from fractions import Fraction
+from math import floor
+from operator import mul
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -136,7 +140,9 @@ def vectors() -> list[tuple]:
     rng = np.random.default_rng(4)
     rows = [(i, [*map(float, rng.integers(-3, 4, 8) / 4)], "c") for i in range(200)]
     rows += [(200, None, ""), (250, [1.0, None], ""), (300, [float("nan")] * 8, ""), (350, [float("inf")] * 8, ""), (400, [], ""), (450, [0.5] * 3, ""), (451, [0.25] * 3, ""), (500, [-1000.5] * 8, "")]
-    return [*rows, rows[7], rows[50], (None, [1.0] * 8, "")]
+    rows += [(550 + i, [1e8 * (i % 3 - 1), -3e20, 1e300, float(i), 0.5, 1.0, -1e8, 2.0], "") for i in range(12)]
+    rows += [(700 + i, [0.25, 1.0] * 4, "") for i in range(60)]
+    return [*rows, rows[7], rows[50], rows[100], (None, [1.0] * 8, "")]
 
 
 def test_search(spark, monkeypatch):
@@ -145,18 +151,22 @@ def test_search(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "STRETCH", 3)
     df = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>, rank string")
     got = topk_search.search(df, F.col("vec_id") % 50 == 0, k=5).toPandas()
-    fine = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v, _ in vectors() if i is not None and v and None not in v and np.isfinite(v).all()]
+    fine = [(r, i, [floor(256 * Fraction(x)) for x in v]) for r, (i, v, _) in enumerate(vectors()) if i is not None and v and None not in v and np.isfinite(v).all()]
     want = []
-    for i, q in fine:
+    for r, i, q in fine:
         if i % 50 == 0:
-            scored = sorted(((-int(q @ v), j) for j, v in fine if j != i and len(v) == len(q)))[:5]
-            want += [(i, n, j, -s) for n, (s, j) in enumerate(scored, 1)]
+            # all rows but the query's own, also those of its vec_id; huge scores are ranked as they are and shown cut to 64 bits
+            scored = sorted(((-sum(map(mul, q, v)), j) for o, j, v in fine if o != r and len(v) == len(q)))[:5]
+            want += [(i, n, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, j) in enumerate(scored, 1)]
     assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].values.tolist())) == sorted(want)
     assert topk_search.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_bounds_hold():
     rng = np.random.default_rng(5)
-    x, q = rng.integers(-300, 300, (100, 6)), rng.integers(-300, 300, (7, 6))
-    low, high = topk_search.Approximation(x).bounds(q)
-    assert (low <= q @ x.T).all() and (q @ x.T <= high).all()
+    x, q = rng.integers(-300, 300, (100, 6)) / 7, rng.integers(-300, 300, (7, 6)).astype(float)
+    whole = np.floor(256 * x)
+    grid = topk_search.Grid(whole.min(axis=0), whole.max(axis=0))
+    low, high = grid.bounds(q, grid.cells(x))
+    assert (low <= q @ whole.T).all() and (q @ whole.T <= high).all()
+    assert (high - low < 0.02 * np.abs(q).sum(axis=1)[:, None] * (whole.max() - whole.min())).all()  # far narrower than the grid
