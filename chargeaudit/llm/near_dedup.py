@@ -21,9 +21,9 @@ A pair at exactly 75 % is missed by all bands with probability (1 - 0.75 ** ROWS
 Sets are held as 64-bit hashes of shingles.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with nothing, itself its component;
-rows that repeat a doc_id share a component only through their texts, and keep their own sizes; rows with a
-null doc_id are dropped from linking and form components of null; ties go to the smaller doc_id; an empty
-table gives an empty result; other columns are ignored.
+rows that repeat a doc_id with several texts keep their own sizes, and are one node that has the links of all
+its texts; rows with a null doc_id are dropped from linking and form components of null; ties go to the
+smaller doc_id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,9 +44,13 @@ WORDS = 5
 PERCENT = 75
 BANDS = 32
 ROWS = 4
-#: Members of a cell that a block compares, outside and inside the largest component, about.
+#: Members of a cell that a block compares, outside and inside the largest component, about; and the bytes of their sets.
 OUTSIDE = 512
 MEMBERS = 2048
+OUTSIDE_BYTES = 4 << 20
+MEMBERS_BYTES = 16 << 20
+#: Keys that the copies of a text are dealt over.
+SALTS = 16
 #: Agreement of the byte-sized minima below which a pair is not confirmed: over six standard deviations under the threshold.
 LEAST_AGREEMENT = 0.52
 
@@ -129,7 +133,7 @@ def agreeing(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     a = sig.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     b = sig.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-    both = both.filter((100 * F.least("na", "nb")) >= PERCENT * F.greatest("na", "nb"))
+    both = both.filter(((100 * F.least("na", "nb")) >= PERCENT * F.greatest("na", "nb")) & (F.col("a") != F.col("b")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,11 +141,11 @@ def agreeing(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long").distinct()  # an id may have several texts
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and s, the full shingle set, of the documents in ``ids``."""
+    """id and s, the full shingle set, of the documents in ``ids``: one row for each different set of an id."""
     wanted = join_small(docs, ids.select(F.col("id").alias("_id")), docs["doc_id"] == F.col("_id"), "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +153,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             shingler = Shingler()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingler(t).tobytes() for t in texts_of(batch, "text")], pa.binary())], names=["id", "s"])
 
-    return written(wanted.select("doc_id", "text").mapInArrow(work, "id long, s binary"), "sets", "snappy").dropDuplicates(["id"])
+    return written(wanted.select("doc_id", "text").mapInArrow(work, "id long, s binary"), "sets", "snappy").dropDuplicates(["id", "s"])
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -166,7 +170,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,11 +258,13 @@ def cell_links(todo: DataFrame, docs: DataFrame) -> DataFrame:
     low = todo.groupBy("bucket").agg(F.min("id").alias("a"))
     cells = components(todo.join(low.hint("merge"), "bucket").select("a", F.col("id").alias("b")).filter("a <> b").distinct())
     members = todo.select("id", "c").distinct()
-    cell = members.join(cells.hint("merge"), "id", "left").select("id", "c", F.coalesce("component", "id").alias("cell"))
-    sizes = cell.groupBy("cell", "c").agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"))
-    sizes = sizes.select("cell", F.ceil(F.col("n") / MEMBERS).cast("int").alias("chunks"), F.greatest(F.ceil((F.col("n") - F.col("most.n")) / OUTSIDE), F.lit(1)).cast("int").alias("parts"), F.col("most.c").alias("largest"))
+    full = full_sets(docs, members.select("id"))
+    weights = full.groupBy("id").agg(F.sum(F.octet_length("s")).alias("w"))
+    cell = members.join(cells.hint("merge"), "id", "left").select("id", "c", F.coalesce("component", "id").alias("cell")).join(weights.hint("merge"), "id")
+    sizes = cell.groupBy("cell", "c").agg(F.count("*").alias("n"), F.sum("w").alias("w")).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "c", "w")).alias("most"))
+    blocks = lambda n, w, rows, size: F.greatest(F.ceil(n / rows), F.ceil(w / size), F.lit(1)).cast("int")
+    sizes = sizes.select("cell", blocks(F.col("n"), F.col("w"), MEMBERS, MEMBERS_BYTES).alias("chunks"), blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w"), OUTSIDE, OUTSIDE_BYTES).alias("parts"), F.col("most.c").alias("largest"))
     rows = cut(cell.join(sizes.hint("merge"), "cell"))
-    full = full_sets(docs, rows.select("id"))
     draw = F.xxhash64("id")
     inside = rows.select("cell", F.pmod(draw, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("outside"), "id", "c")
     out = rows.filter("c <> largest").select("cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(draw, "parts").cast("int").alias("part"), F.lit(True).alias("outside"), "id", "c")
@@ -266,13 +272,14 @@ def cell_links(todo: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("cell", "chunk", "part", "outside", "id", "c", "s").groupBy("cell", "chunk", "part").applyInArrow(forest, "a long, b long")
 
 
-def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, component of the class representatives in ``sketch`` that are linked with another."""
+def links(sketch: DataFrame, docs: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """id, component of the class representatives in ``sketch`` that are linked with another; ``own``: links (a, b) known before."""
     rows = sketch.select("id", F.explode("bands").alias("bucket"))
     pivot = rows.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("size")).filter("size > 1").select("bucket", "a")
     rows = written(rows.join(pivot.hint("merge"), "bucket").select("bucket", "id", "a"), "buckets").filter("id <> a")
     pairs = rows.select("a", F.col("id").alias("b")).distinct()
-    found = components(confirmed(cut(agreeing(pairs, sketch)), docs))
+    sure = confirmed(cut(agreeing(pairs, sketch)), docs)
+    found = components(sure if own is None else sure.union(own))
     # pivots' pairs are decided; what is left of a bucket is open if it lies in several components
     todo = cut(open_rows(labelled(rows.select("bucket", "id"), found)))
     if todo.isEmpty():
@@ -285,13 +292,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     has_columns(docs, "doc_id", "text")
     sketch = written(sketched(docs), "minhash")
-    classes = sketch.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    shared = classes.filter("copies > 1").select("print", "rep")
-    every = sketch.select("id", "n", "print").join(shared.hint("merge"), "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    every = cut(every)
+    full = sketch.filter("n > 0 AND id IS NOT NULL")
+    classes = full.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    # copies of one text may be a large part of the rows, so they are dealt over SALTS keys
+    shared = classes.filter("copies > 1").select("print", "rep", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    salted = sketch.select("id", "n", "print", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    every = cut(salted.join(shared.hint("merge"), ["print", "salt"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     reps = classes.select("print", F.col("rep").alias("id"))
-    distinct = sketch.filter("n > 0").join(reps.hint("merge"), ["print", "id"], "left_semi").dropDuplicates(["id", "print"])
-    found = links(distinct, docs.select("doc_id", "text")).withColumnRenamed("id", "rep")
+    distinct = full.join(reps.hint("merge"), ["print", "id"], "left_semi").dropDuplicates(["id", "print"])
+    # an id with several texts is one node with the links of all of them
+    mark = F.xxhash64("print")
+    several = full.groupBy("id").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).filter("x <> y").select(F.col("id").alias("a"))
+    own = cut(every.filter("n > 0").join(several.hint("merge"), every["id"] == several["a"]).select("a", F.col("rep").alias("b")).distinct())
+    found = links(distinct, docs.select("doc_id", "text"), None if own.isEmpty() else own).withColumnRenamed("id", "rep")
     return every.join(found.hint("merge"), "rep", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "rep"), F.lit(True)).alias("kept")
     )

@@ -99,6 +99,21 @@ def test_cells_and_chains(spark):
     assert dict(zip(got.doc_id, got.component_id, strict=True)) == want
 
 
+def test_ids_with_several_texts(spark):
+    """An id with several texts is one node with the links of all of them, in every run."""
+    rng = random.Random(4)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (9, " ".join(c)), (7, near(c)), (9, " ".join(b)), (5, "alone here"), (5, None), (None, " ".join(a)), (None, "x")]
+    want = {1: 1, 2: 1, 3: 1, 9: 1, 7: 1, 5: 5, None: None}
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = near_dedup.near_duplicates(df).collect()
+        assert len(got) == len(rows)
+        assert all(r.component_id == want[r.doc_id] for r in got if r.doc_id is not None)
+        assert sorted((r.doc_id or 0, r.text or "") for r in near_dedup.kept_documents(df).collect() if r.doc_id is not None) == sorted((i, t or "") for i, t in rows if i in (1, 5))
+
+
 def test_shared_and_forest():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(12)]
