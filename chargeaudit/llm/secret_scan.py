@@ -1,10 +1,10 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
-Each rule is a regular expression with the literal strings one of which every match holds.  The literals give
-a Boolean trigram query, an OR of ANDs.  The index has one posting (trigram, doc_id) for each trigram of some
-query that a text holds; intersecting the postings of an AND and uniting the ORs gives the candidate
-documents of a rule, and the rule's expression is run on those alone.  A rule without such literals (runs of
-hex digits) has no mandatory trigram and scans every text.
+Each rule is a regular expression, and its Boolean trigram query, an OR of ANDs, is derived from the parsed expression
+(``trigrams.query_of``).  The index has one posting (trigram, doc_id) for each trigram of some query that a text
+holds; intersecting the postings of an AND and uniting the ORs gives the candidate documents of a rule, and the rule's
+expression is run on those alone.  A rule whose expression has no mandatory trigram (runs of hex digits) scans every text.
+Candidates are ids and a bit for each rule; while they are few they are sent to the texts, which then are not shuffled.
 
 Spans count code points; ends are exclusive.  Defined cases: a null text is empty and has no span; rows with
 a null ``doc_id`` cannot be posted and are scanned by every rule; rows that share a ``doc_id`` are candidates
@@ -18,16 +18,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import has_columns, table
+from .common import cut, has_columns, join_small, table
+from .trigrams import ANY, query_of
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret.  ``literals``: each match holds one of these, letters in either case; ``least``: of the ``group``."""
+    """A kind of secret; ``least``: characters of the ``group``."""
 
     kind: str
     pattern: str
-    literals: tuple[str, ...] = ()
     group: int = 0
     least: int = 1
     base: bool = False
@@ -35,24 +35,21 @@ class Rule:
 
 # The kinds, in the order of their listing.
 RULES = (
-    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("password", "passwd", "secret", "token", "apikey", "api_key"), 1, 6, True),
-    Rule("access", r"AKIA[A-Z0-9]+", ("akia",), 0, 20, True),
-    Rule("hex", r"[0-9a-f]{24,}", (), 0, 24, True),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("private key-----",)),
-    Rule("hosttoken", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("chattoken", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("webtoken", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", ("eyj",)),
+    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("hosttoken", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chattoken", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("webtoken", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 MASK = "[SECRET]"
 
 
-def trigrams(literal: str) -> list[str]:
-    return sorted({literal[i : i + 3] for i in range(len(literal) - 2)})
-
-
 def query(rule: Rule) -> list[list[str]]:
     """The rule's Boolean trigram query: an OR of ANDs; empty if nothing is mandatory."""
-    return [] if any(len(x) < 3 for x in rule.literals) else [trigrams(x) for x in rule.literals]
+    found = query_of(rule.pattern)
+    return [] if found == ANY else sorted(map(sorted, found))
 
 
 def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:
@@ -63,12 +60,12 @@ def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """doc_id and ``kinds``, the rules whose trigram queries the postings of the document satisfy.
+    """doc_id and ``rules``, a bit for each rule whose trigram query the postings of the document satisfy.
 
     One grouping by document intersects all posting lists at once: the grams that meet there are those in
     whose lists the document stands, and an AND holds if none of its grams is missing.
     """
-    queries = {r.kind: query(r) for r in rules if query(r)}
+    queries = {i: q for i, q in enumerate(map(query, rules)) if q}
     wanted = sorted({g for ands in queries.values() for grams in ands for g in grams})
     lists = postings(docs, wanted).groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))  # at most len(wanted)
 
@@ -79,8 +76,10 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             out = out | x
         return out
 
-    kinds = F.array_compact(F.array(*[F.when(satisfied(ands), F.lit(kind)) for kind, ands in queries.items()]))
-    return lists.select("doc_id", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+    bits = F.lit(0).cast("long")
+    for i, ands in queries.items():
+        bits = bits.bitwiseOR(F.when(satisfied(ands), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    return lists.select("doc_id", bits.alias("rules")).filter("rules <> 0")
 
 
 def spans_of(rule: Rule, order: int, text: Column) -> Column:
@@ -114,14 +113,16 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the column ``spans``: array<struct<start, ord, end, kind>>, sorted."""
     has_columns(docs, "doc_id", "text")
-    own = docs.columns
-    found = candidates(docs.select("doc_id", "text"), rules).withColumnsRenamed({"doc_id": "__secret_id", "kinds": "__secret_kinds"})
-    joined = docs.join(found.hint("merge"), docs["doc_id"] == found["__secret_id"], "left")
+    own, asked = docs.columns, [bool(query(r)) for r in rules]
     text = F.coalesce(F.col("text"), F.lit(""))
+    joined, bits = docs, F.lit(0).cast("long")
+    if any(asked):
+        found = cut(candidates(docs.select("doc_id", "text"), rules).withColumnsRenamed({"doc_id": "__secret_id", "rules": "__secret_rules"}))
+        joined, bits = join_small(docs, found, docs["doc_id"] == found["__secret_id"], "left"), F.coalesce("__secret_rules", F.lit(0).cast("long"))
     parts = []
     for order, rule in enumerate(rules):
         spans = spans_of(rule, order, text)
-        parts.append(F.when(F.array_contains("__secret_kinds", rule.kind) | F.col("doc_id").isNull(), spans) if query(rule) else spans)
+        parts.append(F.when((bits.bitwiseAND(F.lit(1 << order)) != 0) | F.col("doc_id").isNull(), spans) if asked[order] else spans)
     empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     return joined.select(*[docs[c] for c in own], F.array_sort(F.concat(*[F.coalesce(p, empty) for p in parts])).alias("__secret_spans"))
 

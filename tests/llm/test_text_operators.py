@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -13,7 +15,7 @@ import pytest
 from conftest import agree, normal
 from tokenizers import Tokenizer
 
-from chargeaudit.llm import mixing, near_dedup, packing, personal_data, quality_classifier, quality_rules, secret_scan
+from chargeaudit.llm import mixing, near_dedup, packing, personal_data, quality_classifier, quality_rules, secret_scan, trigrams
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words string"
 
@@ -254,8 +256,29 @@ def test_secrets(spark):
 
 
 def test_trigram_queries():
-    assert secret_scan.query(secret_scan.RULES[0])[0] == sorted({"pas", "ass", "ssw", "swo", "wor", "ord"})
-    assert secret_scan.query(secret_scan.RULES[2]) == []
+    """Queries come out of the expressions; a rule without mandatory trigrams has none."""
+    of = {r.kind: secret_scan.query(r) for r in secret_scan.RULES}
+    grams = lambda w: sorted({w[i : i + 3] for i in range(len(w) - 2)})
+    assert of["assign"] == sorted(grams(w) for w in ("password", "passwd", "secret", "token", "apikey", "api_key"))
+    assert of["access"] == [grams("akia")] and of["hex"] == []
+    assert of["hosttoken"] == sorted(grams(f"gh{c}_") for c in "pousr")
+    assert of["pem"] == [sorted({*grams("-----begin "), *grams("private key-----")})]
+    assert secret_scan.query(secret_scan.Rule("new", r"(?i)x-(?:live|test)_key=\d+")) == sorted(grams(f"x-{w}_key=") for w in ("live", "test"))
+    assert secret_scan.query(secret_scan.Rule("bad", r"(((")) == []
+
+
+@pytest.mark.parametrize("pattern", ["abc", "a?bca", "(ab|c)+ab", "a{2,3}b", "ab[ab]c*abc", "(?:ab|bc)?abc|cab", "(a|b)c(a|b)", "a.bca", "^abc|b*cab$", "(?=ab)abc", "(abc){2}", "[^a]bcb", "(ab){0,2}cba", "a++bca", "[ABC]bc"])
+def test_trigram_queries_rule_out_no_match(pattern):
+    """All strings of seven letters at most: what matches satisfies the query."""
+    found = trigrams.query_of(pattern)
+    for n in range(8):
+        for letters in itertools.product("abc", repeat=n):
+            text = "".join(letters)
+            if re.search(pattern, text, re.I):
+                held = {text[i : i + 3] for i in range(n - 2)}
+                assert any(s <= held for s in found), text
+    if pattern in ("abc", "a{2,3}b", "(abc){2}", "ab[ab]c*abc"):
+        assert found != trigrams.ANY
 
 
 def test_personal_data(spark):
