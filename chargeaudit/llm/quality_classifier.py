@@ -2,8 +2,9 @@
 
 Words and word pairs, lower-cased in A-Z, are hashed into ``BUCKETS`` buckets.  Two multinomial models with added
 counts, of the target texts (documents labelled as good) and of all documents, give each document a weight, the
-ratio of its probabilities under the two.  Adding seeded Gumbel noise to the logarithm of the weight and taking
-the k highest draws k documents without replacement in proportion to their weights.
+ratio of its probabilities under the two, as if it had ``LENGTH`` n-grams: the mean log ratio of its n-grams times LENGTH.  So a
+long text does not outweigh a short one, and weights are of the noise's order.  Adding seeded Gumbel noise to the logarithm
+of the weight and taking the k highest draws k documents without replacement in proportion to their weights.
 
 Counts are vectors of BUCKETS numbers: each task sums its own and they are added up, so what reaches the driver
 and is sent to the tasks has that size whatever the input.  The target model is fitted on at most ``sample`` labelled
@@ -33,6 +34,8 @@ SAMPLE = 50_000
 #: Documents to draw, out of 1000.
 DRAWN = 850
 SEED = 11
+#: The number of n-grams that every text counts as.
+LENGTH = 16
 #: Bins of a histogram of keys, and the number of keys that are sorted at once.
 BINS = 4096
 SORTED = 10_000
@@ -98,11 +101,15 @@ def kth_highest(keys: DataFrame, k: int) -> float | None:
     if low == high:
         return low
     inside = keys.filter((F.col("key") >= low) & (F.col("key") <= high))
-    # SORTED rows, or as many as lie within the spacing of doubles
-    return inside.groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("key")).limit(k).agg(F.min("key")).first()[0] if n > SORTED else sorted((r[0] for r in inside.select("key").collect()), reverse=True)[k - 1]
+    # SORTED rows at most, or else the few doubles that lie between ends so near
+    for row in sorted(inside.groupBy("key").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["key"]):
+        if k <= row["n"]:
+            return row["key"]
+        k -= row["n"]
+    return low
 
 
-def weighed(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
+def weighed(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, length: float = LENGTH) -> DataFrame:
     """doc_id, n_grams, log_weight and key of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +117,7 @@ def weighed(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
             buckets, sizes = grams(texts_of(batch, "text"))
             ends = np.cumsum(sizes)
             # each text summed on its own, so that its weight does not depend on its neighbours
-            weight = np.array([np.sum(ratio[buckets[a:b]]) for a, b in zip(ends - sizes, ends, strict=True)], np.float64)
+            weight = np.array([np.sum(ratio[buckets[a:b]]) * length / max(b - a, 1) for a, b in zip(ends - sizes, ends, strict=True)], np.float64)
             ids = [0 if i is None else i for i in batch.column("doc_id").to_pylist()]
             draw = (mixed(np.array(ids, np.int64).view(np.uint64) ^ np.uint64(seed)) >> np.uint64(11)).astype(np.float64)
             gumbel = -np.log(-np.log((draw + 0.5) / 2.0**53))
@@ -119,13 +126,13 @@ def weighed(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_grams long, log_weight double, key double")
 
 
-def resample(docs: DataFrame, labels: DataFrame, drawn: int = DRAWN, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, drawn: int = DRAWN, sample: int = SAMPLE, seed: int = SEED, length: float = LENGTH) -> DataFrame:
     """doc_id, n_grams, log_weight, key and kept for every row of ``docs``; ``labels`` has doc_id and quality."""
     has_columns(docs, "doc_id", "text")
     has_columns(labels, "doc_id", "quality")
     good = labels.filter("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     target = gram_counts(docs.join(F.broadcast(good), "doc_id", "left_semi"))  # at most ``sample`` ids
-    keys = cut(weighed(docs, log_ratio(target, gram_counts(docs)), seed))
+    keys = cut(weighed(docs, log_ratio(target, gram_counts(docs)), seed, length))
     edge = kth_highest(keys, -(-keys.count() * drawn // 1000))
     return keys.select("*", (F.col("key") >= F.lit(edge)).alias("kept"))
 
