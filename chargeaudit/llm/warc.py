@@ -7,23 +7,26 @@ bytes is cut into a first record and ``continuation`` records that name the firs
 numbered, and end with WARC-Segment-Total-Length.  Spark's text writer lays the records out, gzipped, in the
 shared folder; its line separator is the blank line that ends a WARC record.
 
-Reading.  Whole archive files are parsed by Content-Length.  Segments meet by origin identifier, are ordered by
+Reading.  Archive files, which hold at most RECORDS records of at most ``segment`` bytes and their headers, are unzipped and parsed
+as streams, by Content-Length.  Segments meet by origin identifier, are ordered by
 segment number and must be gapless and add up to the total length; then the HTTP header is taken off, the chunks
 are joined, and the digest of the payload is compared with the header's.  Records that fail have ``problem`` set.
 
 Defined cases: a null html is an empty payload; page_ids that are null or repeated keep their rows, for record
 identifiers carry a row number where they need one; rows that repeat both the largest page_id and its payload are
-all responses; an empty table gives an empty result; other columns are ignored.
+all responses; bytes that are no UTF-8 are kept as they are; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +36,10 @@ VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 LEAST = 1000
 #: Bytes of a block beyond which a record is segmented, and of a chunk.
-SEGMENT = 64 << 10
-CHUNK = 8 << 10
+SEGMENT = 16 << 10
+CHUNK = 4 << 10
+#: Records of a file at most.
+RECORDS = 16384
 
 
 def described(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -43,7 +48,7 @@ def described(pages: DataFrame, least: int = LEAST) -> DataFrame:
     One scan finds the payloads that several pages share, a second one meets them by digest; nothing ties a row of
     one scan to a row of the other, for splits may change when executors go.
     """
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    payload = F.coalesce("html", F.lit("")).cast("binary")
     meta = pages.select("page_id", F.octet_length(payload).alias("bytes"), F.sha1(payload).alias("digest")).filter(F.col("bytes") >= least)
     per = meta.groupBy("digest", "page_id").agg(F.count("*").alias("n"))
     shared = per.groupBy("digest").agg(F.sum("n").alias("all"), F.max(F.struct("page_id", "n")).alias("top")).filter("all > 1")
@@ -65,7 +70,7 @@ def page_of(identifier: str) -> int | None:
 
 
 def pieces(data: bytes, most: int) -> Iterator[bytes]:
-    """Cuts of at most ``most`` bytes that split no UTF-8 sequence, for the text writer takes only whole ones."""
+    """Cuts of at most ``most`` bytes that split no UTF-8 sequence, so archives of UTF-8 pages are texts."""
     at = 0
     while at < len(data):
         end = min(at + most, len(data))
@@ -75,13 +80,13 @@ def pieces(data: bytes, most: int) -> Iterator[bytes]:
         at = end
 
 
-def record(headers: list[tuple[str, object]], block: bytes) -> str:
+def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in headers)
-    return f"{VERSION}\r\n{head}Content-Length: {len(block)}\r\n\r\n{block.decode()}\r\n\r\n"
+    return f"{VERSION}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def records(name: str, url: str, html: bytes, digest: str, refers: str | None, segment: int = SEGMENT) -> Iterator[str]:
-    """The text of a page's records, each with the blank line that ends it; ``refers``: the response's identifier of a revisit."""
+def records(name: str, url: str, html: bytes, digest: str, refers: str | None, segment: int = SEGMENT) -> Iterator[bytes]:
+    """A page's records, each with the blank line that ends it; ``refers``: the response's identifier of a revisit."""
     target = url.replace("\r", "%0D").replace("\n", "%0A")
     common = [("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers is not None:
@@ -117,24 +122,24 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, segment: int = S
             out = []
             for html, (page, url, digest, revisit, to, named, row) in zip(texts, others, strict=True):
                 name, refers = record_id(page, digest, None if named else row), record_id(to, digest) if revisit else None
-                out += [r.removesuffix("\r\n\r\n") for r in records(name, url or "", html or b"", digest, refers, segment)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                out += [r.removesuffix(b"\r\n\r\n") for r in records(name, url or "", html or b"", digest, refers, segment)]
+            # the writer lays bytes out as they are, also those that are no UTF-8
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))], names=["value"])
 
-    full.mapInArrow(work, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    full.mapInArrow(work, "value string").write.option("maxRecordsPerFile", RECORDS).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of an archive file, gzipped or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        fields = [line.partition(": ") for line in data[at:end].decode().split("\r\n")[1:]]
-        headers = {k.lower(): v for k, _, v in fields}
-        start = end + 4
-        at = start + int(headers["content-length"])
-        yield headers, data[start:at]
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/1."):
+            continue  # blank lines between records
+        headers: dict[str, str] = {}
+        while (line := stream.readline().rstrip(b"\r\n")):
+            name, _, value = line.decode().partition(": ")
+            headers[name.lower()] = value
+        yield headers, stream.read(int(headers["content-length"]))
 
 
 SEGMENTS = "origin string, number int, type string, digest string, refers string, total long, uri string, block binary"

@@ -126,6 +126,21 @@ def test_warc_finds_lost_segments(spark, pages, tmp_path):
         warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
 
 
+def test_warc_keeps_bytes_and_bounds_files(spark, tmp_path, monkeypatch):
+    """Bytes that are no UTF-8 come back as they were; a file holds RECORDS records at most."""
+    monkeypatch.setattr(warc, "RECORDS", 4)
+    raw = F.unhex(F.concat(F.lit("FF00C3"), F.repeat(F.lit("41E2820D0A0D0A"), F.col("page_id").cast("int") * 400)))
+    pages = spark.range(9).withColumnRenamed("id", "page_id").select("page_id", F.lit("http://h/").alias("url"), raw.cast("string").alias("html"))
+    path = tmp_path / "w"
+    warc.write_warc(pages.coalesce(1), str(path), segment=5000)
+    back = {r.page_id: r for r in warc.read_warc(spark, str(path)).collect()}
+    for i in range(9):
+        want = b"\xff\x00\xc3" + bytes.fromhex("41E2820D0A0D0A") * 400 * i
+        assert bytes(back[i].payload) == want and back[i].payload_digest == hashlib.sha1(want).hexdigest() and back[i].problem is None
+    segments = warc.read_segments(spark, str(path)).count()
+    assert segments > 20 and len(list(path.glob("part-*"))) == -(-segments // 4)
+
+
 def test_warc_contract(spark, tmp_path):
     rows = [(i, f"u{i}", "x" * (1000 if i % 2 else 999) + str(i % 3)[: i % 2], "", "") for i in range(30)] + [(31, "u", None, "", "")]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "pages.parquet"))
