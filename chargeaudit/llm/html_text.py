@@ -1,53 +1,61 @@
 """Main text of web pages by template deduction over equivalence classes of tokens.
 
-A token is an element in its place: the path of tags and class words that leads to it, or a whole block of text.
-Its occurrence vector has the number of its occurrences on each page of a host; a sum of random numbers, one for
-each page times the occurrences, stands for the vector and is merged by addition.
-
-1. One pass sums for every host and token: pages, occurrences, vector, first places, and characters of text and of link text.
-2. Per host, tokens on at least half of the pages form equivalence classes, those with one vector.  A class is
-   valid if it has several tokens or is on every page, and classes nest by their places in the document.  The
-   valid classes are the template, their tokens are its fixed part, and what lies under each is a slot.
-   A host's list is bounded by the size of its pages, for few tokens can be on half of them.
-   Class and id words, and forms, only mark an element as noise: html, body and main are never marked, and the mark is lifted
-   from what holds the article or most of the page's text.
-3. Slots are judged once per host: those under a menu, header, footer, sidebar, notice, advert, form or comments
-   are not text; of the rest, those in the article, or where there is none those in the container of
-   most text with few links.
-4. A second pass lists the blocks that each page of a larger host has in the remaining slots.  Blocks of fixed text, on
-   nine of ten different pages of a host, are template too.  A page of which more than half stands on m pages of
-   its host counts 1/m, so copies and near copies of an article count as one page together.
-5. A third pass extracts the blocks of the remaining slots.  Places outside the template follow the nearest
-   slot above them.  Hosts with too few pages to compare use the template of all hosts together.
-
-Defined cases: a null or empty html gives the empty text; a page in which no slot remains gives what is outside
-boilerplate elements; a page whose slots hold fixed text alone keeps it; a null url counts as the empty host; repeated
-rows are extracted each; an empty table gives an empty result; other columns are ignored.
+A token is an element in its place, the path of tags and class words that leads to it, or a word in such a place.  Its
+occurrence vector has the number of its occurrences on each page of a host; a sum of random numbers, one for each page
+times the occurrences, stands for the vector and is merged by addition.
+
+1. One pass sums for every host and token: pages, occurrences, vector, and for elements the characters of text and of
+   link text below them.
+2. Per host, tokens on at least half of the pages form equivalence classes, those with one vector.  A class is valid if it
+   has several tokens or is on every page, and classes nest by their places.  The elements of valid classes are the
+   template, their words are its fixed text, and what lies under each element is a slot.  A host's list is bounded by the
+   size of its pages, for few tokens can be on half of them.
+3. Slots are judged once per host.  The container is the article or main element, or else what is reached from the
+   top by following the slot that holds most of the text that is neither fixed nor in links.  What is outside is no
+   text.  Inside, slots of links, named slots of fixed text, and records (several named elements of one class that repeat
+   on a page, such as comments) are no text, but for those that hold much of the container; all else stays, also
+   paragraphs that recur on many pages.
+4. A second pass extracts the blocks of the slots of text.  Places outside the template follow the nearest slot above
+   them.  Hosts with too few pages to compare use the template of all hosts together.
+
+Elements that are a menu, footer, sidebar, form control or script by their tag or role are never text.  Class and id words
+such as "ad" decide only where the template cannot: for small slots inside the container, for places outside the template,
+and for pages without one; there they never count for html, body and main, or for what holds most of the page's text.
+
+Defined cases: a null or empty html gives the empty text; a page in which no slot of text has any gives what is
+outside boilerplate elements; a null url counts as the empty host; repeated rows are extracted each; elements may nest
+as deep as they like; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, has_columns, join_small, slices, table
 
 #: Hosts of fewer pages use the common template.
 LEAST_PAGES = 4
-#: Different pages from which fixed text blocks count, and the share of them that must hold one.
-FIXED_PAGES = 10
-FIXED_SHARE = 0.9
 #: Templates of at most so many hosts are broadcast.
 BROADCAST_HOSTS = 2000
-COMMON = "*"
+#: Tokens that a task sums up at a time.
+HELD = 150_000
+#: Elements nested deeper stand beside each other in the template.
+DEEPEST = 500
+#: The share of the text that a slot must hold to be followed down to the container.
+FOLLOWED = 0.6
+#: The host of the template of all hosts.
+COMMON = -1
+HARD, SOFT, MAIN, NAMED, WORD = 1, 2, 4, 8, 16
 
 # Element names and class or id words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,7 +83,8 @@ class Place:
     """An element in its place; ``noise``, ``main`` and ``hard`` hold for all below it.
 
     ``mark``: its own words, or that it is a form, make it noise unless its key is in ``lifted``; ``pure``: a name of it
-    is such a word alone; ``hard``: noise whatever it holds; ``kind``: article or main, if it is one.
+    is such a word alone; ``hard``: noise whatever it holds; ``soft``: it is noise by its own words; ``named``: it has class
+    or id words; ``kind``: article or main, if it is one.
     """
 
     key: int
@@ -89,6 +98,9 @@ class Place:
     mark: bool = False
     pure: bool = False
     hard: bool = False
+    depth: int = 0
+    soft: bool = False
+    named: bool = False
     kind: str = ""
     variants: dict[frozenset[int], Place] | None = None
 
@@ -102,8 +114,11 @@ class Place:
             named_noise = not NOISE.isdisjoint(words) or (not main and tag != "h1" and not HEADERS.isdisjoint(words))
             mark = tag == "form" or (named_noise and tag not in ("html", "body") and kind != "main" and (pure or kind != "article"))
             key = xxhash.xxh3_64_intdigest(f"{self.key} {tag} {' '.join(sorted(words))}") >> 1
-            noise = self.noise or hard or (mark and key not in self.lifted)
-            found = Place(key, tag, noise, main and not noise, self.link or tag == "a", self, lifted=self.lifted, mark=mark, pure=pure, hard=hard, kind=kind)
+            soft = mark and key not in self.lifted
+            noise = self.noise or hard or soft
+            found = Place(key, tag, noise, main and not noise, self.link or tag == "a", self, lifted=self.lifted, mark=mark, pure=pure, hard=hard, soft=soft, named=bool(words), kind=kind, depth=self.depth + 1)
+            if self.depth >= DEEPEST:
+                found.above, found.depth = self.above, self.depth
             if len(self.below) < 10_000:
                 self.below[tag, attributes] = found
         return found
@@ -175,6 +190,7 @@ def read(page: str, root: Place) -> list[tuple[Place, str, int, Place | None]]:
 def blocks(page: str, root: Place) -> Iterator[tuple[Place, str, int, Place | None]]:
     """(place, text, characters in links, None) of each block, and (place, "", 0, place) of each element that opens, in page order."""
     stack = [root]
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     where: Place | None = None
     links = at = 0
@@ -212,10 +228,11 @@ def blocks(page: str, root: Place) -> Iterator[tuple[Place, str, int, Place | No
             continue
         tag = tag.lower()
         if m.group(1):
-            if any(p.tag == tag for p in stack[1:]):
+            if opened[tag]:
                 inside = False
                 while True:
                     p = stack.pop()
+                    opened[p.tag] -= 1
                     inside = inside or p.tag in BLOCKS or p.noise
                     if p.tag == tag:
                         break
@@ -236,6 +253,7 @@ def blocks(page: str, root: Place) -> Iterator[tuple[Place, str, int, Place | No
             shut = CLOSES.get(tag, {"p"})
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in shut:
+                    opened.subtract(p.tag for p in stack[i:])
                     del stack[i:]
                     break
                 if stack[i].tag in CLOSED_BY_BLOCKS and stack[i].tag not in ("p", "td", "th", "dt", "dd", "li") or tag == "p" and stack[i].tag in ("td", "th", "dd", "li"):
@@ -249,168 +267,184 @@ def blocks(page: str, root: Place) -> Iterator[tuple[Place, str, int, Place | No
         if place.noise and not stack[-1].noise and not block and (b := flush()):
             yield b  # text before an inline element that is dropped
         stack.append(place)
+        opened[tag] += 1
     if b := flush():
         yield b
 
 
-def host_of(url: str | None) -> str:
-    rest = (url or "").partition("://")[2] or (url or "")
-    return re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].lower()
+def host_column(url: Column) -> Column:
+    """The host of a url in lower case, as a number."""
+    url = F.coalesce(url, F.lit(""))
+    rest = F.when(F.contains(url, F.lit("://")) & (F.regexp_replace(url, r"^.*?://", "") != ""), F.regexp_replace(url, r"^.*?://", "")).otherwise(url)
+    return F.shiftrightunsigned(F.xxhash64(F.lower(F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^.*@", ""))), 1)
+
 
+TOKENS = "host long, token long, above long, flags int, pages long, count long, vector long, chars long, links long"
+NAMES = [x.split()[0] for x in TOKENS.split(", ")]
 
-def block_key(text: str) -> int:
-    return (xxhash.xxh3_64_intdigest(text) >> 1) | 1
 
+def flags_of(place: Place) -> int:
+    return HARD * place.hard | SOFT * place.soft | MAIN * place.main | NAMED * place.named
 
-TOKENS = "host string, token long, above long, noise boolean, main boolean, pages long, count long, vector long, first long, chars long, links long"
-NAMES = [x.split()[0] for x in TOKENS.split(", ")]
+
+def page_tokens(page: str, root: Place) -> dict[tuple[int, str | None], list[int]]:
+    """(place, none) of each element and (place, word) of each word outside hard noise -> above, flags, occurrences, characters, characters in links."""
+    own: dict[tuple[int, str | None], list[int]] = {}
+    for place, text, links, opened in read(page, root):
+        if opened is not None:
+            own.setdefault((place.key, None), [place.above.key if place.above else 0, flags_of(place), 0, 0, 0])[2] += 1
+        elif not place.hard:
+            for p in place.line():
+                if p.tag:
+                    x = own[p.key, None]
+                    x[3] += len(text)
+                    x[4] += links
+            for word, n in Counter(text.split()).items():
+                x = own.setdefault((place.key, word), [place.key, WORD, 0, 0, 0])
+                x[2] += n
+                x[3] += n * (len(word) + 1)
+    return own
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """Sums for each host and token, one row for each that a batch of pages holds."""
+    """Sums for each host and token, one row for each that a stretch of pages holds."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int, str | None], list[int]] = {}
+
+        def rows() -> pa.RecordBatch:
+            keys = [k if w is None else xxhash.xxh3_64_intdigest(f"{k} {w}") >> 1 for _, k, w in sums]
+            values = np.array([[x[0], x[1], x[2], x[3], x[4] & ((1 << 62) - 1), x[5], x[6]] for x in sums.values()], np.int64)
+            columns = [pa.array([h for h, _, _ in sums], pa.int64()), pa.array(keys, pa.int64()), pa.array(values[:, 0]), pa.array(values[:, 1].astype(np.int32)), *[pa.array(values[:, i]) for i in range(2, 7)]]
+            sums.clear()
+            return pa.RecordBatch.from_arrays(columns, names=NAMES)
+
         for batch in slices(batches, "html"):
             root = Place(0, "")
-            sums: dict[tuple[str, int], list] = {}
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host, own, page = host_of(url), {}, page or ""
+            for host, page in zip(batch.column("_host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                page = page or ""
                 draw = xxhash.xxh3_64_intdigest(page) & ((1 << 40) - 1)
-                for i, (place, text, links, opened) in enumerate(read(page, root)):
-                    x = own.setdefault(place.key, [place.above.key if place.above else 0, place.noise, place.main, 0, i, 0, 0])
-                    if opened is not None:
-                        x[3] += 1
+                for (key, word), (above, flags, n, chars, links) in page_tokens(page, root).items():
+                    x = sums.get((host, key, word))
+                    if x is None:
+                        sums[host, key, word] = [above, flags, 1, n, n * draw, chars, links]
                     else:
-                        x[5] += len(text)
+                        x[2] += 1
+                        x[3] += n
+                        x[4] += n * draw
+                        x[5] += chars
                         x[6] += links
-                for key, (above, noise, main, n, first, chars, links) in own.items():
-                    x = sums.setdefault((host, key), [above, noise, main, 0, 0, 0, 0, 0, 0])
-                    for j, v in enumerate((1, n, n * draw, first, chars, links)):
-                        x[3 + j] += v
-            rows = [(h, k, *x[:5], x[5] & ((1 << 62) - 1), *x[6:]) for (h, k), x in sums.items()]
-            kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.bool_()] * 2, *[pa.int64()] * 6]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=NAMES)
+                if len(sums) > HELD:
+                    yield rows()
+        if sums:
+            yield rows()
 
-    return pages.select("url", "html").mapInArrow(work, TOKENS)
+    return pages.select(host_column(F.col("url")).alias("_host"), "html").mapInArrow(work, TOKENS)
 
 
 def merged(parts: DataFrame, *keys: str) -> DataFrame:
     # vectors are sums modulo 2**62, taken apart so that adding them cannot overflow
     low, high = F.sum(F.col("vector").bitwiseAND((1 << 31) - 1)), F.sum(F.shiftright("vector", 31))
     vector = (F.pmod(high + F.shiftright(low, 31), F.lit(1 << 31)) * (1 << 31) + F.pmod(low, F.lit(1 << 31))).alias("vector")
-    once = [F.min(c).alias(c) for c in ("above", "noise", "main")]
-    return parts.groupBy(*keys).agg(*once, *[F.sum(c).alias(c) for c in ("pages", "count", "first", "chars", "links")], vector)
+    once = [F.min(c).alias(c) for c in ("above", "flags")]
+    return parts.groupBy(*keys).agg(*once, *[F.sum(c).alias(c) for c in ("pages", "count", "chars", "links")], vector)
 
 
 def deduced(rows: list[dict]) -> dict[int, bool]:
-    """Template tokens of one host and whether their slots are text.  rows: tokens on half of the pages, with ``of``, the number of pages."""
-    classes: dict[int, list[dict]] = {}
+    """Elements of one host's template and whether their slots are text.  rows: tokens on half of the pages, with ``of``, the number of pages."""
+    size = Counter(r["vector"] for r in rows)
+    tags = {r["token"]: r for r in rows if not r["flags"] & WORD}
+    places = {t: r for t, r in tags.items() if size[r["vector"]] > 1 or r["pages"] == r["of"]}
+    above: dict[int, int] = {}
+    for t in places:
+        up = places[t]["above"]
+        while up and up not in places:
+            up = tags[up]["above"] if up in tags else 0
+        above[t] = up
+    below: dict[int, list[int]] = {}
+    for t, up in above.items():
+        below.setdefault(up, []).append(t)
+    order, turn = [], list(below.get(0, []))
+    while turn:  # from the top down
+        order.append(t := turn.pop())
+        turn += below.get(t, [])
+    fixed = dict.fromkeys(places, 0)
     for r in rows:
-        classes.setdefault(r["vector"], []).append(r)
-    places = {r["token"]: r for c in classes.values() for r in c if len(c) > 1 or r["pages"] == r["of"]}
-
-    def line(token: int) -> Iterator[dict]:
-        seen = 0
-        while token in places and seen < 1000:
-            yield places[token]
-            token, seen = places[token]["above"], seen + 1
-
-    # nesting: a class lies in the slot of the nearest valid token above it; classes whose tokens come before that one are no template
-    for token in list(places):
-        above = places.get(places[token]["above"])
-        if above is not None and places[token]["first"] * above["pages"] < above["first"] * places[token]["pages"] and places[token]["pages"] == above["pages"]:
-            del places[token]
-    clean = {t: r for t, r in places.items() if not any(x["noise"] for x in line(t))}
-    if any(r["main"] for r in clean.values()):
-        return {t: t in clean and places[t]["main"] for t in places}
-    texts = {t: r for t, r in clean.items() if 2 * r["links"] <= r["chars"]}
-    best = max(texts.values(), key=lambda r: (r["chars"], -r["token"]), default=None)
-    if best is None or not best["chars"]:
-        return {t: t in clean for t in places}
-    container = best["above"]
-    return {t: t in texts and any(x["token"] == container for x in line(t)) for t in places}
+        if r["flags"] & WORD and r["above"] in fixed and (size[r["vector"]] > 1 or r["pages"] == r["count"] == r["of"]):
+            fixed[r["above"]] += r["chars"]
+    for t in reversed(order):
+        if above[t]:
+            fixed[above[t]] += fixed[t]
+    held = {t: max(r["chars"] - r["links"] - fixed[t], 0) for t, r in places.items()}
+    clean = [t for t in order if not places[t]["flags"] & HARD]
+    mains = {t for t in clean if places[t]["flags"] & MAIN}
+    containers = {t for t in mains if above[t] not in mains}
+    if not containers:
+        top, at = sum(held[t] for t in below.get(0, []) if not places[t]["flags"] & HARD), 0
+        while top:
+            best = max((t for t in below.get(at, []) if not places[t]["flags"] & HARD and places[t]["count"] == places[t]["pages"]), key=lambda t: (held[t], -t), default=0)
+            if not best or held[best] < FOLLOWED * top:
+                break
+            at = best
+        containers = {at} if at else {t for t in clean if not above[t]}
+    whole = sum(places[t]["chars"] for t in containers)
+    named = Counter(r["vector"] for r in places.values() if r["flags"] & NAMED)
+    out: dict[int, bool] = {}
+    for t in order:
+        r = places[t]
+        if r["flags"] & HARD or (t not in containers and not out.get(above[t], False)):
+            out[t] = False
+            continue
+        small = t not in containers and 2 * r["chars"] < whole
+        lists = small and 2 * r["links"] > r["chars"]
+        told = small and r["flags"] & NAMED and 5 * r["chars"] < whole and r["chars"] > 0 and 10 * fixed[t] >= 9 * (r["chars"] - r["links"])
+        record = small and r["flags"] & NAMED and named[r["vector"]] > 1 and 2 * r["count"] > 3 * r["pages"]
+        out[t] = not (lists or told or record or (small and r["flags"] & SOFT))
+    return out
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, number of pages and slots (token -> is it text): one row per host, and one for all together."""
+    """host, number of pages and slots (element -> is it text): one row per host, and one for all together."""
     parts = cut(merged(tokens(pages), "host", "token"))
-    every = merged(parts, "token").withColumn("host", F.lit(COMMON))
+    every = merged(parts, "token").withColumn("host", F.lit(COMMON).cast("long"))
     both = parts.unionByName(every.select(*parts.columns))
-    # each page has one element at the top of the document at least, if it has any
-    totals = both.filter("above = 0").groupBy("host").agg(F.max("pages").alias("of")).withColumnRenamed("host", "_host")
-    held = join_small(both, totals, both["host"] == totals["_host"]).filter((2 * F.col("pages") >= F.col("of")) & (F.col("of") >= LEAST_PAGES)).drop("_host")
+    counts = pages.groupBy(host_column(F.col("url")).alias("_host")).agg(F.count("*").alias("of"))
+    totals = cut(counts.union(counts.agg(F.lit(COMMON).cast("long"), F.sum("of"))).filter(F.col("of") >= LEAST_PAGES))
+    held = join_small(both, totals, both["host"] == totals["_host"]).filter(2 * F.col("pages") >= F.col("of")).drop("_host")
 
     def group(data: pa.Table) -> pa.Table:
         rows = data.to_pylist()
         slots = deduced(rows)
         return pa.table([pa.array([rows[0]["host"]]), pa.array([rows[0]["of"]]), pa.array([list(slots)], pa.list_(pa.int64())), pa.array([list(slots.values())], pa.list_(pa.bool_()))], names=["host", "of", "tokens", "keep"])
 
-    return held.groupBy("host").applyInArrow(group, "host string, of long, tokens array<long>, keep array<boolean>")
+    return held.groupBy("host").applyInArrow(group, "host long, of long, tokens array<long>, keep array<boolean>")
 
 
-def slot_blocks(page: str, root: Place, slots: dict[int, bool]) -> tuple[list[tuple[Place, str, int]], list[str]]:
-    """(place, text, characters in links) of all blocks of a page, and the texts of those in slots of text."""
+def main_text(page: str, root: Place, slots: dict[int, bool]) -> str:
+    """The blocks of a page that lie in slots of text, by the nearest place that decides."""
     verdicts: dict[int, bool] = {}
 
     def keep(place: Place) -> bool:
-        if place.key not in verdicts:
-            if place.noise:
-                verdicts[place.key] = False
-            elif place.key in slots:
-                verdicts[place.key] = slots[place.key]
+        passed = []
+        for p in place.line():
+            if p.key in verdicts:
+                break
+            passed.append(p.key)
+            if p.hard or p.key in slots:
+                verdicts[p.key] = not p.hard and slots[p.key]
+            elif p.soft or (p.kind and not p.noise):
+                verdicts[p.key] = not p.soft
+            elif not p.tag:
+                verdicts[p.key] = False
             else:
-                verdicts[place.key] = place.main or (place.above is not None and place.above.tag != "" and keep(place.above))
-        return verdicts[place.key]
+                continue
+            break
+        verdict = verdicts[p.key]
+        verdicts.update(dict.fromkeys(passed, verdict))
+        return verdict
 
     found = [(p, t, n) for p, t, n, opened in read(page, root) if opened is None]
-    return found, [t for p, t, _ in found if keep(p)]
-
-
-def fixed_blocks(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """host and fixed (keys of fixed blocks) of the hosts that have any."""
-    own = found.filter((F.col("host") != COMMON) & (F.col("of") >= FIXED_PAGES)).select(F.col("host").alias("_h"), F.struct("tokens", "keep").alias("_own"))
-    rows = pages.select("html", host_column(F.col("url")).alias("_host"))
-    rows = join_small(rows, own, rows["_host"] == own["_h"], "inner", BROADCAST_HOSTS)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, dict[int, bool]] = {}
-        for batch in slices(batches, "html"):
-            root, out = Place(0, ""), []
-            hosts, pages_in = batch.column("_host").to_pylist(), batch.column("html").to_pylist()
-            for i, (host, page) in enumerate(zip(hosts, pages_in, strict=True)):
-                if host not in memo:
-                    if len(memo) >= 256:
-                        memo.clear()
-                    t = batch.column("_own")[i].as_py()
-                    memo[host] = dict(zip(t["tokens"], t["keep"], strict=True))
-                own = {block_key(t): len(t) for t in slot_blocks(page or "", root, memo[host])[1]}
-                if own:
-                    out.append((host, list(own), list(own.values())))
-            if out:
-                kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["host", "blocks", "sizes"])
-
-    listed = rows.select("_host", "html", "_own").mapInArrow(work, "host string, blocks array<long>, sizes array<long>")
-    listed = cut(listed.withColumn("page", F.monotonically_increasing_id()))
-    each = listed.select("page", "host", F.explode(F.arrays_zip("blocks", "sizes")).alias("x")).select("page", "host", F.col("x.blocks").alias("block"), F.col("x.sizes").alias("size"))
-    shared = each.groupBy("host", "block").agg(F.count("*").alias("on")).filter(F.col("on") > 1).select(F.col("host").alias("_h"), F.col("block").alias("_b"), "on")
-    each = join_small(each, shared, (each["host"] == shared["_h"]) & (each["block"] == shared["_b"]), "left").withColumn("on", F.coalesce("on", F.lit(1)))
-    # a page counts 1 / m: more than half of its text is in blocks on m pages or more
-    held = each.groupBy("page", "host").agg(F.sum("size").alias("chars"), F.sort_array(F.collect_list(F.struct("on", "size", "block")), asc=False).alias("held"))
-    weight = F.expr("1 / aggregate(held, struct(0L AS seen, 1L AS m), (s, x) -> IF(2 * s.seen <= chars, struct(s.seen + x.size AS seen, x.on AS m), s)).m")
-    held = cut(held.select("host", weight.alias("weight"), F.expr(f"transform(filter(held, x -> x.on >= {FIXED_SHARE * FIXED_PAGES}), x -> x.block)").alias("blocks")))
-    totals = held.groupBy("host").agg(F.sum("weight").alias("of")).filter(F.col("of") > FIXED_PAGES - 1e-6).withColumnRenamed("host", "_host")
-    weights = held.select("host", "weight", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.sum("weight").alias("pages"))
-    fixed = join_small(weights, totals, weights["host"] == totals["_host"]).filter(F.col("pages") > FIXED_SHARE * F.col("of") - 1e-6)
-    return fixed.groupBy("host").agg(F.sort_array(F.collect_list("block")).alias("fixed"))
-
-
-def main_text(page: str, root: Place, slots: dict[int, bool], fixed: frozenset[int]) -> str:
-    found, slot = slot_blocks(page, root, slots)
-    kept = [t for t in slot if block_key(t) not in fixed] or slot
-    if not kept:
-        kept = [t for p, t, n in found if not p.noise and 2 * n <= len(t)]
+    kept = [t for p, t, _ in found if keep(p)] or [t for p, t, n in found if not p.noise and 2 * n <= len(t)]
     return "\n".join(kept)
 
 
@@ -418,16 +452,14 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages`` (page_id, url, html)."""
     has_columns(pages, "page_id", "url", "html")
     found = cut(templates(pages))
-    fixed = fixed_blocks(pages, found).select(F.col("host").alias("_f"), "fixed")
-    found = cut(join_small(found, fixed, found["host"] == fixed["_f"], "left", BROADCAST_HOSTS).select("host", "tokens", "keep", F.coalesce("fixed", F.array().cast("array<long>")).alias("fixed")))
     rows = pages.select("page_id", "url", "html", host_column(F.col("url")).alias("_host"))
-    common = found.filter(F.col("host") == COMMON).select(F.col("host").alias("_c"), F.struct("tokens", "keep", "fixed").alias("_all"))
-    own = found.filter(F.col("host") != COMMON).select(F.col("host").alias("_h"), F.struct("tokens", "keep", "fixed").alias("_own"))
+    common = found.filter(F.col("host") == COMMON).select(F.col("host").alias("_c"), F.struct("tokens", "keep").alias("_all"))
+    own = found.filter(F.col("host") != COMMON).select(F.col("host").alias("_h"), F.struct("tokens", "keep").alias("_own"))
     joined = join_small(rows, own, rows["_host"] == own["_h"], "left", BROADCAST_HOSTS)
-    joined = joined.withColumn("_any", F.lit(COMMON)).join(common.hint("broadcast"), F.col("_any") == F.col("_c"), "left")  # one row
+    joined = joined.withColumn("_any", F.lit(COMMON).cast("long")).join(common.hint("broadcast"), F.col("_any") == F.col("_c"), "left")  # one row
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[dict[int, bool], frozenset[int]]] = {}
+        memo: dict[int, dict[int, bool]] = {}
         for batch in slices(batches, "html"):
             root, texts = Place(0, ""), []
             hosts, pages_in = batch.column("_host").to_pylist(), batch.column("html").to_pylist()
@@ -436,8 +468,8 @@ def extract(pages: DataFrame) -> DataFrame:
                     if len(memo) >= 256:
                         memo.clear()
                     t = batch.column("_own")[i].as_py() or batch.column("_all")[i].as_py()
-                    memo[host] = (dict(zip(t["tokens"], t["keep"], strict=True)), frozenset(t["fixed"])) if t else ({}, frozenset())
-                texts.append(main_text(page or "", root, *memo[host]))
+                    memo[host] = dict(zip(t["tokens"], t["keep"], strict=True)) if t else {}
+                texts.append(main_text(page or "", root, memo[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], names=["page_id", "url", "text", "n_chars"]
             )
@@ -445,13 +477,6 @@ def extract(pages: DataFrame) -> DataFrame:
     return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "_host", "_own", "_all").mapInArrow(work, "page_id long, url string, text string, n_chars long")
 
 
-def host_column(url):
-    """The same host in DataFrame functions."""
-    url = F.coalesce(url, F.lit(""))
-    rest = F.when(F.contains(url, F.lit("://")) & (F.regexp_replace(url, r"^.*?://", "") != ""), F.regexp_replace(url, r"^.*?://", "")).otherwise(url)
-    return F.lower(F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^.*@", ""))
-
-
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 

@@ -33,7 +33,7 @@ SHELL = "<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><
 )
 def test_one_page(body, text):
     page = SHELL.format(body) if "Cut off" not in body else SHELL.format(body).split("<aside>")[0]
-    assert html_text.main_text(page, html_text.Place(0, ""), {}, frozenset()) == text
+    assert html_text.main_text(page, html_text.Place(0, ""), {}) == text
 
 
 @pytest.mark.parametrize(
@@ -50,12 +50,12 @@ def test_one_page(body, text):
 def test_wrappers_are_no_noise(page, tag):
     body = f"<nav><a>Home</a></nav><{tag}><p>Some <b>bold</b> text of the page.</p><p>More of it, and more than all comments.</p></{tag.split()[0]}>"
     html = "<html><head><title>t</title></head>" + page.format(body + "<div class=ad>Buy</div><section id=comments><article class=comment-7><p>nice</p></article></section>") + "</html>"
-    assert html_text.main_text(html, html_text.Place(0, ""), {}, frozenset()) == "Some bold text of the page.\nMore of it, and more than all comments."
+    assert html_text.main_text(html, html_text.Place(0, ""), {}) == "Some bold text of the page.\nMore of it, and more than all comments."
 
 
 def test_comments_stay_noise():
     page = "<body><main><p>Short.</p><section id=comments><article><p>A comment that is longer than the page.</p></article></section></main><form>Mail us at once</form></body>"
-    assert html_text.main_text(page, html_text.Place(0, ""), {}, frozenset()) == "Short."
+    assert html_text.main_text(page, html_text.Place(0, ""), {}) == "Short."
 
 
 @pytest.fixture(scope="module")
@@ -71,7 +71,7 @@ def test_templates(pages):
     got = html_text.extract(pages).toPandas()
     assert len(got) == pages.count()
     by = {r.page_id: r for r in got.itertuples()}
-    assert by[3].text == "Title 3\nBody 3 w w w"  # "Follow us" is on every page of its host
+    assert by[3].text == "Title 3\nBody 3 w w w\nFollow us"  # what recurs inside the article is of the article
     assert by[102].text == "Story 2 with words that differ 14"
     assert by[200].text == by[201].text == "" and by[202].text == "plain" and by[300].n_chars == 70_000
     assert html_text.extract(pages.limit(0)).count() == 0
@@ -83,18 +83,63 @@ def test_near_copies_are_no_template(spark):
     article = lambda ps: SHELL.format("<article>" + "".join(f"<p>{p}</p>" for p in [*ps, "Follow us"]) + "</article><div class=more><p>Outside of it</p></div>")
     texts = [body] * 10 + [[*body[: i % 6], f"Altered {i}", *body[i % 6 + 1 :]] for i in range(20)] + [[f"Other page {i} with words of its own, and with a quotation:", body[1]] for i in range(3)]
     rows = [(i, f"http://copies.example/{i}", article(t), "", "") for i, t in enumerate(texts)]
-    # where pages differ, what all of them hold is template, whatever number of copies stands beside them
     rows += [(100 + i, f"http://mixed.example/{i}", article(body if i < 40 else [f"Page {i} has {i * 7} words of its own"]), "", "") for i in range(60)]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     for i, t in enumerate(texts):
         assert got[i] == "\n".join([*t, "Follow us"])
-    assert got[100] == "\n".join(body) and got[150] == "Page 50 has 350 words of its own"
+    assert got[100] == "\n".join([*body, "Follow us"]) and got[150] == "Page 50 has 350 words of its own\nFollow us"
+
+
+def neutral(i: int) -> tuple[str, str]:
+    """A page whose names say nothing, and its text."""
+    rng = np.random.default_rng(i)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    body = [f"Title {word(4)}", *[f"Paragraph {word(30)}." for _ in range(2 + i % 4)], "By the same author as ever."]
+    text = "".join(f"<h1>{b}</h1>" if k == 0 else f"<p>{b}</p>" for k, b in enumerate(body))
+    records = "".join(f"<div class=foxtrot><b class=golf>user{rng.integers(99)}</b><div class=hotel>{word(6)}</div></div>" for _ in range(1 + i % 3))
+    menu = "".join(f"<div class=india><a href=/{x}>{x}</a></div>" for x in word(5).split())
+    page = f"<html><body><div class=alpha>{menu}</div><div class=bravo>{word(7)}</div><div class=charlie>{text}<div class=kilo>Sent to you by the house with care</div><div class=echo>{records}</div></div><div class=delta>All rights are with us since {word(3)}</div></body></html>"
+    return page, "\n".join(body)
+
+
+def test_template_decides(spark):
+    """Names say nothing and there is no article: only the pages of the host together tell what is text."""
+    made = [neutral(i) for i in range(30)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame([(i, f"http://n.example/{i}", p, "", "") for i, (p, _) in enumerate(made)], SCHEMA)).collect()}
+    for i, (page, text) in enumerate(made):
+        assert got[i] == text
+        assert html_text.main_text(page, html_text.Place(0, ""), {}) != text
+
+
+def test_classes_are_those_of_whole_vectors(spark):
+    """Equivalence classes by sums of random numbers are those by the occurrences on each page."""
+    made = [neutral(i)[0] for i in range(12)] + [SHELL.format(f"<article><p>{'same words ' * (i % 3)}</p></article>") for i in range(6)]
+    exact: dict[tuple, dict[int, int]] = {}
+    for i, page in enumerate(made):
+        for key, x in html_text.page_tokens(page, html_text.Place(0, "")).items():
+            exact.setdefault(key, {})[i] = x[2]
+    want: dict[tuple, set] = {}
+    for (place, word), on in exact.items():
+        token = place if word is None else html_text.xxhash.xxh3_64_intdigest(f"{place} {word}") >> 1
+        want.setdefault(tuple(sorted(on.items())), set()).add(token)
+    df = spark.createDataFrame([(i, "http://n/", p) for i, p in enumerate(made)], "page_id long, url string, html string").repartition(3)
+    got: dict[int, set] = {}
+    for r in html_text.merged(html_text.tokens(df), "host", "token").collect():
+        got.setdefault(r.vector, set()).add(r.token)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_deep_pages(spark):
+    deep = "<div>" * 5000 + "<p>Deep text</p>" + "</div>" * 5000
+    rows = [(i, "http://d/", x, "", "") for i, x in enumerate([deep, deep.replace("div", "b"), "<nav>" * 3000 + "x", "<p>a" * 3000] * 2)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == got[1] == got[4] == "Deep text" and got[2] == "" and got[3] == "\n".join("a" * 3000)
 
 
-def test_hosts_agree(spark):
-    urls = ["http://A.b/c?d", "x.y/z", None, "https://u@h:80#q", "//k", ""]
+def test_hosts(spark):
+    urls = ["http://A.b/c?d", "https://a.B#q", "https://u@a.b?x", "//k", "", None]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(html_text.host_column(F.col("u"))).collect()]
-    assert got == [html_text.host_of(u) for u in urls]
+    assert got[0] == got[1] == got[2] and got[3] == got[4] == got[5] != got[0] and min(got) >= 0
 
 
 def test_warc_round_trip(spark, pages, tmp_path):
