@@ -226,10 +226,10 @@ def letter_run(scenarios: DataFrame, issues: DataFrame) -> DataFrame:
     }
     out = None
     for kind, letters in written.items():
-        part = wanted.filter(F.col("letter_type") == kind).join(letters, "bill_id")
+        part = wanted.filter(F.col("letter_type") == kind).join(letters.hint("merge"), "bill_id")
         out = part if out is None else out.unionByName(part)
     verified = scenarios.select("bill_id", "verified")
-    return out.join(verified, "bill_id").withColumn("reason", letter_problem(F.col("content"), F.col("scenario"), F.col("verified"))).drop("verified")
+    return out.join(verified.hint("merge"), "bill_id").withColumn("reason", letter_problem(F.col("content"), F.col("scenario"), F.col("verified"))).drop("verified")
 
 
 class Sections:

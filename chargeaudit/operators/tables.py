@@ -29,10 +29,19 @@ def name_index(prices: DataFrame) -> DataFrame:
 
 
 def substring_fallback(names: DataFrame, index: DataFrame) -> DataFrame:
-    """names (name) that no key equals, with the keys that hold them; the list of names is distinct and short."""
-    exact = names.join(index.select(F.col("key").alias("name")).distinct(), "name", "left_anti")
+    """names (name) that no key equals, with the keys that hold them.
+
+    A name meets the keys that hold its first letters, three of them if it has so many, and is then looked for in those.
+    """
     keys = index.select("key").distinct()
-    return exact.join(keys, F.contains(F.col("key"), F.col("name"))).select("name", "key")
+    exact = names.join(keys.select(F.col("key").alias("name")).hint("merge"), "name", "left_anti")
+
+    def pieces(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - (n - 1), F.lit(1))), lambda i: F.substr("key", i, F.lit(n)))
+
+    held = keys.select("key", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *map(pieces, (1, 2, 3))))).alias("_piece"))
+    asked = exact.select("name", F.substring("name", 1, 3).alias("_piece"))
+    return asked.join(held.hint("merge"), "_piece").filter(F.contains(F.col("key"), F.col("name"))).select("name", "key")
 
 
 def merged_bills(bills: DataFrame, group: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import detect as D
 from ..operators import post as P
 from ..sources.bridge import BRIDGE, bills, line_items, table
 from .detect import CLAIMS, claims
-from .post import ISSUES, _analysed, _final, _scenario
+from .post import ISSUES, LETTER, _analysed, _final, _scenario
 
 TERMS = {"red": ["crimson", "scarlet"], "large rod": ["long bar"], "rod": ["bar"], "hot ring": ["warm loop", "bar"], "plate": ["dish"]}
 DELAY = ("delay", "pending", "waiting", "processing time", "that the the")
@@ -94,6 +94,11 @@ def patient_summaries(spark, d):
     return P.patient_summary(analysed, final)
 
 
+def insurer_letters(spark, d):
+    analysed, final = _analysed(spark, d)
+    return P.insurer_letter(analysed, final)
+
+
 def letter_run(spark, d):
     s, final = _scenario(spark, d)
     return P.letter_run(s, final).groupBy("letter_type", "scenario").agg(F.count("*").alias("n_letters"), F.count("reason").alias("n_skipped"))
@@ -103,8 +108,54 @@ PART_SQL = """, part_of AS (SELECT dd.* FROM dd JOIN li USING (bill_id, pos) WHE
   SELECT bill_id, count(*) AS n, sum(overcharge) FILTER (confidence = 'high') AS h, sum(overcharge) FILTER (confidence = 'medium') AS m, sum(billed) FILTER (confidence IN ({u})) AS o FROM part_of GROUP BY bill_id)
 SELECT bill_id, coalesce(n, 0) AS n_issues, coalesce(h, 0)::DOUBLE AS verified, coalesce(o, 0)::DOUBLE AS unverified, coalesce(h, 0)::DOUBLE + coalesce(m, 0)::DOUBLE * 0.6::DOUBLE AS max_recoverable FROM bills LEFT JOIN ag USING (bill_id)"""
 
-QUERIES = {f.__name__: f for f in (extract_bills, extract_items, extract_claims, extract_discharges, abbreviation_expand, anchor_span, delay_language, analysis_pharmacy, analysis_lab, clarification_letters, patient_summaries, letter_run)}
+QUERIES = {f.__name__: f for f in (extract_bills, extract_items, extract_claims, extract_discharges, abbreviation_expand, anchor_span, delay_language, analysis_pharmacy, analysis_lab, clarification_letters, patient_summaries, insurer_letters, letter_run)}
+_RS = "'₹' || format('{{:,.{n}f}}', {x}::DOUBLE)"
+
+
+def _rupees(x: str, n: int = 2) -> str:
+    return _RS.format(x=x, n=n)
+
+
+def _section(name: str, where: str, limit: int) -> str:
+    """CTE of the numbered lines of each bill's issues, as letters list them."""
+    line = "i || '. ' || description || ': billed ' || " + _rupees("billed") + " || coalesce(', reference ' || " + _rupees("benchmark") + ", '')"
+    return f""", {name}_n AS (SELECT *, row_number() OVER (PARTITION BY bill_id ORDER BY stage, pos, description) AS i FROM dd WHERE {where}),
+{name} AS (SELECT bill_id, string_agg({line}, chr(10) ORDER BY i) FILTER (i <= {limit}) || CASE WHEN max(i) > {limit} THEN chr(10) || 'and ' || (max(i) - {limit}) || ' more' ELSE '' END AS t FROM {name}_n GROUP BY bill_id)"""
+
+
+NL = " || chr(10) || "
+CLARIFICATION = (
+    _section("open_", "confidence IN ('low', 'medium')", 50)
+    + ", cl AS (SELECT an.bill_id, 'Request for clarification of bill ' || an.bill_id" + NL + "'Total: ' || " + _rupees("total_bill", 0)
+    + " || coalesce(chr(10)" + NL + "'Charges to clarify:'" + NL + "open_.t || chr(10)" + NL + "'For each please give the exact name and code, whether it is a package, and your published tariff.', '') || chr(10)" + NL + "'Please answer in writing within 14 days.' AS content FROM an LEFT JOIN open_ USING (bill_id))"
+)
+SUMMARY = (
+    "".join(_section(f"{c}_", f"confidence = '{c}'", 10) for c in ("high", "medium", "low"))
+    + ", ps AS (SELECT an.bill_id, 'Summary of bill ' || an.bill_id" + NL + "'Total: ' || " + _rupees("total_bill", 0) + NL + "'Confirmed excess: ' || " + _rupees("verified", 0)
+    + "".join(f" || coalesce(chr(10)" + NL + f"'{title}:'" + NL + f"{c}_.t, '')" for c, title in (("high", "Confirmed excess"), ("medium", "To verify"), ("low", "To clarify")))
+    + " || chr(10)" + NL + "'Keep the bill, the receipts and proof of every letter.' AS content FROM an LEFT JOIN high_ USING (bill_id) LEFT JOIN medium_ USING (bill_id) LEFT JOIN low_ USING (bill_id))"
+)
+INSURER = (
+    _section("claim_", "issue_type IN ('rejection_invalid', 'rejection_delayed', 'policy_violation')", 50)
+    + ", il AS (SELECT an.bill_id, 'Grievance about the claim for bill ' || an.bill_id" + NL + "'Claimed: ' || " + _rupees("total_bill", 0) + NL + "'Approved: ' || " + _rupees("coalesce(total_approved, 0)", 0) + NL + "'Rejected: ' || " + _rupees("coalesce(total_rejected, 0)", 0)
+    + " || coalesce(chr(10)" + NL + "'Decisions to review:'" + NL + "claim_.t, '') || chr(10)" + NL + "'Please give the clause and basis of each deduction within 15 working days.' AS content FROM an LEFT JOIN claim_ USING (bill_id) WHERE claim_.t IS NOT NULL OR total_rejected > 0)"
+)
+RUN = (
+    LETTER.replace("%s", P.INTRO["professional"]).replace("{{", "{").replace("}}", "}") + CLARIFICATION + SUMMARY + INSURER
+    + """, mx(scenario, letter_type) AS (VALUES ('A_cash_clarification', 'hospital_clarification'), ('A_cash_clarification', 'patient_summary'), ('B_cash_objection', 'hospital_professional'), ('B_cash_objection', 'patient_summary'),
+  ('C_insurance_dispute', 'hospital_professional'), ('C_insurance_dispute', 'insurer'), ('C_insurance_dispute', 'patient_summary'), ('D_hospital_overcharge_only', 'hospital_professional'), ('D_hospital_overcharge_only', 'patient_summary')),
+every AS (SELECT bill_id, 'hospital_professional' AS letter_type, content FROM lt UNION ALL SELECT bill_id, 'hospital_clarification', content FROM cl UNION ALL SELECT bill_id, 'insurer', content FROM il UNION ALL SELECT bill_id, 'patient_summary', content FROM ps)
+SELECT letter_type, scenario, count(*) AS n_letters, count(*) FILTER (length(trim(content)) < 100) AS n_skipped FROM sc JOIN mx USING (scenario) JOIN every USING (bill_id, letter_type) GROUP BY ALL"""
+)
 ORACLE_SQL = {
+    "abbreviation_expand": """WITH t AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 3 = 0 THEN ' (new) 12' ELSE '' END AS term, p_name AS clean FROM part),
+w AS (SELECT term, CASE clean WHEN 'large rod' THEN ['long bar'] WHEN 'hot ring' THEN ['warm loop', 'bar'] ELSE
+  list_concat(list_concat(CASE WHEN regexp_matches(clean, '\\bplate\\b') THEN ['dish'] ELSE [] END, CASE WHEN regexp_matches(clean, '\\bred\\b') THEN ['crimson', 'scarlet'] ELSE [] END), CASE WHEN regexp_matches(clean, '\\brod\\b') THEN ['bar'] ELSE [] END) END AS x FROM t)
+SELECT term, trim(term || ' ' || array_to_string(x, ' ')) AS expanded FROM w""",
+    "clarification_letters": ISSUES + CLARIFICATION + " SELECT bill_id, content FROM cl",
+    "patient_summaries": ISSUES + SUMMARY + " SELECT bill_id, content FROM ps",
+    "insurer_letters": ISSUES + INSURER + " SELECT bill_id, content FROM il",
+    "letter_run": ISSUES + RUN,
     "extract_bills": BRIDGE
     + "SELECT bill_id AS doc_id, 'CITY GENERAL HOSPITAL' AS hospital_name, 'B-' || bill_id AS bill_number, strftime(bill_date, '%d/%m/%Y') AS bill_date, 'P' || patient_id AS patient_id, (patient_id % 90)::INTEGER AS age, CASE WHEN patient_id % 2 = 0 THEN 'Male' ELSE 'Female' END AS sex, sum(amount)::DOUBLE AS subtotal, bill_total::DOUBLE AS grand_total FROM bills JOIN li USING (bill_id) GROUP BY ALL",
     "extract_items": BRIDGE + "SELECT bill_id AS doc_id, count(*) AS n_items, sum(amount)::DOUBLE AS amount, min('Part ' || description) AS first_description FROM li JOIN bills USING (bill_id) GROUP BY bill_id",

@@ -32,8 +32,8 @@ def best_of_two(spark, d):
 def contradiction_join(spark, d):
     """Queries whose best hits in two collections both carry a small label."""
     q, c = _sides(spark, d)
-    one, two = (S.nearest(q, c.filter(f"label {x} 5"), 1, "cosine").join(c.select("id", "label"), "id").filter("label IN (1, 2, 6, 7)") for x in ("<", ">="))
-    return one.select("query_id", F.col("id").alias("policy_id")).join(two.select("query_id", F.col("id").alias("rule_id")), "query_id")
+    one, two = (S.nearest(q, c.filter(f"label {x} 5"), 1, "cosine").join(c.select("id", "label").hint("merge"), "id").filter("label IN (1, 2, 6, 7)") for x in ("<", ">="))
+    return one.select("query_id", F.col("id").alias("policy_id")).join(two.select("query_id", F.col("id").alias("rule_id")).hint("merge"), "query_id")
 
 
 def invalid_rejection(spark, d):
@@ -52,7 +52,7 @@ def text_knn(spark, d):
 def lsh_knn(spark, d):
     """Rows near those whose number is divisible by 100, of whatever label, but for themselves."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return S.near_join(e.filter("id % 100 = 0"), e, 1.2).filter("id <> other")
+    return S.near_join(e.filter("id % 100 = 0"), e, 1.2).filter("id <> other").withColumn("distance", F.round("distance", 6))
 
 
 def keyword_recall(spark, d):
@@ -82,6 +82,7 @@ ORACLE_SQL = {
     "contradiction_join": RANKED.format(sim=COS, part=", label < 5", where="")
     + " SELECT a.query_id, a.id AS policy_id, b.id AS rule_id FROM r a JOIN r b ON a.query_id = b.query_id AND a.rank = 1 AND b.rank = 1 AND a.label < 5 AND b.label >= 5 WHERE a.label IN (1, 2) AND b.label IN (6, 7)",
     "invalid_rejection": RANKED.format(sim=COS, part="", where=" WHERE label = 3") + " SELECT query_id, id, similarity FROM r WHERE rank = 1 AND similarity < 0.3",
+    "lsh_knn": "SELECT id, other, round(distance, 6) AS distance FROM (SELECT q.vec_id AS id, c.vec_id AS other, sqrt(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE)))) AS distance FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id) WHERE distance < 1.2",
     "keyword_recall": """WITH a AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(b.text), '[^a-z]+'), lambda w: length(w) > 4)[1:3] AS k, d.text FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
 r AS (SELECT query_id, len(list_filter(k, lambda w: contains(lower(text), w)))::DOUBLE / len(k) AS recall FROM a WHERE len(k) > 0)
 SELECT query_id, recall, CASE WHEN recall >= 0.8 THEN 'excellent' WHEN recall >= 0.6 THEN 'good' WHEN recall >= 0.4 THEN 'needs improvement' ELSE 'poor' END AS verdict FROM r""",

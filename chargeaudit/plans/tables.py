@@ -15,9 +15,9 @@ CAPS = {"ECONOMY": 950, "SMALL": 1000, "PROMO": 1050}
 
 def drug_index_lookup(spark, d):
     index = T.name_index(benchmarks(spark, d))
-    names = line_items(spark, d).select("bill_id", "pos", F.lower("description").alias("key")).filter("bill_id % 50 < 25")
+    names = line_items(spark, d).select("bill_id", "pos", F.lower("description").alias("key"))
     per = index.groupBy("key").agg(F.count("*").alias("n_entries"), F.max("rate").cast("double").alias("top_rate"))
-    return names.join(per, "key").groupBy("key", "n_entries", "top_rate").agg(F.count("*").alias("n_lines"))
+    return names.join(per.hint("merge"), "key").groupBy("key", "n_entries", "top_rate").agg(F.count("*").alias("n_lines"))
 
 
 def substring_fallback(spark, d):
@@ -136,7 +136,7 @@ QUERIES = {
 } | {"audit_stream": streams.audit_stream, "sla_stream": streams.sla_stream, "dedup_stream": streams.dedup_stream, "stuck_stream": streams.stuck_stream}
 IDX = ", idx AS (SELECT DISTINCT lower(name) AS key, code, rate FROM bench UNION SELECT lower(split_part(name, ' ', 2) || ' ' || split_part(name, ' ', 1)), code, rate FROM bench)"
 ORACLE_SQL = {
-    "drug_index_lookup": BRIDGE + IDX + ", per AS (SELECT key, count(*) AS n_entries, max(rate)::DOUBLE AS top_rate FROM idx GROUP BY key) SELECT key, n_entries, top_rate, count(*) AS n_lines FROM li JOIN per ON lower(description) = key WHERE bill_id % 50 < 25 GROUP BY ALL",
+    "drug_index_lookup": BRIDGE + IDX + ", per AS (SELECT key, count(*) AS n_entries, max(rate)::DOUBLE AS top_rate FROM idx GROUP BY key) SELECT key, n_entries, top_rate, count(*) AS n_lines FROM li JOIN per ON lower(description) = key GROUP BY ALL",
     "substring_fallback": BRIDGE + IDX + ", n AS (SELECT DISTINCT split_part(description, ' ', 2) AS name FROM li), k AS (SELECT DISTINCT key FROM idx) SELECT name, key FROM n JOIN k ON contains(key, name) WHERE name NOT IN (SELECT key FROM k)",
     "fk_join": BRIDGE + "SELECT bill_id, patient_id, count(*) AS n_lines, sum(amount)::DOUBLE AS amount FROM bills JOIN li USING (bill_id) GROUP BY ALL",
     "ownership_semijoin": BRIDGE + "SELECT bill_id, patient_id, bill_total::DOUBLE AS bill_total FROM bills WHERE patient_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)",
@@ -158,5 +158,10 @@ ORACLE_SQL = {
     "rules_v1": BRIDGE + "SELECT bill_id, pos, kind, amount::DOUBLE AS billed, (rate * quantity)::DOUBLE AS benchmark FROM (SELECT *, CASE WHEN contains(description, 'rod') THEN 'device' WHEN contains(description, 'plate') THEN 'room' WHEN contains(description, 'gear') THEN 'diagnostic' WHEN contains(description, 'ring') THEN 'consultation' END AS kind FROM li) WHERE kind IS NOT NULL AND amount > rate * quantity * 1.5",
     "rate_limit": "SELECT event_id, user_id, n FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > 2",
     "running_totals": "SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, sum(CAST(value AS DECIMAL(18,2)))::DOUBLE AS total FROM events GROUP BY ALL",
+    "sla_stream": "SELECT s.event_id AS request_id, s.user_id, s.ts AS asked, p.event_id AS answer_id FROM events s LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = s.user_id AND p.ts >= s.ts AND p.ts <= s.ts + INTERVAL 1 DAY WHERE s.event_type = 'signup'",
+    "dedup_stream": "SELECT DISTINCT user_id, event_type, date_trunc('day', ts)::TIMESTAMP AS day FROM events",
+    "stuck_stream": """WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 2 HOUR, true) AS opens FROM events),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING count(*) FILTER (event_type = 'purchase') = 0""",
     "audit_stream": "SELECT l_orderkey AS bill_id, l_linenumber, l_extendedprice AS billed, p_retailprice * l_quantity AS benchmark FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_extendedprice > 1.5::DOUBLE * p_retailprice * l_quantity",
 }

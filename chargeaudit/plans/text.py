@@ -166,6 +166,16 @@ QUERIES = {
               bill_boundaries, clause_split, chunk_pack, chunk_stats, record_fold, tolerance_cluster, salvage_json, json_roundtrip, late_days)
 }
 ORACLE_SQL = {
+    "chunk_pack": """WITH RECURSIVE ln AS (
+  SELECT doc_id, unnest(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) >= 1)) AS x, unnest(range(1, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x, ' ')) >= 1)) + 1)) AS i FROM documents
+), r AS (
+  SELECT doc_id, i, x, 0 AS chunk, length(x) AS n FROM ln WHERE i = 1
+  UNION ALL SELECT ln.doc_id, ln.i, ln.x, CASE WHEN r.n + 1 + length(ln.x) <= 1000 THEN r.chunk ELSE r.chunk + 1 END, CASE WHEN r.n + 1 + length(ln.x) <= 1000 THEN r.n + 1 + length(ln.x) ELSE length(ln.x) END FROM r JOIN ln ON ln.doc_id = r.doc_id AND ln.i = r.i + 1
+)
+SELECT doc_id, chunk, string_agg(x, chr(10) ORDER BY i) AS chunk_text, length(string_agg(x, chr(10) ORDER BY i))::INTEGER AS chunk_chars FROM r GROUP BY doc_id, chunk""",
+    "tolerance_cluster": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts)::DOUBLE / 60e6 AS m FROM events),
+r AS (SELECT user_id, min(m) AS anchor FROM e GROUP BY user_id UNION ALL SELECT r.user_id, min(e.m) FROM r JOIN e ON e.user_id = r.user_id AND e.m - r.anchor > 240 GROUP BY r.user_id)
+SELECT r.user_id, r.anchor, count(*)::INTEGER AS n FROM r JOIN e ON e.user_id = r.user_id AND e.m >= r.anchor AND e.m - r.anchor <= 240 GROUP BY ALL""",
     "amount_parse": """WITH r AS (SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN 'n/a' WHEN l_linenumber = 2 THEN '₹-' || l_partkey ELSE 'Rs. ' || format('{:,.2f}', l_extendedprice) || '/-' END AS raw FROM lineitem)
 SELECT l_orderkey, raw, coalesce(try_cast(regexp_replace(regexp_replace(raw, '[₹,/\\-\\s]|Rs\\.?', '', 'g'), '\\.+$', '') AS DECIMAL(18,2)), 0)::DOUBLE AS amount,
   try_cast(regexp_replace(raw, '[₹,\\s]|Rs\\.?|/-', '', 'g') AS DECIMAL(18,2))::DOUBLE AS signed, try_cast(regexp_replace(raw, '[^0-9]', '', 'g') AS BIGINT)::DOUBLE AS digits FROM r""",

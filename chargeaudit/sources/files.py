@@ -94,7 +94,7 @@ def column_role(heading: Column) -> Column:
 def cells_to_rows(cells: DataFrame) -> DataFrame:
     """Cells (doc_id, row, col, text) under a heading row 0 as rows with the columns of :data:`ROLES`."""
     roles = cells.filter("row = 0").select("doc_id", "col", column_role(F.col("text")).alias("role")).filter("role IS NOT NULL")
-    j = cells.filter("row > 0").join(roles, ["doc_id", "col"])
+    j = cells.filter("row > 0").join(roles.hint("merge"), ["doc_id", "col"])
     return j.groupBy("doc_id", "row").agg(*[F.max(F.when(F.col("role") == r, F.regexp_replace(F.trim("text"), r"\s+", " "))).alias(r) for r in ROLES])
 
 

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,13 +86,32 @@ def each_batch(df: DataFrame, audit: Callable[[DataFrame], DataFrame]) -> DataFr
         audit(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    try:
+        return spark.read.parquet(f"{folder}/out").drop("batch")
+    except AnalysisException:  # no batch came
+        return audit(spark.createDataFrame([], df.schema))
+
+
+def closed(events: DataFrame, table: DataFrame, kinds: list[str], after: str = "30 days") -> DataFrame:
+    """The stream ``events`` with one row of a user below zero for each kind, long after the last row of ``table``, so that its end closes what is open.
+
+    Such rows stay open themselves, for no watermark passes them, and no two of them have one user.
+    """
+    spark, path = events.sparkSession, f"{_folder(events.sparkSession)}/end"
+    rows = table.agg((F.max("ts").cast("timestamp") + F.expr(f"INTERVAL {after}")).alias("ts")).filter("ts IS NOT NULL")
+    end = rows.select(F.posexplode(F.array(*map(F.lit, kinds))).alias("_at", "event_type"), "ts").withColumn("user_id", -1 - F.col("_at").cast("long"))
+    end.select(*[F.col(f.name) if f.name in ("ts", "event_type", "user_id") else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]).write.parquet(path)
+    return events.union(spark.readStream.schema(events.schema).parquet(path))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _closed_events(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    return closed(_events(spark, sf_dir), spark.read.parquet(f"{sf_dir}/events.parquet"), list(kinds))
+
+
 def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arriving lines above 1.5 times their part's price."""
     from ..sources.bridge import benchmarks
@@ -106,15 +126,22 @@ def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sla_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign-ups with the purchase that follows within a day."""
-    e = _events(spark, sf_dir)
-    return run(unanswered(e.filter("event_type = 'signup'"), e.filter("event_type = 'purchase'"), "1 day"))
+    """Sign-ups with each purchase that follows within a day, or none."""
+    e = _closed_events(spark, sf_dir, "signup", "purchase")
+    return _plain(run(unanswered(e.filter("event_type = 'signup'"), e.filter("event_type = 'purchase'"), "1 day")))
 
 
 def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event of each user and type in a day."""
-    return run(first_only(_events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"]))
+    """Each user, type and day in which the user had an event of the type: the first that comes is passed on."""
+    days = _events(spark, sf_dir).select("user_id", "event_type", "ts", F.date_trunc("day", "ts").alias("day"))
+    return _plain(run(first_only(days, ["user_id", "event_type", "day"]).select("user_id", "event_type", "day")))
 
 
 def stuck_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(stuck(_events(spark, sf_dir)))
+    """Sessions in which nothing was bought."""
+    return _plain(run(stuck(_closed_events(spark, sf_dir, "click"))))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Times without a zone."""
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])

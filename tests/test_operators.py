@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
+from conftest import agree
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from chargeaudit.operators import post as P
 from chargeaudit.operators import search as S
 from chargeaudit.operators import tables as T
 from chargeaudit.plans import search as plans
+from chargeaudit.plans import tables
 from chargeaudit.streaming import streams
 
 LINES = "bill_id long, pos int, description string, category string, quantity decimal(12,2), rate decimal(12,2), amount decimal(12,2), batch_no string"
@@ -173,3 +175,27 @@ def test_near_join_finds_all(spark, monkeypatch):
     brute = [(i, j) for i in range(0, 300, 10) for j in [*range(300), 5] if np.linalg.norm(x[i] - x[j]) < 1.2]
     assert got == sorted(brute) and len(got) > 1000
     assert S.near_join(df.limit(0), df, 1.2).count() == 0
+
+
+def test_streams_over_several_files(spark, tmp_path):
+    """Deadlines, repeats and sessions over files that come one after the other, late rows among them, are those of the whole table."""
+    rng = np.random.default_rng(3)
+    kinds = ["signup", "purchase", "click"]
+    minutes = sorted(rng.choice(20_000, 300, replace=False).tolist())
+    rows = [(i, int(rng.integers(5)), kinds[int(rng.integers(3))], 1.0, m) for i, m in enumerate(minutes)]
+    folder = tmp_path / "events.parquet"
+    for k in range(3):
+        part = rows[k * 100 : k * 100 + 100]
+        if k:
+            part = [*part, (1000 + k, 4, "click", 1.0, rows[k * 100 - 1][4])]  # as old as the file before, within the watermark
+        df = spark.createDataFrame(part, "event_id long, user_id long, event_type string, value double, m long")
+        df.select("event_id", "user_id", "event_type", "value", F.timestamp_seconds(F.col("m") * 60).cast("timestamp_ntz").alias("ts")).coalesce(1).write.mode("append").parquet(str(folder))
+    every = spark.read.parquet(str(folder)).toPandas()
+    for name in ("sla_stream", "dedup_stream", "stuck_stream"):
+        agree(getattr(streams, name)(spark, str(tmp_path)), tables.ORACLE_SQL[name], None, events=every)
+
+
+def test_batches_without_files(spark, tmp_path):
+    spark.createDataFrame([], "a long").write.parquet(str(tmp_path / "none.parquet"))
+    got = streams.each_batch(streams.source(spark, str(tmp_path), "none"), lambda b: b.withColumn("x", F.lit(1)))
+    assert got.count() == 0 and got.columns == ["a", "x"]

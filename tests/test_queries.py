@@ -21,4 +21,4 @@ def test_query(spark, name):
     if sql:
         agree(OWN[name](spark, DATA), sql)
     else:
-        assert OWN[name](spark, DATA).columns
+        assert OWN[name](spark, DATA).count() > 0
