@@ -40,6 +40,7 @@ CLAIM_AMOUNTS = {
     "amount_settled": r"(?i)amount\s*approved\s*(?:&|and)?\s*settled[^\n]*?(?:Rs\.?|₹)?\s*([0-9,]+)",
     "amount_rejected": r"(?i)amount\s*rejected[^\n]*?(?:Rs\.?|₹)?\s*([0-9,]+)",
 }
+# Item lines, footers and what is cut from terms.
 ITEM = r"^(?:(\d{1,2}/\d{1,2}/\d{2,4})\s+)?(.+?)\s+(\d+)\s+([\d,]+(?:\.\d{2})?)\s+([\d,]+(?:\.\d{2})?)\s*$"
 FOOTER = r"(?i)subtotal|gst|total|grand"
 #: A short default of the dictionary of abbreviations, which is a parameter.
@@ -59,7 +60,7 @@ ARTIFACTS = (r"\(.*?\)", r"(?i)\s*-\s*dr\..*", r"\s*\d+$", r"\s*-\s*\d+$")
 
 def field(text: Column, pattern: str) -> Column:
     """The trimmed first group, or null."""
-    found = F.trim(F.regexp_extract(text, pattern, 1))
+    found = F.trim(F.regexp_extract(text, pattern, 1), F.lit(" \t\n\r"))
     return F.when(found != "", found)
 
 

@@ -8,16 +8,16 @@ from decimal import Decimal
 SURGICAL = ("operation", "surgery", "ot ", "ot charges", "ot assistant", "anesthet", "anaesthet", "surgeon", "procedure charges", "dressing", "assistant", "operative")
 ROOM = ("room", "bed", "ward", "icu", "ccu", "nicu", "picu", "hdu", "deluxe", "private", "general ward", "semi-private", "suite")
 ATOMIC = (
-    *("blood", "cbc", "lft", "rft", "kft", "test", "lab", "x-ray", "xray", "mri", "ct scan", "ultrasound", "ecg", "echo"),
-    *("consultation", "consultant", "doctor", "specialist", "visit", "tablet", "syrup", "injection", "medicine", "drug"),
-    *("stent", "implant", "catheter", "valve", "mesh"),
+    "blood", "cbc", "lft", "rft", "kft", "test", "lab", "x-ray", "xray", "mri", "ct scan", "ultrasound", "ecg", "echo",
+    "consultation", "consultant", "doctor", "specialist", "visit", "tablet", "syrup", "injection", "medicine", "drug",
+    "stent", "implant", "catheter", "valve", "mesh",
 )
 ROOM_CATEGORIES = ("room charges", "room/ward rent", "room")
 SURGICAL_CATEGORIES = ("procedure charges",)
 CATEGORY_TOTALS = (
-    *("medicine charges", "medicines", "pharmacy", "pharmacy charges", "laboratory", "laboratory charges", "lab charges", "lab"),
-    *("consumables", "consumable charges", "miscellaneous", "ip consultation", "op consultation", "consultation", "procedures"),
-    *("procedure charges", "investigation", "investigations", "diagnostic charges", "nursing charges", "nursing", "service charges"),
+    "medicine charges", "medicines", "pharmacy", "pharmacy charges", "laboratory", "laboratory charges", "lab charges", "lab",
+    "consumables", "consumable charges", "miscellaneous", "ip consultation", "op consultation", "consultation", "procedures",
+    "procedure charges", "investigation", "investigations", "diagnostic charges", "nursing charges", "nursing", "service charges",
 )
 DISPATCH = {
     "drug": ("medicine", "drug", "tablet", "syrup", "injection"),
@@ -27,22 +27,45 @@ DISPATCH = {
     "consumable": ("consumable", "disposable"),
 }
 PROCEDURE_WORDS = (
-    *("surgery", "procedure", "angioplasty", "stent placement", "bypass", "valve replacement", "implant surgery", "ot charges", "ot charge"),
-    *("operation", "operation theatre", "surgical", "laparoscopy", "endoscopy", "arthroscopy", "cath lab", "cathlab"),
+    "surgery", "procedure", "angioplasty", "stent placement", "bypass", "valve replacement", "implant surgery", "ot charges", "ot charge",
+    "operation", "operation theatre", "surgical", "laparoscopy", "endoscopy", "arthroscopy", "cath lab", "cathlab",
 )
 PROCEDURE_STOP_WORDS = ("with", "and", "the", "for", "left", "right", "under", "general", "local", "anaesthesia", "anesthesia", "procedure", "surgery")
 DEPARTMENT_PREFIXES = (
-    *("obs & gynecology - ", "obs & gyne - ", "obs & gayne - ", "cardiology - ", "orthopedics - ", "general surgery - "),
-    *("deluxe ward - ", "icu - ", "general ward - "),
+    "obs & gynecology - ", "obs & gyne - ", "obs & gayne - ", "cardiology - ", "orthopedics - ", "general surgery - ",
+    "deluxe ward - ", "icu - ", "general ward - ",
 )
 LAB_ISSUE_WORDS = ("blood", "urea", "crp", "culture", "count")
+CONSUMABLES = ("tube", "vial", "accuvet", "lancet", "syringe", "needle", "swab", "container", "bottle", "specimen container", "blood colle", "collection tube")
+POLICY_SECTIONS = (
+    "exclusions", "coverage", "definitions", "sub-limits", "co-payment", "waiting period", "pre-existing", "claim procedure", "grievance", "sum insured", "room rent", "deductible", "copay", "daycare",
+    "ambulance", "maternity", "pre-hospitalization", "post-hospitalization",
+)
+EXCLUSION_WORDS = (
+    "pre-existing", "cosmetic", "dental", "eyeglasses", "hearing aids", "experimental", "not medically necessary", "elective", "self-inflicted", "war", "nuclear", "suicide", "intoxication", "pregnancy", "childbirth", "infertility",
+)
+SYNONYMS = {
+    "lscs": "lower segment caesarean section",
+    "c-section": "caesarean section",
+    "cabg": "coronary artery bypass graft",
+    "ptca": "percutaneous coronary angioplasty",
+    "turp": "transurethral resection prostate",
+    "tahbso": "total abdominal hysterectomy",
+    "ot": "operation theatre",
+    "icu": "intensive care unit",
+    "mri": "magnetic resonance imaging",
+    "ct": "computed tomography",
+    "echo": "echocardiography",
+    "ecg": "electrocardiogram",
+    "ekg": "electrocardiogram",
+}
 PLACEHOLDERS = (
-    *("null", "none", "n/a", "na", "unknown", "not visible", "not specified", "not available", "not provided"),
-    *("[hospital name]", "[bill number]", "[patient name]", "[insert", "tbd", "pending", "---", "___"),
+    "null", "none", "n/a", "na", "unknown", "not visible", "not specified", "not available", "not provided",
+    "[hospital name]", "[bill number]", "[patient name]", "[insert", "tbd", "pending", "---", "___",
 )
 KEY_TERMS = (
-    *("cashless", "authorization", "claim", "settlement", "reimbursement", "grievance", "complaint", "ombudsman", "penalty", "interest"),
-    *("bank rate", "policyholder", "insurer", "premium", "grace period", "portability", "renewal", "pre-authorization", "discharge"),
+    "cashless", "authorization", "claim", "settlement", "reimbursement", "grievance", "complaint", "ombudsman", "penalty", "interest",
+    "bank rate", "policyholder", "insurer", "premium", "grace period", "portability", "renewal", "pre-authorization", "discharge",
 )
 CONFIDENCES = ("high", "medium", "low")
 CONFIDENCE_RANK = {"high": 3, "medium": 2, "low": 1}
@@ -55,7 +78,7 @@ LETTER_MATRIX = {
     "D_hospital_overcharge_only": ("hospital_professional", "patient_summary"),
 }
 POSITION_SHARES = (Decimal("1.00"), Decimal("0.50"), Decimal("0.25"))
-#: Department, order, lowest and highest amount, procedure and its rate.
+# Department, order, lowest and highest amount, procedure and its rate.
 AMOUNT_BANDS = (
     ("obs & gynecology", 1, 20000, 30000, "Caesarean Section", 22000),
     ("obs & gynecology", 2, 10000, 15000, "Normal Delivery", 12000),

@@ -45,6 +45,7 @@ PROMPT_INJECTIONS = (
     r"forget\s+(everything|all\s+previous)",
     r"new\s+instructions?:",
 )
+# Patterns of time limits, money limits and headings.
 TIMELINES = (r"(?i)\b\d+\s*(?:hour|hours|day|days|week|weeks|month|months)\b", r"(?i)\b(?:immediately|forthwith|without delay)\b")
 LIMITS = (r"(?i)₹\s*[\d,]+(?:\.\d+)?(?:\s*(?:lakh|lakhs|crore|crores))?", r"(?i)Rs\.?\s*[\d,]+(?:\.\d+)?(?:\s*(?:lakh|lakhs|crore|crores))?")
 HEADINGS = (r"^[A-Z][A-Z\s]{10,}$", r"^\d+\.\s+[A-Z]", r"^CHAPTER\s+[A-Z\d]+", r"^PART\s+[A-Z\d]+")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -173,8 +173,14 @@ def sla_breaches(claims: DataFrame, limits: dict[str, int]) -> DataFrame:
     return claims.select("bill_id", each.alias("x")).select("bill_id", "x.*")
 
 
-def band_matches(items: DataFrame, bands: DataFrame, factor: str = "1.5") -> DataFrame:
+def amount_bands(spark: SparkSession, bands=rules.AMOUNT_BANDS) -> DataFrame:
+    """The listed bands as a table."""
+    return spark.createDataFrame(list(bands), "department string, band int, min_amount int, max_amount int, procedure string, band_rate int")
+
+
+def band_matches(items: DataFrame, bands: DataFrame | None = None, factor: str = "1.5") -> DataFrame:
     """Lines whose department has a band that holds the amount (up to ``factor`` times its top) and whose rate it exceeds ``factor`` times: the first such band."""
+    bands = amount_bands(items.sparkSession) if bands is None else bands
     joined = items.join(F.broadcast(bands), "department")  # a rule list of fixed length
     hit = joined.filter((F.col("amount") >= F.col("min_amount")) & (F.col("amount") <= F.col("max_amount") * num(factor)) & (F.col("amount") > F.col("band_rate") * num(factor)))
     return keep_first(hit, ["bill_id", "pos"], ["band"])
