@@ -87,6 +87,20 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.select("*", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("_turn")).filter("_turn = 1").drop("_turn")
 
 
+def unrepeated(items: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
+    """Lines of which no earlier one of the same keys has a text that begins with their first word.
+
+    A text begins with a word if its first word does, so each line is kept by the first place of the first words that
+    begin with its own; those of a key are a short list of different words.
+    """
+    first = F.split_part("description", F.lit(" "), F.lit(1))
+    places = items.groupBy(*keys, first.alias("_first")).agg(F.min(order).alias("_place"))
+    per = places.groupBy(*keys).agg(F.collect_list(F.struct("_first", "_place")).alias("_places"))
+    joined = items.join(per.hint("merge"), keys)
+    earlier = F.exists("_places", lambda x: x["_first"].startswith(first) & (x["_place"] < F.col(order)))
+    return joined.filter(~earlier).select(*items.columns)
+
+
 def bill_sums(items: DataFrame) -> DataFrame:
     return items.groupBy("bill_id").agg(F.sum("amount").alias("line_sum"), F.count("*").alias("n_lines"))
 

@@ -10,33 +10,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 20_000
+QUERIES = 1_000
 #: Vectors of a chunk of the join of near vectors.
 CHUNK = 500
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    each = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
-
-
-def similarity(a: Column, b: Column, metric: str = "l2sq") -> Column:
-    """1 - distance, to three places: of the squared Euclidean distance, or of the cosine distance."""
-    if metric == "l2sq":
-        return F.round(1 - squared_distance(a, b), 3)
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.round(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), 3)
-
-
 def nearest(queries: DataFrame, corpus: DataFrame, n: int, metric: str = "l2sq", least: float | None = None) -> DataFrame:
     """query_id, rank, id and similarity of the ``n`` most similar of ``corpus`` (id, vec) for each of ``queries`` (query_id, vec).
 
-    The corpus is dealt into blocks and each query is sent to every block; a window with a limit keeps n
-    rows of a query in each task.  Ties go to the smaller id; rows below ``least`` are left out.
+    Similarity is 1 - distance, to three places: of the squared Euclidean distance, or of the cosine distance.  The corpus is
+    dealt into blocks and the queries into chunks, each pair of which meets in one group as two matrices; a group returns
+    the best of its block for each query, and a window the best of all.  Ties go to the smaller id; rows below ``least``
+    are left out; vectors that are null, empty, of another length or hold nulls take no part.
     """
-    blocks = max(1, -(-corpus.count() // BLOCK))
-    dealt = corpus.select("id", F.col("vec").alias("_v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block"))
-    asked = queries.select("query_id", F.col("vec").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    scored = asked.join(dealt.hint("shuffle_hash"), "_block").select("query_id", "id", similarity(F.col("_q"), F.col("_v"), metric).alias("similarity"))
+    fine = lambda v: F.size(v).cast("int") * F.when(F.exists(v, lambda x: x.isNull()), 0).otherwise(1)
+    sized = lambda df, key: df.select(F.col(key).alias("id"), F.col("vec").cast("array<double>").alias("vec")).withColumn("d", F.coalesce(fine(F.col("vec")), F.lit(0))).filter("d > 0")
+    asked, held = sized(queries, "query_id"), sized(corpus, "id")
+    blocks, chunks = max(1, -(-held.count() // BLOCK)), max(1, -(-asked.count() // QUERIES))
+    place = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = held.select("d", place(blocks).alias("block"), every(chunks).alias("chunk"), F.lit(False).alias("ask"), "id", "vec")
+    b = asked.select("d", every(blocks).alias("block"), place(chunks).alias("chunk"), F.lit(True).alias("ask"), "id", "vec")
+
+    def group(data: pa.Table) -> pa.Table:
+        ask = np.asarray(data.column("ask"))
+        out: list[tuple[np.ndarray, ...]] = []
+        sides = [data.filter(pa.array(k)).combine_chunks() for k in (ask, ~ask)]
+        if all(s.num_rows for s in sides):
+            (qi, q), (ci, c) = ((np.asarray(s.column("id")), s.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(s.num_rows, -1)) for s in sides)
+            order = np.argsort(ci, kind="stable")
+            ci, c = ci[order], c[order]
+            for i in range(0, len(q), 64):
+                part = q[i : i + 64]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    if metric == "l2sq":
+                        near = np.stack([1 - ((c - x) ** 2).sum(axis=1) for x in part])
+                    else:
+                        near = (part @ c.T) / (np.sqrt((part**2).sum(axis=1))[:, None] * np.sqrt((c**2).sum(axis=1)))
+                for j, x in enumerate(near):
+                    places = np.floor(x * 1000 + 0.5)
+                    close = np.abs(x * 1000 + 0.5 - np.rint(x * 1000 + 0.5)) < 1e-6  # rounding might decide; all of these go on
+                    first = np.argsort(-places, kind="stable")[:n]
+                    at = np.union1d(first, np.flatnonzero(close & (places >= places[first[-1]] - 1)))
+                    at = at[~np.isnan(x[at])]
+                    out.append((np.full(len(at), qi[i + j]), ci[at], x[at]))
+        columns = [np.concatenate(v) for v in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(v) for v in columns], names=["query_id", "id", "similarity"])
+
+    scored = a.union(b).groupBy("d", "block", "chunk").applyInArrow(group, "query_id long, id long, similarity double").withColumn("similarity", F.round("similarity", 3))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     top = scored.select("*", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= n)
     return top if least is None else top.filter(F.col("similarity") >= least)

@@ -120,11 +120,13 @@ def lab_overcharge(spark, d):
 
 def suppress_consults(spark, d):
     """Consultations whose text begins like an earlier line of the same bill and category go."""
-    i = line_items(spark, d)
-    w = Window.partitionBy("bill_id", "category").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.split_part("description", F.lit(" "), F.lit(1))
-    seen = F.exists(F.collect_list("description").over(w), lambda x: x.startswith(base))
-    return i.withColumn("_seen", seen).filter("NOT _seen").select("bill_id", "pos", "description")
+    return D.unrepeated(line_items(spark, d), ["bill_id", "category"]).select("bill_id", "pos", "description")
+
+
+def repeated_consults(spark, d):
+    """Consultations that an earlier line of the bill has with the same base text and amount go."""
+    i = line_items(spark, d).withColumn("amount", F.floor(F.col("amount") / 10000))
+    return D.unrepeated(i, ["bill_id", "amount"]).select("bill_id", "pos", "description")
 
 
 def first_prices(spark, d):
@@ -176,7 +178,7 @@ def section_registry(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (collection_roundtrip, searchable_text, flat_metadata, page_text, issue_sink, result_export, file_types, column_roles, payable_status, price_tokens, price_buckets, parse_quality, consumables, lab_overcharge,
-              suppress_consults, first_prices, special_match, lookup_format, cited_regulations, assessment_rows, section_registry)
+              suppress_consults, repeated_consults, first_prices, special_match, lookup_format, cited_regulations, assessment_rows, section_registry)
 }
 ORACLE_SQL = {
     "collection_roundtrip": BRIDGE + f", k AS (SELECT code, name, rate::DOUBLE AS rate, {KINDS} AS type FROM bench) SELECT * FROM k WHERE type = 'nppa_drug' OR (type = 'cghs_rate' AND code % 2 = 0)",
@@ -197,6 +199,8 @@ ORACLE_SQL = {
     + ", s AS (SELECT *, 40 + code % 40 AS sim, rate * quantity AS ref FROM li WHERE category IN ('LARGE', 'MEDIUM')) SELECT bill_id, pos, CASE WHEN sim >= 45 THEN 'procedure_overcharge' ELSE 'missing_itemization' END AS issue_type, CASE WHEN sim < 45 THEN 'low' WHEN sim >= 65 THEN CASE WHEN amount::DOUBLE / ref::DOUBLE > 5 THEN 'medium' ELSE 'high' END WHEN sim >= 55 THEN 'medium' ELSE 'low' END AS confidence, amount::DOUBLE AS billed, CASE WHEN sim >= 45 THEN ref::DOUBLE END AS benchmark FROM s WHERE sim < 45 OR amount > ref * 1.5",
     "suppress_consults": BRIDGE
     + "SELECT a.bill_id, a.pos, a.description FROM li a WHERE NOT EXISTS (SELECT 1 FROM li b WHERE b.bill_id = a.bill_id AND b.category = a.category AND b.pos < a.pos AND starts_with(b.description, split_part(a.description, ' ', 1)))",
+    "repeated_consults": BRIDGE
+    + "SELECT a.bill_id, a.pos, a.description FROM li a WHERE NOT EXISTS (SELECT 1 FROM li b WHERE b.bill_id = a.bill_id AND floor(b.amount / 10000) = floor(a.amount / 10000) AND b.pos < a.pos AND starts_with(b.description, split_part(a.description, ' ', 1)))",
     "first_prices": BRIDGE + ", o AS (SELECT * FROM bench QUALIFY row_number() OVER (PARTITION BY name ORDER BY code) = 1) SELECT name, code, rate::DOUBLE AS rate FROM o QUALIFY row_number() OVER (PARTITION BY rate ORDER BY code) = 1",
     "special_match": BRIDGE + ", b AS (SELECT code AS matched, rate AS ceiling FROM bench WHERE name = 'small rod' ORDER BY code LIMIT 1) SELECT bill_id, pos, matched, amount::DOUBLE AS billed, (ceiling * quantity)::DOUBLE AS benchmark FROM li JOIN b ON amount > ceiling * quantity * 1.05 WHERE description LIKE '%rod'",
     "lookup_format": BRIDGE

@@ -6,7 +6,6 @@ end with ``availableNow`` into a folder below the shared checkpoint folder and r
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.bridge import shared_folder
+
 HOUR = 3600
 
 
@@ -56,12 +57,7 @@ def stuck(events: DataFrame, gap: str = "2 hours", late: str = "10 minutes") ->
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
