@@ -143,6 +143,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row as often as it is taken, to the nearest whole number, with its columns as they are.
 
+    Rows that repeat a doc_id with another text are taken apart; those that repeat both are taken alike.
     A document's fraction is rounded by where the run of blocks meets its middle word, so sources keep to
     their targets within a document at either end of a shard's run.
     """
@@ -151,10 +152,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     middle = F.col("_p") + F.floor(F.col("size") / 2)
     inside = ((middle >= F.col("_from")) & (middle < F.col("_to"))) | (middle < F.col("_to") - F.col("_ring"))
     times = F.when(F.col("size") > 0, F.col("_whole") + inside.cast("long")).otherwise(F.lit(0))
-    # only identifiers travel through the plan; the texts are joined to their counts once
-    counted = plan(renamed.select("doc_id", "text", "source"), **how).groupBy("doc_id").agg(F.max(times).alias("_times")).filter("_times > 0")
-    counted = cut(counted).withColumnRenamed("doc_id", "_id")
-    joined = renamed.join(counted.hint("merge"), renamed["doc_id"].eqNullSafe(counted["_id"]))
+    # only identifiers and marks of the texts travel through the plan; the texts are joined to their counts once
+    mark = F.xxhash64("text").alias("_mark")
+    counted = plan(renamed.select("doc_id", "text", "source", mark), keep=("_mark",), **how).groupBy("doc_id", "_mark").agg(F.max(times).alias("_times")).filter("_times > 0")
+    counted = cut(counted).withColumnsRenamed({"doc_id": "_id", "_mark": "_m"})
+    joined = renamed.withColumn("_mark", mark).join(counted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")))
     copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return copies.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, own, strict=True)])
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pyarrow.dataset as ds
 from conftest import DATA, oracle
-from test_text_operators import components
+from test_text_operators import SCHEMA, components, corpus
 
 import corpus_pipeline
 from chargeaudit.llm import mixing, quality_rules, secret_scan
@@ -44,6 +44,23 @@ def test_stages(spark):
     assert {i: n for i, n in packed.groupby("doc_id").length.sum().items()} == {i: n * times[i] for i, n in packed.groupby("doc_id").doc_tokens.first().items()}
 
 
+def test_stages_on_hard_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, and an empty table pass all stages."""
+    docs = spark.createDataFrame(corpus(), SCHEMA).drop("kept", "n_words")
+    rows = [(None, "some words of no document " * 6, None, None, None), (7, None, "en", "a", 1), (7, " ".join(f"w{i}" for i in range(30_000)), "en", "a", 1), (7, " ".join(f"v{i}" for i in range(60)) + " token=abcdef123", "en", "a", 1)]
+    docs = docs.union(spark.createDataFrame([*rows, rows[2]], docs.schema)).repartition(2)
+    for start in (docs, docs.limit(0)):
+        out = start
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before, out = out, written(stage(spark, out, DATA), "stage")
+            assert i == 4 or out.columns == docs.columns
+            if i == 1 and start is docs:
+                assert sorted((r.doc_id, r.text) for r in out.filter("doc_id = 7").collect()) == sorted({(r.doc_id, r.text) for r in before.filter("doc_id = 7").collect()})
+            if i == 2:
+                assert out.filter("text LIKE '%abcdef123%'").count() == 0
+        assert (out.count() > 0) == (start is docs)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     assert ds.dataset(f"{DATA}/documents.parquet").count_rows() > 0
