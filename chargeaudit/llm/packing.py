@@ -39,8 +39,11 @@ END = 1
 LEAST_BYTES = 4
 DIMENSIONS = 4
 BITS = 12
-#: A worker's table of encodings holds at most about so many words.
-WORDS_KEPT = 600_000
+#: A worker's table of encodings holds at most about so many words, and bytes of words and ids; workers outlive tasks.
+WORDS_KEPT = 200_000
+BYTES_KEPT = 24 << 20
+#: Bytes of text that are encoded at a time.
+AT_ONCE = 1 << 20
 #: Tokens of a row of the range sort at most; longer documents have several rows, so rows and bytes are alike.
 SEGMENT = 2048
 #: Tokens for a partition of the range sort.
@@ -91,7 +94,7 @@ class Encoder:
         self.words = WordCodes()
         # of each word: how often it was met; and its signs, number of ids and their start, packed into one number
         self.seen, self.packed = (np.zeros(1 << 16, np.int64) for _ in range(2))
-        self.flat, self.filled = np.zeros(1 << 18, np.uint32), 0
+        self.flat, self.filled, self.held = np.zeros(1 << 18, np.uint32), 0, 0
 
     def split(self, text: bytes) -> list[bytes]:
         """The words of a text, cut at added tokens."""
@@ -132,17 +135,21 @@ class Encoder:
         self.packed[at:end] = (self.filled + np.cumsum(sizes) - sizes) << 30 | sizes << 5 | signs(words)
         self.seen[at:end] = 0
         self.filled += total
+        self.held += sum(map(len, words))
 
     def forget(self) -> None:
-        """Words met once go; if that is too little, all go."""
+        """Words met once go; if that is too little, all go.  The arrays shrink to what is left."""
         kept = [(w, at) for w, at in self.words.items() if self.seen[at] > 1]
-        kept = kept if len(kept) < WORDS_KEPT // 2 else []
-        packed = self.packed[[at for _, at in kept]]
+        held = sum(len(w) for w, _ in kept)
+        packed = self.packed[[at for _, at in kept]] if kept else np.zeros(0, np.int64)
         sizes = packed >> 5 & 0x1FFFFFF
-        self.flat[: sizes.sum()] = self.gather(packed >> 30, sizes)
-        self.filled = int(sizes.sum())
+        if len(kept) > WORDS_KEPT // 2 or held + 4 * int(sizes.sum()) > BYTES_KEPT // 2:
+            kept, held, packed, sizes = [], 0, packed[:0], sizes[:0]
+        ids = self.gather(packed >> 30, sizes)
+        self.flat, self.filled, self.held = np.zeros(max(1 << 18, 2 * len(ids)), np.uint32), len(ids), held
+        self.flat[: len(ids)] = ids
+        self.seen, self.packed = (np.zeros(max(1 << 16, 2 * len(kept)), np.int64) for _ in range(2))
         self.packed[: len(kept)] = (np.cumsum(sizes) - sizes) << 30 | packed & 0x3FFFFFFF
-        self.seen[:] = 0
         self.words = WordCodes(zip((w for w, _ in kept), range(len(kept)), strict=True))
 
     def gather(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -151,7 +158,7 @@ class Encoder:
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, END after each text; each text's number of ids; each text's projected vector and its squared length."""
-        if len(self.words) > WORDS_KEPT:
+        if len(self.words) > WORDS_KEPT or self.held + 4 * self.filled > BYTES_KEPT:
             self.forget()
         split = [[*self.split(t or b""), STOP] for t in texts]
         each = np.array([len(ws) for ws in split], np.int64)
@@ -227,7 +234,7 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
         encode = encoder(path)
         size = encode.tokenizer.get_vocab_size()
         kind = "<u2" if size <= 1 << 16 else "<u4"
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", AT_ONCE):
             ids, lengths, projected = encode(texts_of(batch, "text"))
             raw, width = memoryview(ids.astype(kind).tobytes()), np.dtype(kind).itemsize
             ends = np.cumsum(lengths)
