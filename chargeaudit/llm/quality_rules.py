@@ -60,20 +60,23 @@ def counts(text: bytes | None, codes: WordCodes, noise: list[np.ndarray]) -> tup
     return n, chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat, len(lines)
 
 
-def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and the counts of the whole texts, named with a leading underscore."""
+def with_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the counts of the whole texts, named with a leading underscore.
+
+    A text that is kept is sent to the workers once.
+    """
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(f"_{c}", T.LongType(), False) for c in COUNTS])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, text):
             codes, noise = WordCodes(), [np.zeros(0, np.uint64)]
-            rows = np.array([counts(t, codes, noise) for t in texts_of(batch, "_text")], np.int64).reshape(-1, len(COUNTS))
+            rows = np.array([counts(t, codes, noise) for t in texts_of(batch, text)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(rows[:, i]) for i in range(len(COUNTS))],
                 names=[*keep, *(f"_{c}" for c in COUNTS)],
             )
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(work, schema)
+    return docs.select(*keep, *[text] * (text not in keep)).mapInArrow(work, schema)
 
 
 def base_failed() -> Column:
@@ -164,9 +167,10 @@ def kept_documents(docs: DataFrame, least: int = 200, spread: float = 6.0) -> Da
     """
     has_columns(docs, "text", "lang", "source")
     own = [f"c{i}" for i in range(len(docs.columns))]
-    renamed = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, own, strict=True)], F.col("text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"))
-    limits = cut(fences(sketches(with_counts(renamed.select("text", "_lang", "_source"), ["_lang", "_source"])), least, spread))
-    kept = judged(with_counts(renamed, [*own, "_lang", "_source"]), limits).filter("_kept")
+    text = own[docs.columns.index("text")]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, own, strict=True)], F.col("lang").alias("_lang"), F.col("source").alias("_source"))
+    limits = cut(fences(sketches(with_counts(renamed.select(text, "_lang", "_source"), ["_lang", "_source"], text)), least, spread))
+    kept = judged(with_counts(renamed, [*own, "_lang", "_source"], text), limits).filter("_kept")
     return kept.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, own, strict=True)])
 
 
