@@ -4,8 +4,9 @@ A token is an element in its place, the path of tags and class words that leads
 occurrence vector has the number of its occurrences on each page of a host; a sum of random numbers, one for each page
 times the occurrences, stands for the vector and is merged by addition.
 
-1. One pass sums for every host and token: pages, occurrences, vector, and for elements the characters of text and of
-   link text below them.
+1. One pass sums for every host and element: pages, occurrences, vector, and the characters of text and of link text
+   below it.  A word that is on half of a host's pages is on half of them in some stretch of pages that a task reads; such
+   words are candidates, and a second pass sums these alone.  Hosts with too few pages have no candidates of their own.
 2. Per host, tokens on at least half of the pages form equivalence classes, those with one vector.  A class is valid if it
    has several tokens or is on every page, and classes nest by their places.  The elements of valid classes are the
    template, their words are its fixed text, and what lies under each element is a slot.  A host's list is bounded by the
@@ -15,7 +16,7 @@ times the occurrences, stands for the vector and is merged by addition.
    text.  Inside, slots of links, named slots of fixed text, and records (several named elements of one class that repeat
    on a page, such as comments) are no text, but for those that hold much of the container; all else stays, also
    paragraphs that recur on many pages.
-4. A second pass extracts the blocks of the slots of text.  Places outside the template follow the nearest slot above
+4. A last pass extracts the blocks of the slots of text.  Places outside the template follow the nearest slot above
    them.  Hosts with too few pages to compare use the template of all hosts together.
 
 Elements that are a menu, footer, sidebar, form control or script by their tag or role are never text.  Class and id words
@@ -47,8 +48,8 @@ from .common import cut, has_columns, join_small, slices, table
 LEAST_PAGES = 4
 #: Templates of at most so many hosts are broadcast.
 BROADCAST_HOSTS = 2000
-#: Tokens that a task sums up at a time.
-HELD = 150_000
+#: Words of a stretch of pages, about.
+HELD = 300_000
 #: Elements nested deeper stand beside each other in the template.
 DEEPEST = 500
 #: The share of the text that a slot must hold to be followed down to the container.
@@ -287,59 +288,150 @@ def flags_of(place: Place) -> int:
     return HARD * place.hard | SOFT * place.soft | MAIN * place.main | NAMED * place.named
 
 
-def page_tokens(page: str, root: Place) -> dict[tuple[int, str | None], list[int]]:
-    """(place, none) of each element and (place, word) of each word outside hard noise -> above, flags, occurrences, characters, characters in links."""
-    own: dict[tuple[int, str | None], list[int]] = {}
+def page_tokens(page: str, root: Place) -> tuple[dict[int, list[int]], Counter[tuple[int, str]]]:
+    """Each element's place -> above, flags, occurrences, characters, characters in links; and how often each word stands in each place outside hard noise."""
+    own: dict[int, list[int]] = {}
+    words: Counter[tuple[int, str]] = Counter()
     for place, text, links, opened in read(page, root):
         if opened is not None:
-            own.setdefault((place.key, None), [place.above.key if place.above else 0, flags_of(place), 0, 0, 0])[2] += 1
+            x = own.get(place.key)
+            if x is None:
+                own[place.key] = [place.above.key if place.above else 0, flags_of(place), 1, 0, 0]
+            else:
+                x[2] += 1
         elif not place.hard:
             for p in place.line():
                 if p.tag:
-                    x = own[p.key, None]
+                    x = own[p.key]
                     x[3] += len(text)
                     x[4] += links
-            for word, n in Counter(text.split()).items():
-                x = own.setdefault((place.key, word), [place.key, WORD, 0, 0, 0])
-                x[2] += n
-                x[3] += n * (len(word) + 1)
-    return own
+            key = place.key
+            words.update([(key, w) for w in text.split()])
+    return own, words
+
+
+def word_token(place: int, word: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{place} {word}") >> 1
+
+
+def drawn(page: str) -> int:
+    """The random number of a page; equal pages have the same."""
+    return xxhash.xxh3_64_intdigest(page) & ((1 << 40) - 1)
+
+
+def rows_of(sums: dict[tuple[int, int], list[int]]) -> pa.RecordBatch:
+    """(host, token) -> above, flags, pages, count, vector, chars, links as rows."""
+    keys = np.array(list(sums), np.int64).reshape(-1, 2)
+    values = np.array([[*x[:4], x[4] & ((1 << 62) - 1), *x[5:]] for x in sums.values()], np.int64).reshape(-1, 7)
+    columns = [keys[:, 0], keys[:, 1], values[:, 0], values[:, 1].astype(np.int32), *values[:, 2:].T]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=NAMES)
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """Sums for each host and token, one row for each that a stretch of pages holds."""
+def elements(pages: DataFrame) -> DataFrame:
+    """Sums for each host and element, and candidates among the words (rows of no pages), one row for each that a stretch of pages holds."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int, str | None], list[int]] = {}
+        sums: dict[tuple[int, int], list[int]] = {}
+        seen: dict[int, Counter[tuple[int, str]]] = {}
+        number: Counter[int] = Counter()
 
         def rows() -> pa.RecordBatch:
-            keys = [k if w is None else xxhash.xxh3_64_intdigest(f"{k} {w}") >> 1 for _, k, w in sums]
-            values = np.array([[x[0], x[1], x[2], x[3], x[4] & ((1 << 62) - 1), x[5], x[6]] for x in sums.values()], np.int64)
-            columns = [pa.array([h for h, _, _ in sums], pa.int64()), pa.array(keys, pa.int64()), pa.array(values[:, 0]), pa.array(values[:, 1].astype(np.int32)), *[pa.array(values[:, i]) for i in range(2, 7)]]
-            sums.clear()
-            return pa.RecordBatch.from_arrays(columns, names=NAMES)
+            every: Counter[tuple[int, str]] = Counter()
+            for host, words in seen.items():
+                every.update(words)
+                if host in small:
+                    continue
+                for (key, word), n in words.items():
+                    if 2 * n >= number[host]:
+                        sums[host, word_token(key, word)] = [key, WORD, 0, 0, 0, 0, 0]
+            whole = number.total()
+            for (key, word), n in every.items():
+                if 2 * n >= whole:
+                    sums[COMMON, word_token(key, word)] = [key, WORD, 0, 0, 0, 0, 0]
+            out = rows_of(sums)
+            for x in (sums, seen, number, small):
+                x.clear()
+            return out
+
+        small: set[int] = set()
+        for batch in slices(batches, "html"):
+            root = Place(0, "")
+            for host, few, page in zip(*(batch.column(c).to_pylist() for c in ("_host", "_few", "html")), strict=True):
+                page = page or ""
+                draw = drawn(page)
+                own, words = page_tokens(page, root)
+                number[host] += 1
+                if few:
+                    small.add(host)
+                seen.setdefault(host, Counter()).update(words.keys())
+                for key, (above, flags, n, chars, links) in own.items():
+                    x = sums.setdefault((host, key), [above, flags, 0, 0, 0, 0, 0])
+                    x[2] += 1
+                    x[3] += n
+                    x[4] += n * draw
+                    x[5] += chars
+                    x[6] += links
+            if sum(map(len, seen.values())) > HELD:
+                yield rows()
+        if number:
+            yield rows()
+
+    return pages.select("_host", "_few", "html").mapInArrow(work, TOKENS)
+
 
+def words(pages: DataFrame) -> DataFrame:
+    """Sums for each host and candidate word; ``pages`` has the candidates of its host and of all as ``_own`` and ``_all``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list[int]] = {}
+        wanted: dict[int, frozenset[int]] = {}
+        known: dict[tuple[int, str], int] = {}
         for batch in slices(batches, "html"):
             root = Place(0, "")
-            for host, page in zip(batch.column("_host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            hosts, pages_in = batch.column("_host").to_pylist(), batch.column("html").to_pylist()
+            for i, (host, page) in enumerate(zip(hosts, pages_in, strict=True)):
+                if host not in wanted:
+                    if len(wanted) >= 256:
+                        wanted.clear()
+                    wanted[host] = frozenset(batch.column("_own")[i].as_py() or ()) | frozenset(batch.column("_all")[i].as_py() or ())
+                if not wanted[host]:
+                    continue
                 page = page or ""
-                draw = xxhash.xxh3_64_intdigest(page) & ((1 << 40) - 1)
-                for (key, word), (above, flags, n, chars, links) in page_tokens(page, root).items():
-                    x = sums.get((host, key, word))
-                    if x is None:
-                        sums[host, key, word] = [above, flags, 1, n, n * draw, chars, links]
-                    else:
+                draw, mine = drawn(page), wanted[host]
+                for at, n in page_tokens(page, root)[1].items():
+                    token = known.get(at)
+                    if token is None:
+                        if len(known) >= HELD:
+                            known.clear()
+                        token = known[at] = word_token(*at)
+                    if token in mine:
+                        x = sums.setdefault((host, token), [at[0], WORD, 0, 0, 0, 0, 0])
                         x[2] += 1
                         x[3] += n
                         x[4] += n * draw
-                        x[5] += chars
-                        x[6] += links
-                if len(sums) > HELD:
-                    yield rows()
+                        x[5] += n * (len(at[1]) + 1)
+            if len(sums) > HELD:
+                yield rows_of(sums)
+                sums.clear()
         if sums:
-            yield rows()
+            yield rows_of(sums)
 
-    return pages.select(host_column(F.col("url")).alias("_host"), "html").mapInArrow(work, TOKENS)
+    return pages.select("_host", "html", "_own", "_all").mapInArrow(work, TOKENS)
+
+
+def tokens(pages: DataFrame, totals: DataFrame) -> DataFrame:
+    """Sums for each host and token: all elements, and the words that may be on half of its pages.  ``totals``: the hosts with pages enough."""
+    rows = pages.select(host_column(F.col("url")).alias("_host"), "html")
+    large = totals.select(F.col("_host").alias("_l"))
+    asked = join_small(rows, large, rows["_host"] == large["_l"], "left", BROADCAST_HOSTS).select("_host", "html", F.col("_l").isNull().alias("_few"))
+    parts = cut(merged(elements(asked), "host", "token"))
+    listed = parts.filter(F.col("pages") == 0).groupBy("host").agg(F.collect_set("token").alias("tokens"))
+    own = cut(listed)
+    common = own.filter(F.col("host") == COMMON).select(F.col("host").alias("_c"), F.col("tokens").alias("_all"))
+    own = own.filter(F.col("host") != COMMON).select(F.col("host").alias("_h"), F.col("tokens").alias("_own"))
+    joined = join_small(rows, own, rows["_host"] == own["_h"], "left", BROADCAST_HOSTS)
+    joined = joined.withColumn("_any", F.lit(COMMON).cast("long")).join(common.hint("broadcast"), F.col("_any") == F.col("_c"), "left")  # one row
+    return parts.filter(F.col("pages") > 0).unionByName(merged(words(joined), "host", "token"))
 
 
 def merged(parts: DataFrame, *keys: str) -> DataFrame:
@@ -405,11 +497,11 @@ def deduced(rows: list[dict]) -> dict[int, bool]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, number of pages and slots (element -> is it text): one row per host, and one for all together."""
-    parts = cut(merged(tokens(pages), "host", "token"))
-    every = merged(parts, "token").withColumn("host", F.lit(COMMON).cast("long"))
-    both = parts.unionByName(every.select(*parts.columns))
     counts = pages.groupBy(host_column(F.col("url")).alias("_host")).agg(F.count("*").alias("of"))
     totals = cut(counts.union(counts.agg(F.lit(COMMON).cast("long"), F.sum("of"))).filter(F.col("of") >= LEAST_PAGES))
+    parts = cut(tokens(pages, totals))
+    every = merged(parts, "token").withColumn("host", F.lit(COMMON).cast("long"))
+    both = parts.unionByName(every.select(*parts.columns))
     held = join_small(both, totals, both["host"] == totals["_host"]).filter(2 * F.col("pages") >= F.col("of")).drop("_host")
 
     def group(data: pa.Table) -> pa.Table:

@@ -114,19 +114,21 @@ def test_template_decides(spark):
 def test_classes_are_those_of_whole_vectors(spark):
     """Equivalence classes by sums of random numbers are those by the occurrences on each page."""
     made = [neutral(i)[0] for i in range(12)] + [SHELL.format(f"<article><p>{'same words ' * (i % 3)}</p></article>") for i in range(6)]
-    exact: dict[tuple, dict[int, int]] = {}
+    exact: dict[int, dict[int, int]] = {}
     for i, page in enumerate(made):
-        for key, x in html_text.page_tokens(page, html_text.Place(0, "")).items():
-            exact.setdefault(key, {})[i] = x[2]
+        own, words = html_text.page_tokens(page, html_text.Place(0, ""))
+        for token, n in [*((k, x[2]) for k, x in own.items()), *((html_text.word_token(*k), n) for k, n in words.items())]:
+            exact.setdefault(token, {})[i] = n
     want: dict[tuple, set] = {}
-    for (place, word), on in exact.items():
-        token = place if word is None else html_text.xxhash.xxh3_64_intdigest(f"{place} {word}") >> 1
-        want.setdefault(tuple(sorted(on.items())), set()).add(token)
-    df = spark.createDataFrame([(i, "http://n/", p) for i, p in enumerate(made)], "page_id long, url string, html string").repartition(3)
+    for token, on in exact.items():
+        if 2 * len(on) >= len(made):
+            want.setdefault(tuple(sorted(on.items())), set()).add(token)
+    df = spark.createDataFrame([(i, "http://n/", p) for i, p in enumerate(made)], "page_id long, url string, html string").repartition(5)
+    totals = df.select(html_text.host_column(F.col("url")).alias("_host")).distinct()
     got: dict[int, set] = {}
-    for r in html_text.merged(html_text.tokens(df), "host", "token").collect():
+    for r in html_text.tokens(df, totals).filter(f"2 * pages >= {len(made)}").collect():
         got.setdefault(r.vector, set()).add(r.token)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) > 5
 
 
 def test_deep_pages(spark):
