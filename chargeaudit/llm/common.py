@@ -60,8 +60,11 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", limit:
     return left.join(right.hint(hint), on, how)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds at most about ``most`` bytes of ``column`` (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds at most about ``most`` bytes of ``column`` (one row at least).
+
+    Workers outlive their tasks, so what Arrow keeps in reserve is given back at the end.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -70,6 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
