@@ -105,8 +105,8 @@ def test_parts_are_encoded_as_the_whole():
 
 def test_no_piece_holds_a_space_behind_another_character():
     by = Tokenizers(None, None)
-    for pieces in (by.a_bytes, by.b_bytes):
-        assert not [p for p in pieces if b" " in p.lstrip(b" ")]
+    for pieces in (by.a_bytes, by.b_bytes):  # white space aside, where no text is cut
+        assert not [p for p in pieces if b" " in p.lstrip(b" \t\n\r\x0b\x0c\xc2\xa0")]
 
 
 def test_long_texts(spark):
