@@ -6,7 +6,8 @@ holds; intersecting the postings of an AND and uniting the ORs gives the candida
 expression is run on those alone.  A rule whose expression has no mandatory trigram (runs of hex digits) scans every text.
 Candidates are ids and a bit for each rule; while they are few they are sent to the texts, which then are not shuffled.
 
-Spans count code points; ends are exclusive.  Defined cases: a null text is empty and has no span; rows with
+Spans count code points; ends are exclusive.  Defined cases: a null text is empty and has no span; many matches of a long text
+cost little more than few, for positions are summed in pieces; rows with
 a null ``doc_id`` cannot be posted and are scanned by every rule; rows that share a ``doc_id`` are candidates
 together and are verified one by one; an empty table gives an empty result; other columns are ignored.
 """
@@ -82,6 +83,30 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return lists.select("doc_id", bits.alias("rules")).filter("rules <> 0")
 
 
+SPAN = "array<struct<start:int,ord:int,end:int,kind:string>>"
+
+
+def chunked(values: Column) -> Column:
+    """An array cut into about as many pieces as each piece has values.
+
+    A fold that appends copies what it has each time; over pieces, then inside each, its cost stays far below the square.
+    """
+    n = F.size(values)
+    step = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda i: F.slice(values, i * step + 1, step)))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def before(steps: Column, add) -> Column:
+    """For each of an array of numbers what ``add`` makes of those before it, from 0 on."""
+    kind = F.array().cast("array<int>")
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), kind.alias("out")), lambda a, x: F.struct(add(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+
 def spans_of(rule: Rule, order: int, text: Column) -> Column:
     """array<struct<start, ord, end, kind>> of the rule's matches that are long enough, leftmost and apart.
 
@@ -93,21 +118,22 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
         F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b")),
         lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["m"]).alias("n"), (F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least).alias("ok")),
     )
-    nothing = F.lit(None).cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    folded = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["b"] + x["n"]).alias("at"),
-            F.when(
-                x["ok"],
-                F.concat(a["out"], F.array(F.struct((a["at"] + x["b"]).alias("start"), F.lit(order).alias("ord"), (a["at"] + x["b"] + x["n"]).alias("end"), F.lit(rule.kind).alias("kind")))),
-            )
-            .otherwise(a["out"])
-            .alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(rule.pattern), folded).otherwise(nothing)
+    plus = lambda a, b: a + b
+
+    def placed(piece: Column, at: Column) -> Column:
+        starts = before(F.transform(piece, lambda x: x["b"] + x["n"]), plus)
+        spans = F.transform(
+            F.arrays_zip(piece.alias("x"), starts.alias("a")),
+            lambda z: F.when(z["x"]["ok"], F.struct((at + z["a"] + z["x"]["b"]).alias("start"), F.lit(order).alias("ord"), (at + z["a"] + z["x"]["b"] + z["x"]["n"]).alias("end"), F.lit(rule.kind).alias("kind"))),
+        )
+        return F.array_compact(spans)
+
+    def whole(pieces: Column) -> Column:
+        starts = before(F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x["b"] + x["n"])), plus)
+        return F.flatten(F.transform(F.arrays_zip(pieces.alias("p"), starts.alias("s")), lambda z: placed(z["p"], z["s"])))
+
+    spans = once(sized, lambda s: once(chunked(s), whole))
+    return F.when(text.rlike(rule.pattern), spans.cast(SPAN))
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -151,17 +177,22 @@ def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = MASK) -
     """The rows of ``docs`` with every span of their texts replaced by ``mask``; overlapping spans become one."""
     found = with_spans(docs, rules)
     text = F.col("text")
-    folded = F.aggregate(
-        "__secret_spans",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(
-            F.struct(
-                x["end"].alias("at"),
-                F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask)))).alias("out"),
-            )
-        ),
-    )
-    clean = F.concat(F.array_join(folded["out"], ""), F.substring(text, folded["at"] + 1, F.length(text)))
+    top = lambda a, b: F.greatest(a, b)
+
+    def cleaned(piece: Column, at: Column) -> Column:
+        """What a piece of the spans makes of the text from ``at`` to its last end; each works on a text of its own, for finding a position costs what stands before it."""
+        last = F.greatest(at, F.array_max(F.transform(piece, lambda x: x["end"])))
+        own = F.substring(text, at + 1, last - at)
+        reached = F.transform(before(F.transform(piece, lambda x: x["end"]), top), lambda a: F.greatest(a, at))
+        part = lambda o: lambda z: F.when(z["x"]["start"] >= z["a"], F.concat(F.substring(o, z["a"] - at + 1, z["x"]["start"] - z["a"]), F.lit(mask)))
+        return once(own, lambda o: F.array_join(F.transform(F.arrays_zip(piece.alias("x"), reached.alias("a")), part(o)), ""))
+
+    def whole(pieces: Column) -> Column:
+        starts = before(F.transform(pieces, lambda p: F.array_max(F.transform(p, lambda x: x["end"]))), top)
+        return F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), starts.alias("s")), lambda z: cleaned(z["p"], z["s"])), "")
+
+    end = F.array_max(F.transform("__secret_spans", lambda x: x["end"]))
+    clean = F.concat(once(chunked(F.col("__secret_spans")), whole), F.substring(text, end + 1, F.length(text)))
     new = F.when(F.size("__secret_spans") == 0, text).otherwise(clean)
     return found.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
