@@ -5,15 +5,16 @@ words; a target stops at ``most`` times its source's size and the excess is shar
 sources sorted by size over weight, those that stop are a prefix, so one pass of running sums finds the level.
 
 Blocks.  Each source is dealt into shards by a seeded hash of doc_id, about ``shard_words`` words each, so the
-largest source has the most shards and no task holds more than a shard.  Inside a shard the documents stand
+largest source has the most shards and a task holds a shard, and what repeats one of its ids.  Inside a shard the documents stand
 in seeded order and their words form blocks of ``block_words`` (the last may be shorter).  Every source gets as
 many blocks as highest-quotient apportionment (divisors 1, 3, 5, ...) of its target gives it, and the same rule
 divides them among its shards.  A shard with a quota of q blocks and n blocks is taken q div n times whole; the
 other q mod n blocks run on from a seeded block, around the shard's end.  What a document gives is then the
 overlap of its words with that run: no block is ever made a row.
 
-Defined cases: a null or wordless text has size 0 and gives nothing; rows that repeat a doc_id stand side by
-side; null doc_ids count as the empty string in the hash; a source without words has target 0; an empty table
+Defined cases: a null or wordless text has size 0 and gives nothing; a long text is one document of its shard; rows that repeat
+a doc_id stand side by side in one shard; a row without doc_id is dealt by a digest of its text instead, so that many of
+them spread over the shards, and those of one text stand side by side; a source without words has target 0; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -103,7 +104,8 @@ def plan(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 20, see
     """One row per document: doc_id, size, source_size, target, taken, and where the taken run lies (``_whole``, ``_p``, ``_from``, ``_to``, ``_len``)."""
     has_columns(docs, "doc_id", "text", "source")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    sized = cut(docs.select("doc_id", *keep, F.col("source").alias("_source"), words(F.col("text")).alias("size"), draw(F.lit(seed), key).alias("_draw")))
+    dealt_by = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    sized = cut(docs.select("doc_id", *keep, F.col("source").alias("_source"), words(F.col("text")).alias("size"), draw(F.lit(seed), dealt_by).alias("_draw")))
     goal = cut(targets(sized, weights, share, most))
     shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))
     goal = goal.select("*", shards.alias("_shards"), F.lit(0).alias("_all"))
@@ -143,7 +145,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row as often as it is taken, to the nearest whole number, with its columns as they are.
 
-    Rows that repeat a doc_id with another text are taken apart; those that repeat both are taken alike.
+    Rows that repeat a doc_id with another text are taken apart.  Rows that repeat both share what they are taken together: each
+    the whole part, and each by a seeded draw one more, with the odds that the rest asks for.
     A document's fraction is rounded by where the run of blocks meets its middle word, so sources keep to
     their targets within a document at either end of a shard's run.
     """
@@ -154,10 +157,15 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     times = F.when(F.col("size") > 0, F.col("_whole") + inside.cast("long")).otherwise(F.lit(0))
     # only identifiers and marks of the texts travel through the plan; the texts are joined to their counts once
     mark = F.xxhash64("text").alias("_mark")
-    counted = plan(renamed.select("doc_id", "text", "source", mark), keep=("_mark",), **how).groupBy("doc_id", "_mark").agg(F.max(times).alias("_times")).filter("_times > 0")
-    counted = cut(counted).withColumnsRenamed({"doc_id": "_id", "_mark": "_m"})
-    joined = renamed.withColumn("_mark", mark).join(counted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")))
-    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    asked = renamed.select("doc_id", "text", "source", mark, F.col("source").alias("_from_source"))
+    counted = plan(asked, keep=("_mark", "_from_source"), **how).groupBy("doc_id", "_mark", "_from_source").agg(F.sum(times).alias("_times"), F.count("*").alias("_rows")).filter("_times > 0")
+    counted = cut(counted).withColumnsRenamed({"doc_id": "_id", "_mark": "_m", "_from_source": "_s"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")) & F.col("source").eqNullSafe(F.col("_s"))
+    turn = F.pmod(F.xxhash64(F.monotonically_increasing_id(), "_mark"), F.lit(1 << 40)).alias("_turn")
+    joined = renamed.select("*", mark, turn).join(counted.hint("merge"), same)
+    more = (F.col("_turn") % F.col("_rows") < F.col("_times") % F.col("_rows")).cast("long")
+    own_times = F.floor(F.col("_times") / F.col("_rows")) + more
+    copies = joined.withColumn("_own", own_times).filter("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own"))))
     return copies.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, own, strict=True)])
 
 
@@ -168,7 +176,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '~' || md5(coalesce(text, '')))), 1, 8))::BIGINT AS h
   FROM documents
 ), p AS (SELECT source, sum(size)::BIGINT AS z FROM d GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place FROM p),

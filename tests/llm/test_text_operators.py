@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -406,3 +407,67 @@ def test_skip_edges_pass_labels():
     # on a tree with two nodes message passing is exact
     joint = np.exp(w[graph.features[a]].sum(axis=0)[:, None] + w[graph.features[b]].sum(axis=0)[None, :] + 2.0 * np.eye(5))
     assert np.allclose(prob[a], joint.sum(axis=1) / joint.sum(), atol=0.02)
+
+
+def test_mixing_without_ids(spark):
+    """Rows without doc_id spread over the shards of their source, as the SQL does it."""
+    frame = pd.DataFrame([(None, f"text number {i} of some words", "a") for i in range(4000)] + [(i, f"other text {i}", "b") for i in range(400)], columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
+    df = spark.createDataFrame([(None if pd.isna(i) else int(i), t, s) for i, t, s in frame.itertuples(index=False)], "doc_id long, text string, source string")
+    agree(mixing.mix(df), mixing.ORACLE, None, documents=frame)
+    found = mixing.plan(df, shard_words=1000).filter("doc_id IS NULL")
+    rings = found.groupBy("_ring", "_from", "_to").count().collect()
+    assert len(rings) > 15 and max(r["count"] for r in rings) < 400
+
+
+def test_mix_of_repeated_rows(spark):
+    """Sources of rows that repeat id and text come near their targets too."""
+    rows = [(1, "a b c d e f g h", "x")] * 3000 + [(i, "one two three four", "y") for i in range(3000)] + [(2, "same text of two sources", "x"), (2, "same text of two sources", "y")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    goal = {(r.source_size, r.target) for r in mixing.mix(df).collect()}
+    got = mixing.mixed_documents(df).groupBy("source").agg({"*": "count"}).collect()
+    sizes = mixing.mixed_documents(df).selectExpr("source", "size(split(text, ' ')) AS n").groupBy("source").sum("n").collect()
+    targets = {24_000 + 2500: "x", 12_000 + 2500: "y"}
+    assert {targets[s] for s, _ in goal} == {"x", "y"} and len(got) == 2
+    for r in sizes:
+        target = next(t for s, t in goal if targets[s] == r.source)
+        assert abs(r["sum(n)"] - target) < 0.05 * target
+    again = mixing.mixed_documents(df).groupBy("source").count().collect()
+    assert sorted(again) == sorted(mixing.mixed_documents(df).groupBy("source").count().collect())
+
+
+def test_many_secrets_in_one_text(spark):
+    """100,000 keys in one text: spans as a plain search finds them, masked text without any, within seconds."""
+    text = "é " + " ".join(f"token=abcdef{i:06d} word" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = secret_scan.secret_scan(df).first()
+    want = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=[a-z0-9]+", text))
+    assert row.n_assign == 100_000 and row.spans == want
+    clean = secret_scan.masked(df).first().text
+    assert clean == re.sub(r"token=[a-z0-9]+", secret_scan.MASK, text)
+    assert time.perf_counter() - began < 60
+
+
+def test_long_runs_in_personal_data():
+    """Megabytes without a blank, with at-signs, take seconds; addresses are those of the pattern."""
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    rng = random.Random(9)
+    for _ in range(3000):
+        t = "".join(rng.choice("ab1.@-_% é") for _ in range(rng.randint(1, 40)))
+        assert list(personal_data.addresses(t)) == [m.span() for m in plain.finditer(t)], t
+    began = time.perf_counter()
+    for t in ("a" * 2_000_000 + " x@y.z", "a" * 1_000_000 + "@" + "b" * 1_000_000, "a." * 1_000_000 + "@", "a@" * 500_000 + "b.c", "7" * 2_000_000 + "@", "+1" + "(" * 1_000_000):
+        spans = personal_data.base_spans(t)
+        graph = personal_data.Graph(t, spans)
+        assert len(graph.labels) < 10
+    assert time.perf_counter() - began < 30
+
+
+def test_a_documents_numbers_do_not_depend_on_its_neighbours():
+    texts = ["call 1234 or 1234 now 1234 ask 5678 " * 5, "mail a@b.cd or a@b.cd x 99 " * 8, "one 1 two"]
+    rng = np.random.default_rng(3)
+    weights = (rng.normal(size=(personal_data.BUCKETS, personal_data.LABELS)), rng.normal(size=(5, 5)), 2.0 * np.eye(5))
+    graphs = [personal_data.Graph(t, personal_data.base_spans(t)) for t in texts]
+    together = personal_data.marginals(graphs, weights)
+    for graph, prob in zip(graphs, together, strict=True):
+        assert np.array_equal(personal_data.marginals([graph], weights)[0], prob)
