@@ -1,7 +1,10 @@
 """Matching of descriptions to benchmarks: by code, by common words, with synonyms; citations, evidence and numbers of issues.
 
-The similarity of two texts is the cosine of their sets of words, which meet by words, so texts without a common word
-never meet.  Texts are matched once for each different one.
+The similarity of two texts is the cosine of their sets of words.  Texts are matched once for each different one, by a join
+with a prefix filter: words stand in order of how many names have them, rare ones first, and a pair that is similar enough
+shares one of the first words of both, of which there are the fewer the higher ``least`` is.  Words of more than HOT names make no
+pairs.  Who shares only such words is found by classes: of names with the same frequent words and number of words only the
+first few by name can be among the best, and texts with the same frequent words and number of words have the same best.
 """
 
 from __future__ import annotations
@@ -16,19 +19,60 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
-def text_matches(texts: DataFrame, benchmarks: DataFrame, n: int = 1, least: float = 0.0, extra: tuple[str, ...] = ()) -> DataFrame:
+#: Words of more names than this are frequent.
+HOT = 64
+#: Parts in which the first names of a class are looked for at first.
+SALTS = 16
+
+
+def _first(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each group, from salted parts first, since a group may hold most rows."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)))
+    some = salted.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).filter(F.col("_turn") <= n)
+    return some.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_turn") <= n).drop("_salt", "_turn")
+
+
+def text_matches(texts: DataFrame, benchmarks: DataFrame, n: int = 1, least: float = 0.0, extra: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """text, rank, name, similarity and the columns ``extra`` of the ``n`` most similar benchmarks (name, ...) of each different text.
 
-    Ties go to the first name, then to the smallest ``extra``.  Texts and names of no common word never match.
+    Ties go to the first name, then to the smallest ``extra``.  Texts and names of no common word never match, so neither do nulls and empty ones.
     """
+    own = ["name", *extra]
     asked = texts.select("text").distinct().select("text", words_of(F.col("text")).alias("w"))
-    listed = benchmarks.select("name", *extra).distinct().select("name", *extra, words_of(F.col("name")).alias("v"))
-    a = asked.select("text", F.size("w").alias("_a"), F.explode("w").alias("_w"))
-    b = listed.select("name", *extra, F.size("v").alias("_b"), F.explode("v").alias("_w"))
-    both = a.join(b.hint("merge"), "_w").groupBy("text", "name", "_a", "_b", *extra).agg(F.count("*").alias("_c"))
-    scored = both.select("text", "name", *extra, F.round(F.col("_c") / F.sqrt(F.col("_a").cast("double") * F.col("_b")), 4).alias("similarity")).filter(F.col("similarity") >= least)
-    w = Window.partitionBy("text").orderBy(F.desc("similarity"), "name", *extra)
-    return scored.select("*", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= n)
+    listed = benchmarks.select(*own).distinct().select(*own, words_of(F.col("name")).alias("v"))
+    names = listed.select(F.explode("v").alias("_w")).groupBy("_w").agg(F.count("*").alias("_df"))
+    need = max(least - 1e-4, 0.0) ** 2  # similarities are rounded before they are compared
+
+    def ordered(df: DataFrame, keys: list[str], words: str) -> DataFrame:
+        """keys, words, their number ``_n``, and what joins are made of: rare words at the front, and frequent words."""
+        each = df.select(*keys, words, F.explode(words).alias("_x"))
+        told = each.join(names.hint("merge"), F.col("_x") == F.col("_w"))
+        per = told.groupBy(*keys, words).agg(F.array_sort(F.collect_list(F.struct("_df", "_w"))).alias("_known")).withColumn("_n", F.size(words))
+        # words that no name has are the rarest and fill the front
+        front = F.greatest(F.col("_n") - F.ceil(F.col("_n") * need) + (1 if need else 0) - (F.col("_n") - F.size("_known")), F.lit(0)).cast("int")
+        rare = F.filter(F.slice("_known", 1, front), lambda x: x["_df"] <= hot)
+        return per.select(*keys, words, "_n", F.transform(rare, lambda x: x["_w"]).alias("_rare"), F.transform(F.filter("_known", lambda x: x["_df"] > hot), lambda x: x["_w"]).alias("_often"))
+
+    a, b = ordered(asked, ["text"], "w"), ordered(listed, own, "v").withColumnRenamed("_n", "_m")
+    cosine = lambda shared: F.round(shared / F.sqrt(F.col("_n").cast("double") * F.col("_m")), 4)
+    left = a.select("text", "w", "_n", F.explode("_rare").alias("_x"))
+    right = b.select(*own, "v", "_m", F.explode("_rare").alias("_y"))
+    fits = (F.least("_n", "_m") >= F.greatest("_n", "_m") * need) & (F.col("_x") == F.col("_y"))
+    rare = left.join(right.hint("merge"), fits).select("text", *own, cosine(F.size(F.array_intersect("w", "v"))).alias("similarity"))
+
+    often = F.size("_often") > 0
+    asking = a.filter(often).select("_often", "_n").distinct()
+    answers = _first(b.filter(often).select(F.col("_often").alias("_held"), "_m", *own), ["_held", "_m"], own, n)
+    classes = answers.select("_held", "_m").distinct()
+    met = asking.withColumn("_x", F.explode("_often")).join(classes.withColumn("_y", F.explode("_held")).hint("merge"), F.col("_x") == F.col("_y"))
+    close = met.select("_often", "_n", "_held", "_m", cosine(F.size(F.array_intersect("_often", "_held"))).alias("similarity")).distinct().filter(F.col("similarity") >= least)
+    best = _first(close.join(answers.hint("merge"), ["_held", "_m"]), ["_often", "_n"], [F.desc("similarity"), *own], n)
+    frequent = a.filter(often).select("text", "_often", "_n").join(best.hint("merge"), ["_often", "_n"]).select("text", *own, "similarity")
+
+    # what shares only frequent words is exact; for others that is too low, and the pair stands among the rare ones too
+    scored = rare.union(frequent).groupBy("text", *own).agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") >= least)
+    w = Window.partitionBy("text").orderBy(F.desc("similarity"), *own)
+    return scored.select("text", *own, "similarity", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= n)
 
 
 def code_or_text(items: DataFrame, benchmarks: DataFrame | None, text: str = "description", least: float = 0.0) -> DataFrame:
