@@ -93,7 +93,7 @@ def test_empty_table(spark):
 
 
 def test_parts_are_encoded_as_the_whole():
-    by, rng = Tokenizers(None, None), random.Random(4)
+    by, rng = Tokenizers(None, None, None), random.Random(4)
     texts = ["".join(rng.choice(["the", "é", " ", " ", "  ", "\n", "ab", "'s", "<s>", "日本", "12", ".", "\u2581", "\u00a0"]) for _ in range(800)) for _ in range(30)]
     for t in texts:
         cut = parts(t, 40)
@@ -104,7 +104,7 @@ def test_parts_are_encoded_as_the_whole():
 
 
 def test_no_piece_holds_a_space_behind_another_character():
-    by = Tokenizers(None, None)
+    by = Tokenizers(None, None, None)
     for pieces in (by.a_bytes, by.b_bytes):  # white space aside, where no text is cut
         assert not [p for p in pieces if b" " in p.lstrip(b" \t\n\r\x0b\x0c\xc2\xa0")]
 
@@ -113,8 +113,19 @@ def test_long_texts(spark):
     rng = random.Random(8)
     long = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(80_000))
     docs = spark.createDataFrame([(1, long), (2, "x" * 300_000), (3, " " * 50_000)], "doc_id long, text string")
-    by = Tokenizers(None, None)
+    by = Tokenizers(None, None, None)
     for r in token_alignment.alignment(docs).collect():
         text = {1: long, 2: "x" * 300_000, 3: " " * 50_000}[r.doc_id]
         assert (r.n_a, r.n_b) == (len(by.a.encode(f" {text}", add_special_tokens=False).ids), len(by.b.encode(text)))
         assert r.n_groups > 0 and r.n_links >= max(r.n_a, r.n_b)
+
+
+def test_ranks_give_the_ids_of_the_vocabulary():
+    """Plain texts go by ranks, all others by the tokenizer itself."""
+    by, rng = Tokenizers(None, None, None), random.Random(1)
+    plain = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xA1, 0xAD), *range(0xAE, 0x250)]]
+    for _ in range(5000):
+        text = "".join(rng.choice(plain) if rng.random() < 0.5 else rng.choice(" abc'sdlveETHE19 \n") for _ in range(rng.randint(1, 50)))
+        assert token_alignment.PLAIN.fullmatch(text)
+        assert by.encode_a(text) == by.a.encode(text, add_special_tokens=False).ids
+    assert token_alignment.PLAIN.fullmatch("日本") is None
