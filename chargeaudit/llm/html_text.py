@@ -1,6 +1,7 @@
 """Main text of web pages by template deduction over equivalence classes of tokens.
 
-A token is an element in its place, the path of tags and class words that leads to it, or a word in such a place.  Its
+A token is an element in its place, the path of tags and class words that leads to it, or a word in such a place.  Numbers in
+class words count where a host has the numbered word on at least half of its pages (columns, but no numbers of entries).  A token's
 occurrence vector has the number of its occurrences on each page of a host; a sum of random numbers, one for each page
 times the occurrences, stands for the vector and is merged by addition.
 
@@ -13,9 +14,10 @@ times the occurrences, stands for the vector and is merged by addition.
    size of its pages, for few tokens can be on half of them.
 3. Slots are judged once per host.  The container is the article or main element, or else what is reached from the
    top by following the slot that holds most of the text that is neither fixed nor in links.  What is outside is no
-   text.  Inside, slots of links, named slots of fixed text, and records (several named elements of one class that repeat
-   on a page, such as comments) are no text, but for those that hold much of the container; all else stays, also
-   paragraphs that recur on many pages.
+   text.  Inside, lists of links are no text unless they hold most of the container, and neither are records: named elements
+   that repeat on a page, more often on some pages than on others, have no heading, and each begin with a short line of its own, such
+   as the name of who wrote a comment.  In a container that no element marks as article or main, named slots of fixed text are
+   notices.  All else stays, also paragraphs and named parts that recur on many pages.
 4. A last pass extracts the blocks of the slots of text.  Places outside the template follow the nearest slot above
    them.  Hosts with too few pages to compare use the template of all hosts together.
 
@@ -56,7 +58,9 @@ DEEPEST = 500
 FOLLOWED = 0.6
 #: The host of the template of all hosts.
 COMMON = -1
-HARD, SOFT, MAIN, NAMED, WORD = 1, 2, 4, 8, 16
+HARD, SOFT, MAIN, NAMED, WORD, HEADING = 1, 2, 4, 8, 16, 32
+#: Characters of a record's first line, at most.
+BYLINE = 24
 
 # Element names and class or id words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,6 +81,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 _NUMBER = re.compile(r"[-_]?\d+$")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NUMBERED = re.compile(r"[A-Za-z]+[-_]?[0-9]+")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass(slots=True)
@@ -104,11 +110,12 @@ class Place:
     named: bool = False
     kind: str = ""
     variants: dict[frozenset[int], Place] | None = None
+    numbered: frozenset[str] = frozenset()
 
     def child(self, tag: str, attributes: str) -> Place:
         found = self.below.get((tag, attributes))
         if found is None:
-            words, role, hidden, pure = named(attributes) if attributes else ((), "", False, False)
+            words, role, hidden, pure = named(attributes, self.numbered) if attributes else ((), "", False, False)
             kind = tag if tag in ("article", "main") else role if role in ("article", "main") else ""
             main = self.main or kind != ""
             hard = self.hard or tag in DROPPED or hidden or role in ROLES or (not main and tag == "header")
@@ -117,7 +124,7 @@ class Place:
             key = xxhash.xxh3_64_intdigest(f"{self.key} {tag} {' '.join(sorted(words))}") >> 1
             soft = mark and key not in self.lifted
             noise = self.noise or hard or soft
-            found = Place(key, tag, noise, main and not noise, self.link or tag == "a", self, lifted=self.lifted, mark=mark, pure=pure, hard=hard, soft=soft, named=bool(words), kind=kind, depth=self.depth + 1)
+            found = Place(key, tag, noise, main and not noise, self.link or tag == "a", self, lifted=self.lifted, mark=mark, pure=pure, hard=hard, soft=soft, named=bool(words), kind=kind, depth=self.depth + 1, numbered=self.numbered)
             if self.depth >= DEEPEST:
                 found.above, found.depth = self.above, self.depth
             if len(self.below) < 10_000:
@@ -131,13 +138,15 @@ class Place:
             place = place.above
 
 
-def named(attributes: str) -> tuple[tuple[str, ...], str, bool, bool]:
-    """Words of class and id, the role, whether the element is hidden, and whether a name is a noise word alone."""
+def named(attributes: str, numbered: frozenset[str] = frozenset()) -> tuple[tuple[str, ...], str, bool, bool]:
+    """Words of class and id, those of ``numbered`` with their numbers too, the role, whether the element is hidden, and whether a name is a noise word alone."""
     words, role, hidden, pure = [], "", False, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             words += [w.lower() for w in _WORD.findall(value)]
+            if numbered:
+                words += numbered.intersection(map(str.lower, _NUMBERED.findall(value)))
             pure = pure or any(_NUMBER.sub("", w) in NOISE for w in value.lower().split())
         elif name == "role":
             role = value.lower()
@@ -184,7 +193,7 @@ def read(page: str, root: Place) -> list[tuple[Place, str, int, Place | None]]:
         root.variants = root.variants or {}
         if lifted not in root.variants and len(root.variants) >= 16:
             root.variants.clear()
-        found = list(blocks(page, root.variants.setdefault(lifted, Place(0, "", lifted=lifted))))
+        found = list(blocks(page, root.variants.setdefault(lifted, Place(0, "", lifted=lifted, numbered=root.numbered))))
     return found
 
 
@@ -285,7 +294,7 @@ NAMES = [x.split()[0] for x in TOKENS.split(", ")]
 
 
 def flags_of(place: Place) -> int:
-    return HARD * place.hard | SOFT * place.soft | MAIN * place.main | NAMED * place.named
+    return HARD * place.hard | SOFT * place.soft | MAIN * place.main | NAMED * place.named | HEADING * (place.tag in _HEADINGS)
 
 
 def page_tokens(page: str, root: Place) -> tuple[dict[int, list[int]], Counter[tuple[int, str]]]:
@@ -319,6 +328,18 @@ def drawn(page: str) -> int:
     return xxhash.xxh3_64_intdigest(page) & ((1 << 40) - 1)
 
 
+class Roots(dict):
+    """A root of places for each list of numbered words."""
+
+    def of(self, numbered: list[str] | None) -> Place:
+        key = frozenset(numbered or ())
+        if key not in self:
+            if len(self) >= 64:
+                self.clear()
+            self[key] = Place(0, "", numbered=key)
+        return self[key]
+
+
 def rows_of(sums: dict[tuple[int, int], list[int]]) -> pa.RecordBatch:
     """(host, token) -> above, flags, pages, count, vector, chars, links as rows."""
     keys = np.array(list(sums), np.int64).reshape(-1, 2)
@@ -355,9 +376,9 @@ def elements(pages: DataFrame) -> DataFrame:
 
         small: set[int] = set()
         for batch in slices(batches, "html"):
-            root = Place(0, "")
-            for host, few, page in zip(*(batch.column(c).to_pylist() for c in ("_host", "_few", "html")), strict=True):
-                page = page or ""
+            roots = Roots()
+            for host, few, page, numbered in zip(*(batch.column(c).to_pylist() for c in ("_host", "_few", "html", "_numbered")), strict=True):
+                page, root = page or "", roots.of(numbered)
                 draw = drawn(page)
                 own, words = page_tokens(page, root)
                 number[host] += 1
@@ -376,7 +397,7 @@ def elements(pages: DataFrame) -> DataFrame:
         if number:
             yield rows()
 
-    return pages.select("_host", "_few", "html").mapInArrow(work, TOKENS)
+    return pages.select("_host", "_few", "html", "_numbered").mapInArrow(work, TOKENS)
 
 
 def words(pages: DataFrame) -> DataFrame:
@@ -387,9 +408,10 @@ def words(pages: DataFrame) -> DataFrame:
         wanted: dict[int, frozenset[int]] = {}
         known: dict[tuple[int, str], int] = {}
         for batch in slices(batches, "html"):
-            root = Place(0, "")
-            hosts, pages_in = batch.column("_host").to_pylist(), batch.column("html").to_pylist()
+            roots = Roots()
+            hosts, pages_in, numbered = (batch.column(c).to_pylist() for c in ("_host", "html", "_numbered"))
             for i, (host, page) in enumerate(zip(hosts, pages_in, strict=True)):
+                root = roots.of(numbered[i])
                 if host not in wanted:
                     if len(wanted) >= 256:
                         wanted.clear()
@@ -416,14 +438,28 @@ def words(pages: DataFrame) -> DataFrame:
         if sums:
             yield rows_of(sums)
 
-    return pages.select("_host", "html", "_own", "_all").mapInArrow(work, TOKENS)
+    return pages.select("_host", "html", "_own", "_all", "_numbered").mapInArrow(work, TOKENS)
+
+
+def with_numbered(pages: DataFrame, totals: DataFrame) -> DataFrame:
+    """``pages`` with the class and id words with numbers that stand on at least half of their host's pages, as ``_numbered``."""
+    values = F.regexp_extract_all("html", F.lit(r"""(?i)\b(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    found = F.regexp_extract_all(F.lower(F.array_join(values, " ")), F.lit(r"[a-z]+[-_]?[0-9]+"), F.lit(0))
+    asked = pages.filter(F.col("html").rlike(r"""(?i)\b(?:class|id)\s*=\s*["']?[^"'>]*[0-9]"""))
+    each = asked.select(host_column(F.col("url")).alias("_h"), F.explode(F.array_distinct(found)).alias("_w")).groupBy("_h", "_w").agg(F.count("*").alias("_n"))
+    often = join_small(each, totals, each["_h"] == totals["_host"]).filter(2 * F.col("_n") >= F.col("of"))
+    listed = cut(often.groupBy(F.col("_h").alias("_numbered_host")).agg(F.sort_array(F.collect_set("_w")).alias("_numbered")))  # a page's words, at most twice
+    if listed.isEmpty():
+        return pages.withColumn("_numbered", F.lit(None).cast("array<string>"))
+    return join_small(pages, listed, host_column(F.col("url")) == F.col("_numbered_host"), "left", BROADCAST_HOSTS).drop("_numbered_host")
 
 
 def tokens(pages: DataFrame, totals: DataFrame) -> DataFrame:
     """Sums for each host and token: all elements, and the words that may be on half of its pages.  ``totals``: the hosts with pages enough."""
-    rows = pages.select(host_column(F.col("url")).alias("_host"), "html")
+    pages = pages if "_numbered" in pages.columns else pages.withColumn("_numbered", F.lit(None).cast("array<string>"))
+    rows = pages.select(host_column(F.col("url")).alias("_host"), "html", "_numbered")
     large = totals.select(F.col("_host").alias("_l"))
-    asked = join_small(rows, large, rows["_host"] == large["_l"], "left", BROADCAST_HOSTS).select("_host", "html", F.col("_l").isNull().alias("_few"))
+    asked = join_small(rows, large, rows["_host"] == large["_l"], "left", BROADCAST_HOSTS).select("_host", "html", "_numbered", F.col("_l").isNull().alias("_few"))
     parts = cut(merged(elements(asked), "host", "token"))
     listed = parts.filter(F.col("pages") == 0).groupBy("host").agg(F.collect_set("token").alias("tokens"))
     own = cut(listed)
@@ -481,6 +517,24 @@ def deduced(rows: list[dict]) -> dict[int, bool]:
         containers = {at} if at else {t for t in clean if not above[t]}
     whole = sum(places[t]["chars"] for t in containers)
     named = Counter(r["vector"] for r in places.values() if r["flags"] & NAMED)
+
+    def record(t: int) -> bool:
+        """Several named elements, their number another from page to page, each with a short first line and none with a heading."""
+        r, up = places[t], places.get(above[t])
+        if not r["flags"] & NAMED or named[r["vector"]] < 2 or 2 * r["count"] <= 3 * r["pages"] or up is None:
+            return False
+        if r["count"] % up["count"] == 0 and (r["count"] // up["count"] * up["vector"] - r["vector"]) % (1 << 62) == 0:
+            return False
+        inner, turn = [], list(below.get(t, []))
+        while turn:
+            inner.append(x := turn.pop())
+            turn += below.get(x, [])
+        if any(places[x]["flags"] & HEADING for x in inner):
+            return False
+        own = r["chars"] - sum(places[x]["chars"] for x in below.get(t, []))  # text of inline elements counts as their block's
+        lines = [own, r["links"], *(places[x]["chars"] for x in inner if places[x]["vector"] == r["vector"])]
+        return any(0 < n <= BYLINE * r["count"] and n < r["chars"] for n in lines)
+
     out: dict[int, bool] = {}
     for t in order:
         r = places[t]
@@ -489,16 +543,19 @@ def deduced(rows: list[dict]) -> dict[int, bool]:
             continue
         small = t not in containers and 2 * r["chars"] < whole
         lists = small and 2 * r["links"] > r["chars"]
-        told = small and r["flags"] & NAMED and 5 * r["chars"] < whole and r["chars"] > 0 and 10 * fixed[t] >= 9 * (r["chars"] - r["links"])
-        record = small and r["flags"] & NAMED and named[r["vector"]] > 1 and 2 * r["count"] > 3 * r["pages"]
-        out[t] = not (lists or told or record or (small and r["flags"] & SOFT))
+        told = small and r["flags"] & NAMED and not r["flags"] & MAIN and r["chars"] > 0 and 10 * fixed[t] >= 9 * (r["chars"] - r["links"])
+        out[t] = not (lists or told or (small and r["flags"] & SOFT) or (t not in containers and record(t)))
     return out
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, number of pages and slots (element -> is it text): one row per host, and one for all together."""
+def totals_of(pages: DataFrame) -> DataFrame:
+    """_host and its number of pages ``of``, for hosts with pages enough and all together."""
     counts = pages.groupBy(host_column(F.col("url")).alias("_host")).agg(F.count("*").alias("of"))
-    totals = cut(counts.union(counts.agg(F.lit(COMMON).cast("long"), F.sum("of"))).filter(F.col("of") >= LEAST_PAGES))
+    return cut(counts.union(counts.agg(F.lit(COMMON).cast("long"), F.sum("of"))).filter(F.col("of") >= LEAST_PAGES))
+
+
+def templates(pages: DataFrame, totals: DataFrame) -> DataFrame:
+    """host, number of pages and slots (element -> is it text): one row per host, and one for all together."""
     parts = cut(tokens(pages, totals))
     every = merged(parts, "token").withColumn("host", F.lit(COMMON).cast("long"))
     both = parts.unionByName(every.select(*parts.columns))
@@ -543,8 +600,10 @@ def main_text(page: str, root: Place, slots: dict[int, bool]) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages`` (page_id, url, html)."""
     has_columns(pages, "page_id", "url", "html")
-    found = cut(templates(pages))
-    rows = pages.select("page_id", "url", "html", host_column(F.col("url")).alias("_host"))
+    totals = totals_of(pages)
+    pages = with_numbered(pages.select("page_id", "url", "html"), totals)
+    found = cut(templates(pages, totals))
+    rows = pages.select("page_id", "url", "html", "_numbered", host_column(F.col("url")).alias("_host"))
     common = found.filter(F.col("host") == COMMON).select(F.col("host").alias("_c"), F.struct("tokens", "keep").alias("_all"))
     own = found.filter(F.col("host") != COMMON).select(F.col("host").alias("_h"), F.struct("tokens", "keep").alias("_own"))
     joined = join_small(rows, own, rows["_host"] == own["_h"], "left", BROADCAST_HOSTS)
@@ -553,20 +612,20 @@ def extract(pages: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[int, dict[int, bool]] = {}
         for batch in slices(batches, "html"):
-            root, texts = Place(0, ""), []
-            hosts, pages_in = batch.column("_host").to_pylist(), batch.column("html").to_pylist()
+            roots, texts = Roots(), []
+            hosts, pages_in, numbered = (batch.column(c).to_pylist() for c in ("_host", "html", "_numbered"))
             for i, (host, page) in enumerate(zip(hosts, pages_in, strict=True)):
                 if host not in memo:
                     if len(memo) >= 256:
                         memo.clear()
                     t = batch.column("_own")[i].as_py() or batch.column("_all")[i].as_py()
                     memo[host] = dict(zip(t["tokens"], t["keep"], strict=True)) if t else {}
-                texts.append(main_text(page or "", root, memo[host]))
+                texts.append(main_text(page or "", roots.of(numbered[i]), memo[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], names=["page_id", "url", "text", "n_chars"]
             )
 
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "_host", "_own", "_all").mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "_host", "_own", "_all", "_numbered").mapInArrow(work, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

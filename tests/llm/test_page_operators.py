@@ -111,6 +111,55 @@ def test_template_decides(spark):
         assert html_text.main_text(page, html_text.Place(0, ""), {}) != text
 
 
+def whole(spark, pages: list[str]) -> list[str]:
+    rows = html_text.extract(spark.createDataFrame([(i, f"http://n.example/{i}", p, "", "") for i, p in enumerate(pages)], SCHEMA)).collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.page_id)]
+
+
+def sentence(rng, n: int) -> str:
+    return " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+
+
+def test_steps_stay(spark):
+    """Parts of one class that repeat on every page are the article's."""
+    rng = np.random.default_rng(1)
+    pages, texts = [], []
+    for i in range(12):
+        paragraphs, steps = [sentence(rng, 20) for _ in range(6)], [(f"Step {k}", sentence(rng, 12)) for k in range(4 + (i % 3 if i > 5 else 0))]
+        pages.append("<html><body><nav><a>Home</a></nav><main>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "".join(f"<div class=step><h3 class=steptitle>{a}</h3><div class=stepbody>{b}</div></div>" for a, b in steps) + "</main></body></html>")
+        texts.append("\n".join([*paragraphs, *(x for s in steps for x in s)]))
+    assert whole(spark, pages) == texts
+
+
+def test_recurring_parts_of_an_article_stay(spark):
+    rng = np.random.default_rng(2)
+    bodies = [[sentence(rng, 25) for _ in range(3)] for _ in range(12)]
+    pages = ["<html><body><header>Site</header><article><h1>T</h1><div class=summary>This sentence stands above every one of our reports.</div>" + "".join(f"<p>{p}</p>" for p in b) + "<div class=share-bar>Share it</div></article><footer>f</footer></body></html>" for b in bodies]
+    assert whole(spark, pages) == ["\n".join(["T", "This sentence stands above every one of our reports.", *b]) for b in bodies]
+
+
+@pytest.mark.parametrize("names", [("col1", "col2", "col3"), ("col-11", "col-12", "col-13"), ("xa", "xb", "xc")])
+def test_numbered_columns(spark, names):
+    """Columns that differ by a number are different places; entries whose numbers differ from page to page are one."""
+    rng = np.random.default_rng(3)
+    bodies = [[sentence(rng, 25) for _ in range(2 + i % 3)] for i in range(12)]
+    pages = []
+    for i, b in enumerate(bodies):
+        menu = "".join(f"<span><a href=/{x}>topic {x}</a></span> " for x in range(6))
+        entry = f"<div id=post-{i} class=entry>" + "".join(f"<p>{p}</p>" for p in b) + "</div>"
+        pages.append(f"<html><body><div class={names[0]}>{menu}</div><div class={names[1]}>{entry}</div><div class={names[2]}>Made by the house in the year of the house</div></body></html>")
+    assert whole(spark, pages) == ["\n".join(b) for b in bodies]
+
+
+def test_comments_go(spark):
+    """By their names, and without names by their varying number and the short line that each begins with."""
+    rng = np.random.default_rng(4)
+    for comment in ("<section id=comments>{}</section>", "<div class=zz>{}</div>"):
+        bodies = [[sentence(rng, 30) for _ in range(4)] for _ in range(15)]
+        pages = ["<html><body><main>" + "".join(f"<p>{p}</p>" for p in b) + comment.format("".join(f"<div class=qq><i class=rr>user{rng.integers(99)}</i><div class=ss>{sentence(rng, 8)}</div></div>" for _ in range(1 + i % 4))) + "</main></body></html>" for i, b in enumerate(bodies)]
+        assert whole(spark, pages) == ["\n".join(b) for b in bodies]
+
+
 def test_classes_are_those_of_whole_vectors(spark):
     """Equivalence classes by sums of random numbers are those by the occurrences on each page."""
     made = [neutral(i)[0] for i in range(12)] + [SHELL.format(f"<article><p>{'same words ' * (i % 3)}</p></article>") for i in range(6)]
