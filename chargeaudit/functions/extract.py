@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,15 +105,84 @@ def discharges(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", stay.alias("stay_days"), shaped.alias("wards"), procedures.alias("procedures"))
 
 
+def cleaned(term: Column) -> Column:
+    """Lower case, artefacts off, blanks made one."""
+    clean = F.lower(F.trim(term))
+    for p in ARTIFACTS:
+        clean = F.regexp_replace(clean, p, " ")
+    return F.trim(F.regexp_replace(clean, r"\s+", " "))
+
+
+class Expander:
+    """Finds the entries of a dictionary in a text by one automaton; ``entries``: (key, expansions) in order of their turn."""
+
+    def __init__(self, entries: list[tuple[str, list[str]]]) -> None:
+        import ahocorasick
+
+        self.entries = sorted(entries, key=lambda e: -len(e[0]))  # stable: equal lengths keep their order
+        self.exact = {k: i for i, (k, _) in reversed(list(enumerate(self.entries)))}
+        self.automaton = ahocorasick.Automaton()
+        for k, i in self.exact.items():
+            self.automaton.add_word(k, i)
+        if self.exact:
+            self.automaton.make_automaton()
+        self.patterns: dict[int, re.Pattern] = {}
+
+    def pattern(self, i: int) -> re.Pattern:
+        if i not in self.patterns:
+            self.patterns[i] = re.compile(rf"\b{re.escape(self.entries[i][0])}\b", re.ASCII)
+        return self.patterns[i]
+
+    def __call__(self, text: str) -> list[int]:
+        """The entries that a cleaned text stands for: itself, or else what it holds as words, longest first and each part used up once."""
+        if text in self.exact:
+            return [self.exact[text]]
+        out: list[int] = []
+        while self.exact:
+            # what is left is searched again, for parts that are taken out may bring others together
+            turn = {i for _, i in self.automaton.iter(text) if i > (out[-1] if out else -1)}
+            found = next((i for i in sorted(turn) if self.pattern(i).search(text)), None)
+            if found is None:
+                break
+            out.append(found)
+            text = self.pattern(found).sub("", text)
+        return out
+
+
+def expanded_by(terms: DataFrame, dictionary: DataFrame, most: int = 100_000) -> DataFrame:
+    """term, cleaned, expanded, matched and n_expansions of each different term, by a table of entries (abbreviation, expansions, place).
+
+    Of equal abbreviations the first place counts.  The dictionary is counted and sent to the workers; more than ``most``
+    entries are an error.  A null term is left as it is; empty abbreviations and nulls are no entries.
+    """
+    fine = dictionary.filter("abbreviation <> '' AND expansions IS NOT NULL").select(F.lower("abbreviation").alias("abbreviation"), "expansions", "place")
+    rows = fine.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the dictionary has more than {most} entries")
+    entries = [(r.abbreviation, list(r.expansions)) for r in sorted(rows, key=lambda r: (r.place, r.abbreviation, r.expansions))]
+    sent = terms.sparkSession.sparkContext.broadcast(entries)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = Expander(sent.value)
+        for batch in batches:
+            found = [expand(t or "") for t in batch.column("cleaned").to_pylist()]
+            words = [list(dict.fromkeys(w for i in x for w in expand.entries[i][1])) for x in found]
+            whole = [t if t is None else " ".join([t.strip(" "), *w]).strip(" ") for t, w in zip(batch.column("term").to_pylist(), words, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("term"), batch.column("cleaned"), pa.array(whole, pa.string()), pa.array([[expand.entries[i][0] for i in x] for x in found], pa.list_(pa.string())), pa.array([len(w) for w in words], pa.int32())],
+                names=["term", "cleaned", "expanded", "matched", "n_expansions"],
+            )
+
+    asked = terms.select("term").distinct().select("term", F.coalesce(cleaned(F.col("term")), F.lit("")).alias("cleaned"))
+    return asked.mapInArrow(work, "term string, cleaned string, expanded string, matched array<string>, n_expansions int")
+
+
 def expanded(terms: DataFrame, dictionary: dict[str, list[str]] = ABBREVIATIONS) -> DataFrame:
     """term and its expansion: artefacts off, an exact entry, or else all entries that it holds as words, longest first and each text used up once.
 
     Works on distinct terms; the dictionary is a fixed list.
     """
-    clean = F.lower(F.trim("term"))
-    for p in ARTIFACTS:
-        clean = F.regexp_replace(clean, p, " ")
-    clean = F.trim(F.regexp_replace(clean, r"\s+", " "))
+    clean = cleaned(F.col("term"))
     entries = sorted(dictionary.items(), key=lambda e: -len(e[0]))  # stable: equal lengths keep their order
     exact = F.coalesce(*[F.when(clean == k, F.array(*map(F.lit, v))) for k, v in entries])
     listed = F.array(*[F.struct(F.lit(rf"\b\Q{k}\E\b").alias("p"), F.array(*map(F.lit, v)).alias("v")) for k, v in entries])

@@ -18,6 +18,8 @@ from . import matching as M
 # Words of the device with a search of its own, that search, and what its rows must name.
 SPECIAL = {"words": ("stent", "drug-eluting", "drug eluting", "des"), "question": "drug eluting stent coronary stent DES", "must": "stent", "any": ("drug", "eluting", "des")}
 LAB_STEPS = ((0.65, "high"), (0.55, "medium"))
+PHARMACY_STEPS = ((0.8, "high"), (0.65, "medium"))
+SUMMARIES = ("medicine charges", "pharmacy charges", "drug charges", "total medicines", "total drugs", "consumables", "medical supplies")
 
 
 def rupees(label: str, amount: Column) -> Column:
@@ -65,6 +67,28 @@ def device_ceilings(items: DataFrame, prices: DataFrame | None, special: dict =
     return priced(own, "device_overcharge").unionByName(priced(rest, "device_overcharge"))
 
 
+def pharmacy_ceilings(items: DataFrame, prices: DataFrame | None, margin: str = "1.1", steps=PHARMACY_STEPS, totals: tuple[str, ...] = SUMMARIES) -> DataFrame:
+    """Lines above ``margin`` times the ceiling of the most similar entry for their quantity; how similar it is decides the confidence.
+
+    Lines that sum a category up are no single drug: their descriptions are found once each and left out by an anti-join.  Without a
+    quantity a line counts once; entries without a ceiling and lines of no similar entry are left out.
+    """
+    if prices is None:
+        return priced(M.code_or_text(items, None).limit(0), "drug_overcharge")
+    sums = items.select("description").distinct().filter(any_keyword(F.col("description"), totals))
+    single = items.join(sums.hint("merge"), "description", "left_anti")
+    asked = single.select(F.col("description").alias("text"))
+    found = M.text_matches(asked, prices, 1, min(x for x, _ in steps), ("rate",)).select(F.col("text").alias("description"), F.col("name").alias("matched"), F.col("rate").alias("_ceiling"), "similarity")
+    quantity = F.coalesce("quantity", F.lit(1))
+    both = single.join(found.hint("merge"), "description").withColumn("match_rate", F.col("_ceiling") * quantity)
+    level = F.lit(None).cast("string")
+    for least, name in reversed(steps):
+        level = F.when(F.col("similarity") >= least, name).otherwise(level)
+    said = F.concat_ws(" × ", rupees("Ceiling", F.col("_ceiling")), F.format_number(quantity, 2))
+    over = both.filter((F.col("_ceiling") > 0) & (F.col("amount") > F.col("match_rate") * D.num(margin))).withColumn("note", said)
+    return priced(over, "drug_overcharge", level)
+
+
 def lab_rates(items: DataFrame, benchmarks: DataFrame | None, texts: tuple[str, ...], tolerance: str = "1.5", suspicious: int = 5, consumables: tuple[str, ...] = rules.CONSUMABLES, steps=LAB_STEPS) -> DataFrame:
     """Tests above ``tolerance`` times the rate found by the better of their texts, and reviews of those without a rate.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +82,46 @@ def text_vectors(docs: DataFrame, id_column: str, features: int = 1 << 12) -> Da
     return Normalizer(inputCol="idf", outputCol="features").transform(weighted).select("id", "features")
 
 
+#: A model: the vectors of a list of texts, one row each.
+Model = Callable[[list[str]], np.ndarray]
+
+
+def embedded(texts: DataFrame, id_column: str, load: Callable[[], Model], at_once: int = 256) -> DataFrame:
+    """id and vec, the vector of each text by a model that each worker loads once for its task.
+
+    ``load`` is called on the worker and returns the model, which gets at most ``at_once`` texts at a time; a null text is empty.
+    """
+    kind = texts.schema[id_column].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for whole in batches:
+            for start in range(0, whole.num_rows, at_once):
+                batch = whole.slice(start, at_once)
+                vectors = np.asarray(model([t or "" for t in batch.column("text").to_pylist()]), np.float64)
+                flat = pa.array(np.ascontiguousarray(vectors).ravel())
+                offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, flat)], names=["id", "vec"])
+
+    return texts.select(F.col(id_column).alias("id"), "text").mapInArrow(work, f"id {kind}, vec array<double>")
+
+
+def letter_counts() -> Model:
+    """A model without parameters: how often each letter from a to z stands in a text."""
+
+    def model(texts: list[str]) -> np.ndarray:
+        rows = [np.bincount(np.frombuffer(t.encode().lower(), np.uint8), minlength=256)[97:123] for t in texts]
+        return np.stack(rows).astype(np.float64) if rows else np.zeros((0, 26))
+
+    return model
+
+
+def nearest_texts(questions: DataFrame, texts: DataFrame, n: int, load: Callable[[], Model] = letter_counts, metric: str = "cosine", least: float | None = None) -> DataFrame:
+    """query_id, rank, id and similarity of the ``n`` texts (id, text) nearest to each question (query_id, text), by a model's vectors."""
+    asked = embedded(questions, "query_id", load).withColumnRenamed("id", "query_id")
+    return nearest(asked, embedded(texts, "id", load), n, metric, least)
+
+
 def near_join(a: DataFrame, b: DataFrame, distance: float) -> DataFrame:
     """All pairs of vectors (columns id, vec) nearer than ``distance``: id, other, distance.
 
@@ -118,6 +158,68 @@ def near_join(a: DataFrame, b: DataFrame, distance: float) -> DataFrame:
     return left.crossJoin(right).mapInArrow(work, f"id {kind}, other {kind}, distance double")
 
 
+#: What the weights of a document's words add up from: a word weighs this over its number of documents.
+WEIGHT = 1_000_000
+SALTS = 16
+
+
+def found_texts(questions: DataFrame, docs: DataFrame, n: int, words: Callable[[Column], Column], small: int = 100_000) -> DataFrame:
+    """query_id, rank, id and score of the ``n`` documents (id, text) that share the rarest words with each question (query_id, words).
+
+    The questions' words meet the index of documents by word.  They are sent to it if they are few; else the two are shuffled by
+    word.  A document meets a question once for each shared word, and these are summed where the document is read.
+    """
+    asked = questions.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
+    few = asked.limit(small + 1).count() <= small
+    hint = "broadcast" if few else "merge"
+    postings = docs.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    wanted = asked.select("word").distinct()
+    held = postings.join(wanted.hint(hint), "word", "left_semi")
+    weights = held.groupBy("word").agg(F.expr(f"{WEIGHT} div count(*)").alias("weight"))
+    told = asked.join(weights.hint(hint), "word")
+    scored = held.join(told.hint(hint), "word").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
+    order = [F.desc("score"), F.asc("id")]
+    salted = scored.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    first = salted.withColumn("_turn", F.row_number().over(Window.partitionBy("query_id", "_salt").orderBy(*order))).filter(F.col("_turn") <= n)
+    return first.select("query_id", "id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank")).filter(F.col("rank") <= n)
+
+
+def retrieval_quality(questions: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id, recall, the mean recall of all questions and its verdict: the share of ``keywords`` that the found texts (query_id, id) hold together.
+
+    Questions without keywords are left out; a question for which nothing was found has recall 0.
+    """
+    asked = questions.select("query_id", F.array_distinct("keywords").alias("keywords")).filter(F.size("keywords") > 0)
+    pairs = found.select("query_id", "id").join(asked.hint("merge"), "query_id").join(docs.select("id", F.lower("text").alias("low")).hint("merge"), "id")
+    held = pairs.select("query_id", F.explode(F.filter("keywords", lambda k: F.contains(F.col("low"), k))).alias("keyword")).groupBy("query_id").agg(F.count_distinct("keyword").alias("n"))
+    own = asked.join(held.hint("merge"), "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) / F.size("keywords")).alias("recall"))
+    mean = own.agg(F.round(F.avg("recall"), 6).alias("mean_recall"))  # one row
+    return own.crossJoin(F.broadcast(mean)).withColumn("verdict", verdict(F.col("mean_recall")))
+
+
+def contradictions(reasons: DataFrame, policies: DataFrame, rules: DataFrame, policy_words: tuple[str, ...], rule_words: tuple[str, ...], rule_question: str = "", least: float = 0.0) -> DataFrame:
+    """Reasons (reason_id, text, amount) whose nearest policy clause and nearest rule (each id, text) contradict each other.
+
+    Two searches, each for every reason by itself: the clause must speak one of ``policy_words``, the rule one of
+    ``rule_words``.  ``rule_question`` is put before a reason when rules are searched.  Empty reasons and those without an amount are left out.
+    """
+    from ..functions.predicates import any_keyword
+    from .matching import text_matches
+
+    asked = reasons.filter((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.col("amount") != 0))
+
+    def best(texts: DataFrame, question: Column, words: tuple[str, ...], name: str) -> DataFrame:
+        own = asked.select("text", question.alias("_question"))
+        names = texts.select(F.col("text").alias("name"), "id")
+        # the first by similarity decides, whatever it says
+        top = text_matches(own.select(F.col("_question").alias("text")), names, 1, least, ("id",)).filter(any_keyword(F.col("name"), words))
+        return own.distinct().join(top.select(F.col("text").alias("_question"), F.col("id").alias(name)).hint("merge"), "_question").select("text", name)
+
+    one = best(policies, F.col("text"), policy_words, "policy_id")
+    two = best(rules, F.concat(F.lit(rule_question), F.col("text")), rule_words, "rule_id")
+    return asked.join(one.hint("merge"), "text").join(two.hint("merge"), "text").select("reason_id", "policy_id", "rule_id", F.col("amount").cast("double").alias("amount"))
+
+
 def keyword_recall(answers: DataFrame) -> DataFrame:
     """answers: query_id, text of what was found, keywords.  The share of keywords that the text holds."""
     low = F.lower("text")
