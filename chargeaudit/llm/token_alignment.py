@@ -28,7 +28,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,8 @@ CHUNK = 100_000
 #: Bytes of text of a batch.
 AT_ONCE = 1 << 19
 #: Windows and links in a worker's table; what a batch adds comes on top.
-KEPT = 200_000
-KEPT_LINKS = 1_000_000
+KEPT = 400_000
+KEPT_LINKS = 3_000_000
 #: Bits of ids of A and B in a pair; a batch numbers its documents above them.
 A_BITS, B_BITS = 20, 20
 LOW = (1 << B_BITS) - 1
@@ -96,6 +96,7 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_names, self.b_names = (list(map(str, range(len(x)))) for x in (self.a_bytes, self.b_bytes))
         self.a_space, self.b_space = (np.array([t.startswith(b" ") for t in x]) for x in (self.a_bytes, self.b_bytes))
 
     def encode_a(self, text: str) -> list[int]:
@@ -103,60 +104,76 @@ class Tokenizers:
             return self.plain.encode_ordinary(text)
         return self.a.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids by A of a text behind a space, and by B."""
-        cut = parts(text)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids by A of each text behind a space, and by B."""
+        cut = [parts(t) for t in texts]
         # A gets the parts as they are, for the first follows a space and the others begin with it; B adds that space itself
-        a = [self.encode_a(x if i else f" {x}") for i, x in enumerate(cut)]
-        b = self.b.encode([x[1:] if i else x for i, x in enumerate(cut)], num_threads=1)
-        return (a[0], b[0]) if len(cut) == 1 else (list(chain.from_iterable(a)), list(chain.from_iterable(b)))
+        a = iter([self.encode_a(x if i else f" {x}") for ps in cut for i, x in enumerate(ps)])
+        b = iter(self.b.encode([x[1:] if i else x for ps in cut for i, x in enumerate(ps)], num_threads=1))
+        whole = lambda ids, n: next(ids) if n == 1 else list(chain.from_iterable(islice(ids, n)))
+        return [whole(a, len(ps)) for ps in cut], [whole(b, len(ps)) for ps in cut]
 
     def same(self, text: bytes, a: list[int], b: list[int]) -> bool:
         whole = b" " + text
         return b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
 
 
-def window(a: tuple[int, ...], b: tuple[int, ...], a_size: list[int], b_size: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
-    """Of one window: its groups as text, how many, and the pairs of linked ids."""
-    groups, links = [], []
-    i = j = from_i = from_j = 0
-    x, y = a_size[a[0]], b_size[b[0]]
-    while True:
-        links.append((a[i], b[j]))
-        if x == y:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-            if i == len(a):
-                return ";".join(groups), len(groups), links
-            from_i, from_j = i, j
-            x, y = x + a_size[a[i]], y + b_size[b[j]]
-        elif x < y:
-            i += 1
-            x += a_size[a[i]]
-        else:
-            j += 1
-            y += b_size[b[j]]
+def grown(values: np.ndarray, more: np.ndarray, used: int) -> np.ndarray:
+    """An array with room for ``more`` behind the first ``used`` values, and these put there."""
+    if used + len(more) > len(values):
+        values = np.concatenate([values[:used], np.zeros(used + 2 * len(more), values.dtype)])
+    values[used : used + len(more)] = more
+    return values
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Windows(dict):
-    """Numbers windows by their pair of id tuples, and keeps what each is aligned to."""
+    """Windows met so far, by their tuples of ids (four bytes each): a number, under which is kept what each is aligned to."""
 
     def __init__(self, by: Tokenizers) -> None:
         super().__init__()
-        self.a_size, self.b_size = by.a_size.tolist(), by.b_size.tolist()
+        self.by = by
         self.texts: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[int] = []
-        self.starts: list[int] = [0]
-
-    def __missing__(self, key: tuple) -> int:
-        text, n, links = window(*key, self.a_size, self.b_size)
-        self.texts.append(text)
-        self.groups.append(n)
-        self.links += [a << B_BITS | b for a, b in links]
-        self.starts.append(len(self.links))
-        self[key] = code = len(self.texts) - 1
-        return code
+        self.groups, self.starts, self.links = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.used = 0
+
+    def of(self, keys: list[tuple[bytes, bytes]]) -> list[int]:
+        """The windows' numbers; new ones are aligned first."""
+        codes = list(map(self.get, keys))
+        if None in codes:
+            new = list(dict.fromkeys(k for k, c in zip(keys, codes, strict=True) if c is None))
+            known = len(self)
+            self.align(new)
+            self.update(zip(new, range(known, known + len(new)), strict=True))
+            codes = list(map(self.__getitem__, keys))
+        return codes
+
+    def align(self, keys: list[tuple[bytes, bytes]]) -> None:
+        """Groups and links of windows, which stand behind each other: their bytes are the same on both sides."""
+        by, known = self.by, len(self.texts)
+        sides = [np.frombuffer(b"".join([k[side] for k in keys]), np.uint32).astype(np.int64) for side in (0, 1)]
+        (a, b), (a_end, b_end) = sides, (np.cumsum(size[x]) for size, x in zip((by.a_size, by.b_size), sides, strict=True))
+        last_a = np.cumsum([len(k[0]) // 4 for k in keys])
+        end = a_end[last_a - 1]
+        # two tokens overlap in one stretch of bytes, up to the next end of either
+        ends = np.union1d(a_end, b_end)
+        links = a[np.searchsorted(a_end, ends)] << B_BITS | b[np.searchsorted(b_end, ends)]
+        link_last = np.searchsorted(ends, end) + 1
+        shared, i, j = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
+        i, j = (i + 1).tolist(), (j + 1).tolist()
+        one, two = list(map(by.a_names.__getitem__, a.tolist())), list(map(by.b_names.__getitem__, b.tolist()))
+        texts = [",".join(one[p:q]) + "|" + ",".join(two[r:s]) for p, q, r, s in zip([0, *i[:-1]], i, [0, *j[:-1]], j, strict=True)]
+        group_last = np.searchsorted(shared, end) + 1
+        cuts = group_last.tolist()
+        self.texts += [texts[p] if q - p == 1 else ";".join(texts[p:q]) for p, q in zip([0, *cuts[:-1]], cuts, strict=True)]
+        self.groups = grown(self.groups, np.diff(group_last, prepend=0), known)
+        self.links = grown(self.links, links, self.used)
+        self.starts = grown(self.starts, np.concatenate([[self.used], self.used + link_last]), known)
+        self.used += len(links)
 
 
 class Aligner:
@@ -169,51 +186,41 @@ class Aligner:
 
     def __call__(self, texts: list[bytes | None]) -> list[tuple]:
         """Rows of ALIGNED, without doc_id."""
-        if len(self.known.texts) > KEPT or len(self.known.links) > KEPT_LINKS:
+        if len(self.known) > KEPT or self.known.used > KEPT_LINKS:
             self.known = Windows(self.by)
         by, known = self.by, self.known
         rows: list[tuple] = [(0, 0, 0, 0, "", (), ())] * len(texts)
-        full, one, two = [], [], []
-        for i, text in enumerate(texts):
-            if text:
-                a, b = by.encode(text.decode())
-                if by.same(text, a, b):
-                    full.append(i)
-                    one.append(a)
-                    two.append(b)
+        held = [i for i, text in enumerate(texts) if text]
+        both = zip(held, *by.encode([texts[i].decode() for i in held]), strict=True)
+        full = [(i, a, b) for i, a, b in both if by.same(texts[i], a, b)]
         if not full:
             return rows
-        a, b = tuple(chain.from_iterable(one)), tuple(chain.from_iterable(two))
-        x, y = np.array(a, np.int64), np.array(b, np.int64)
+        a_last, b_last = np.cumsum([len(a) for _, a, _ in full]), np.cumsum([len(b) for _, _, b in full])
+        x = np.fromiter(chain.from_iterable(a for _, a, _ in full), np.uint32, int(a_last[-1]))
+        y = np.fromiter(chain.from_iterable(b for _, _, b in full), np.uint32, int(b_last[-1]))
         # texts stand behind each other, and each has the same bytes on both sides, so ends can be compared all at once
         _, i, j = np.intersect1d(np.cumsum(by.a_size[x]), np.cumsum(by.b_size[y]), assume_unique=True, return_indices=True)
         i, j = i + 1, j + 1
-        a_last, b_last = (np.cumsum(list(map(len, e))) for e in (one, two))
-        next_a, next_b = np.minimum(i, len(x) - 1), np.minimum(j, len(y) - 1)
         stop = np.searchsorted(i, a_last)  # every text ends where both end
-        anchor = by.a_space[x[next_a]] & by.b_space[y[next_b]]
+        anchor = by.a_space[x[np.minimum(i, len(x) - 1)]] & by.b_space[y[np.minimum(j, len(y) - 1)]]
         anchor[stop] = True
         at = np.flatnonzero(anchor)
-        ends_a, ends_b = i[at].tolist(), j[at].tolist()
-        spans = lambda ids, ends: map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends))
-        codes = list(map(known.__getitem__, zip(spans(a, ends_a), spans(b, ends_b), strict=True)))
+        spans = lambda ids, ends: map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends))
+        codes = known.of(list(zip(spans(x, (4 * i[at]).tolist()), spans(y, (4 * j[at]).tolist()), strict=True)))
         number = np.array(codes, np.int64)
         last = np.searchsorted(at, stop) + 1
         first = np.concatenate([[0], last[:-1]])
-        groups = np.add.reduceat(np.array(known.groups, np.int64)[number], first)
-        starts = np.array(known.starts, np.int64)
-        begin, size = starts[number], starts[number + 1] - starts[number]
-        total = np.cumsum(size)
-        links = np.array(known.links, np.int64)[np.repeat(begin - (total - size), size) + np.arange(total[-1])]
+        groups = np.add.reduceat(known.groups[number], first)
+        size = known.starts[number + 1] - known.starts[number]
         doc = np.repeat(np.repeat(np.arange(len(full)), last - first), size)
-        key = np.sort(doc << A_BITS + B_BITS | links)
+        key = np.sort(doc << A_BITS + B_BITS | gathered(known.links, known.starts[number], size))
         new = np.flatnonzero(np.diff(key, prepend=-1))
         pairs, counts = key[new] & ((1 << A_BITS + B_BITS) - 1), np.diff(new, append=len(key))
         cut = np.searchsorted(key[new] >> A_BITS + B_BITS, np.arange(len(full) + 1))
-        for k, (row, p, q) in enumerate(zip(full, first.tolist(), last.tolist(), strict=True)):
+        for k, ((row, a, b), p, q) in enumerate(zip(full, first.tolist(), last.tolist(), strict=True)):
             digest = hashlib.sha256(";".join(map(known.texts.__getitem__, codes[p:q])).encode()).hexdigest()
             own = slice(cut[k], cut[k + 1])
-            rows[row] = len(one[k]), len(two[k]), int(groups[k]), int(counts[own].sum()), digest, pairs[own], counts[own]
+            rows[row] = len(a), len(b), int(groups[k]), int(counts[own].sum()), digest, pairs[own], counts[own]
         return rows
 
 
