@@ -9,7 +9,9 @@ first few by name can be among the best, and texts with the same frequent words
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -161,3 +163,10 @@ def kept_and_dropped(rows: DataFrame, keep: Column) -> tuple[DataFrame, DataFram
     """The rows to keep, and one row with the numbers kept and dropped; unknown is dropped."""
     ok = F.coalesce(keep, F.lit(False))
     return rows.filter(ok), rows.agg(F.count_if(ok).alias("n_kept"), F.count_if(~ok).alias("n_dropped"))
+
+
+def kept_while_stored(rows: DataFrame, keep: Column, store: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, int]]:
+    """The rows to keep as ``store`` wrote them, and the numbers kept and dropped, counted while they were written: one pass over the rows."""
+    ok, seen = F.coalesce(keep, F.lit(False)), Observation()
+    kept = store(rows.observe(seen, F.count_if(ok).alias("n_kept"), F.count_if(~ok).alias("n_dropped")).filter(ok))
+    return kept, {k: seen.get[k] for k in ("n_kept", "n_dropped")}

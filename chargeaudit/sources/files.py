@@ -20,6 +20,34 @@ def parsed_bills(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return raw.drop("line_items"), raw.select("bill_id", F.posexplode_outer("line_items").alias("pos", "x")).filter("x IS NOT NULL").select("bill_id", "pos", "x.*")
 
 
+METADATA = {"source": "string", "reference": "string", "date": "string", "page": "int", "section": "string", "timelines": "array<string>", "key_terms": "array<string>", "chunk_chars": "int"}
+CHUNKS = "document_info struct<source:string,reference:string,date:string,total_pages:int>, chunking_strategy string, total_chunks int, chunks array<struct<chunk_id:string,text:string,metadata:struct<{}>>>".format(
+    ",".join(f"{k}:{t}" for k, t in METADATA.items())
+)
+STRATEGY = "lines and clauses, packed up to a length"
+
+
+def write_chunks(chunks: DataFrame, path: str, strategy: str = STRATEGY) -> None:
+    """One JSON document for each source of ``chunks`` (chunk_id, text, source, reference, date, total_pages, page, section, timelines, key_terms), a line each."""
+    meta = F.struct("source", "reference", "date", F.col("page").cast("int").alias("page"), "section", "timelines", "key_terms", F.length("text").alias("chunk_chars"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("page", "chunk_id", "text", meta.alias("metadata")))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["text"].alias("text"), x["metadata"].alias("metadata")))
+    per = chunks.groupBy("source", "reference", "date").agg(F.max("total_pages").cast("int").alias("total_pages"), F.count("*").cast("int").alias("total_chunks"), listed.alias("chunks"))
+    per.select(F.struct("source", "reference", "date", "total_pages").alias("document_info"), F.lit(strategy).alias("chunking_strategy"), "total_chunks", "chunks").write.json(path)
+
+
+def read_chunks(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """chunk_id, text and metadata as one string each, empty and missing ones left out; ``whole``: documents over several lines.
+
+    Documents that cannot be read have no chunks.
+    """
+    each = spark.read.schema(CHUNKS).option("multiLine", whole).json(path).select(F.explode("chunks").alias("c")).select("c.chunk_id", "c.text", "c.metadata")
+    told = []
+    for name, kind in METADATA.items():
+        value = F.col("metadata")[name]
+        told.append(F.struct(F.lit(name).alias("key"), (F.nullif(F.array_join(value, ", "), F.lit("")) if kind.startswith("array") else value.cast("string")).alias("value")))
+    return each.select("chunk_id", "text", F.map_from_entries(F.filter(F.array(*told), lambda x: x["value"].isNotNull())).alias("metadata"))
+
+
 def page_texts(pages: DataFrame, key: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
     """Per document the texts of its pages that are not blank, in order, and their number and size."""
     kept = pages.filter(F.trim(text) != "")
