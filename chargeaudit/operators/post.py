@@ -146,9 +146,15 @@ def rupees(amount: Column, places: int = 2) -> Column:
     return F.concat(F.lit("₹"), F.format_number(amount, places))
 
 
-def section(issues: DataFrame, name: str, limit: int = 10) -> DataFrame:
-    """Per bill the numbered lines of its issues in order, the first ``limit`` of them and how many more."""
+def section(issues: DataFrame, name: str, limit: int = 10, evidence: int = 0) -> DataFrame:
+    """Per bill the numbered lines of its issues in order, the first ``limit`` of them and how many more.
+
+    Under each stand the first ``evidence`` lines of its evidence, if the issues carry any; blank ones are passed over.
+    """
     line = F.concat(F.col("description"), F.lit(": billed "), rupees(money("billed")), F.coalesce(F.concat(F.lit(", reference "), rupees(money("benchmark"))), F.lit("")))
+    if evidence and "evidence" in issues.columns:
+        said = F.slice(F.filter(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: F.trim(e) != ""), 1, evidence)
+        line = F.concat(line, F.array_join(F.transform(said, lambda e: F.concat(F.lit("\n   - "), e)), ""))
     per = issues.groupBy("bill_id").agg(F.array_sort(F.collect_list(F.struct("stage", "pos", line.alias("line")))).alias("x"), F.sum(money("overcharge")).alias("_over"), F.sum(money("billed")).alias("_billed"))
     lines = F.transform(F.slice("x", 1, limit), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["line"]))
     more = F.when(F.size("x") > limit, F.array(F.concat(F.lit("and "), F.size("x") - limit, F.lit(" more")))).otherwise(F.array().cast("array<string>"))
@@ -196,9 +202,9 @@ def clarification_letter(analysed: DataFrame, issues: DataFrame) -> DataFrame:
     return j.select("bill_id", F.concat(head, body, F.lit("\n\nPlease answer in writing within 14 days.")).alias("content"))
 
 
-def insurer_letter(analysed: DataFrame, issues: DataFrame) -> DataFrame:
-    """bill_id and content: the claim's amounts and its disputed decisions, for bills with a rejected amount or a claim issue."""
-    claim = section(issues.filter(F.col("issue_type").isin(*rules.CLAIM_TYPES)), "a", 50)
+def insurer_letter(analysed: DataFrame, issues: DataFrame, evidence: int = 2) -> DataFrame:
+    """bill_id and content: the claim's amounts and its disputed decisions with their first evidence, for bills with a rejected amount or a claim issue."""
+    claim = section(issues.filter(F.col("issue_type").isin(*rules.CLAIM_TYPES)), "a", 50, evidence)
     j = analysed.join(claim, "bill_id", "left").filter(F.col("a").isNotNull() | (F.col("total_rejected") > 0))
     line = lambda name, c: F.concat(F.lit(f"\n{name}: "), rupees(F.coalesce(F.col(c), F.lit(0.0)).cast(MONEY), 0))
     head = F.concat(F.lit("Grievance about the claim for bill "), F.col("bill_id").cast("string"), line("Claimed", "total_bill"), line("Approved", "total_approved"), line("Rejected", "total_rejected"))
@@ -217,6 +223,34 @@ def patient_summary(analysed: DataFrame, issues: DataFrame, limit: int = 10) ->
     return j.select("bill_id", F.concat(head, *parts, F.lit("\n\nKeep the bill, the receipts and proof of every letter.")).alias("content"))
 
 
+# Issues that stand for a whole package, and those of lines without a benchmark.
+PACKAGES = ("surgical_package", "room_stay_package")
+UNPRICED = "missing_itemization"
+
+
+def result_text(bills: DataFrame, issues: DataFrame, late_after: int = 15) -> DataFrame:
+    """bill_id, summary and recommendations of each of ``bills`` (bill_id, days from discharge to rejection), from one aggregate over its issues.
+
+    Nulls among the issues' amounts count as nothing; a bill without issues is told so.
+    """
+    high, package, open_ = F.col("confidence") == "high", F.col("issue_type").isin(*PACKAGES), (F.col("confidence") == "low") & (F.col("issue_type") == UNPRICED)
+    per = issues.groupBy(F.col("bill_id").alias("_bill")).agg(F.count_if(high).alias("_high"), F.sum(F.when(high, money("overcharge"))).alias("_over"), F.count_if(package).alias("_packages"), F.count_if(open_).alias("_open"))
+    j = bills.join(per.hint("merge"), F.col("bill_id") == F.col("_bill"), "left")
+    some = lambda c: F.coalesce(c, F.lit(0)) > 0
+    over = F.concat(F.col("_high"), F.lit(" confirmed overcharge(s) totalling "), rupees(F.coalesce("_over", F.lit(0).cast(MONEY)), 0))
+    found = F.array_compact(F.array(F.when(some("_high"), over), F.when(some("_packages"), F.concat("_packages", F.lit(" package(s) whose procedure is to be verified"))), F.when(some("_open"), F.concat("_open", F.lit(" item(s) to be clarified")))))
+    summary = F.when(F.size(found) > 0, F.concat(F.lit("Found: "), F.array_join(found, "; "), F.lit("."))).otherwise(F.lit("No issues found; the bill agrees with the benchmarks at hand."))
+    advice = F.array_compact(
+        F.array(
+            F.when(some("_packages"), F.lit("Before paying, ask for the exact procedure and its package rate.")),
+            F.when(some("_high"), F.concat(F.lit("Challenge "), over, F.lit(" with the reference prices."))),
+            F.when(some("_open"), F.lit("Ask for an itemised breakdown of charges without a benchmark.")),
+            F.when(F.col("days") > late_after, F.lit("Escalate the delayed settlement to the regulator.")),
+        )
+    )
+    return j.select("bill_id", summary.alias("summary"), F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit("Nothing needs to be done now."))).alias("recommendations"))
+
+
 def letter_run(scenarios: DataFrame, issues: DataFrame) -> DataFrame:
     """All letters that scenarios call for, written and checked: bill_id, letter_type, content, reason (null if it may be sent)."""
     wanted = letters_for(scenarios)
