@@ -6,7 +6,7 @@
    as many bits as two ids have.  A Feistel network over the halves permutes these numbers: it can be undone, so it loses nothing,
    and what it gives is spread evenly.  A counting quotient filter keeps the permuted numbers in order: the first bits,
    the quotient, only as the length of the run that each of them has, the rest in full, and a counter of one byte that overflows into a list.
-   A task's filter is cut by the first bits into shards and written when it holds HELD numbers.
+   A task's filter is cut by the first bits into shards and sent to them when it holds HELD numbers.
 3. Filters of one shard are merged in order and counters are added; numbers that reach ``least`` are permuted back into ids.
    There are so many shards that what a shard can hold is bounded, whatever the size of the corpus or of a language.
 4. Candidates get their words back by a join, and their parts' counts by joins on the candidates themselves: a part of a candidate is at
@@ -293,7 +293,7 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int, most_words: int
         ids = spark.sparkContext.broadcast(by_lang)
     else:
         docs = with_own_ids(docs, words)
-    found = written(merged(written(filters(docs, ids, bits, shard_bits), "filters", "lz4"), least, bits, shard_bits).withColumn("_g", F.monotonically_increasing_id()), "phrases")
+    found = written(merged(filters(docs, ids, bits, shard_bits), least, bits, shard_bits).withColumn("_g", F.monotonically_increasing_id()), "phrases")
     each = found.select("_g", "a", F.posexplode(F.filter("ids", lambda x: x != 0)).alias("_p", "_id"))
     named = join_small(each, words, each["_id"] == words["id"])
     parts = named.groupBy("_g", "a").agg(F.max("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("_p", "word", "n"))).alias("x"))
