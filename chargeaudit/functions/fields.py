@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .extract import DATE, field
+from .extract import BILL_FIELDS, DATE, field
 
 # One pattern for each field; the first group is the value.
 CLAIM_FIELDS = {
@@ -89,8 +89,17 @@ def hospital(text: Column, found: Column, lines: int = 10) -> Column:
     return F.coalesce(found, one_line(F.get(hit, 0)))
 
 
+def headers(pages: DataFrame) -> DataFrame:
+    """doc_id, hospital_name (by its pattern, or else the first line that speaks of one), ward_type, consultant and insurance; of two the first counts."""
+    t = F.coalesce("text", F.lit(""))
+    return pages.select("doc_id", hospital(t, field(t, BILL_FIELDS["hospital_name"])).alias("hospital_name"), *fields(t, BILL_EXTRAS))
+
+
 def primary(text: Column) -> tuple[Column, Column]:
-    """The primary diagnosis and its code."""
+    """The primary diagnosis and its code.
+
+    A primary diagnosis without a code takes the first code of the section, even one that stands with a secondary diagnosis.
+    """
     part = field(text, SECTIONS["diagnosis"])
     name = F.rtrim(one_line(F.regexp_replace(field(part, PRIMARY), r"(?i)\s*ICD-?10.*$", "")), F.lit("."))
     return name, F.when(name.isNotNull(), field(part, PRIMARY_CODE))

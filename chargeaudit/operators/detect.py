@@ -192,10 +192,14 @@ def amount_bands(spark: SparkSession, bands=rules.AMOUNT_BANDS) -> DataFrame:
     return spark.createDataFrame(list(bands), "department string, band int, min_amount int, max_amount int, procedure string, band_rate int")
 
 
-def band_matches(items: DataFrame, bands: DataFrame | None = None, factor: str = "1.5") -> DataFrame:
-    """Lines whose department has a band that holds the amount (up to ``factor`` times its top) and whose rate it exceeds ``factor`` times: the first such band."""
+def band_matches(items: DataFrame, bands: DataFrame | None = None, factor: str = "1.5", small: int = 10_000) -> DataFrame:
+    """Lines whose department has a band that holds the amount (up to ``factor`` times its top) and whose rate it exceeds ``factor`` times: the first such band.
+
+    Bands of more than ``small`` rows are joined by a shuffle.
+    """
     bands = amount_bands(items.sparkSession) if bands is None else bands
-    joined = items.join(F.broadcast(bands), "department")  # a rule list of fixed length
+    hint = "broadcast" if bands.limit(small + 1).count() <= small else "merge"
+    joined = items.join(bands.hint(hint), "department")
     hit = joined.filter((F.col("amount") >= F.col("min_amount")) & (F.col("amount") <= F.col("max_amount") * num(factor)) & (F.col("amount") > F.col("band_rate") * num(factor)))
     return keep_first(hit, ["bill_id", "pos"], ["band"])
 
