@@ -443,9 +443,10 @@ def words(pages: DataFrame) -> DataFrame:
 
 def with_numbered(pages: DataFrame, totals: DataFrame) -> DataFrame:
     """``pages`` with the class and id words with numbers that stand on at least half of their host's pages, as ``_numbered``."""
-    values = F.regexp_extract_all("html", F.lit(r"""(?i)\b(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    # a value ends at ">" or "=" at the latest, so that no place of a page is read again and again
+    values = F.regexp_extract_all("html", F.lit(r"""(?i)\b(?:class|id)\s*+=\s*+("[^"=>]*+"|'[^'=>]*+'|[^\s"'=>]++)"""), F.lit(1))
     found = F.regexp_extract_all(F.lower(F.array_join(values, " ")), F.lit(r"[a-z]+[-_]?[0-9]+"), F.lit(0))
-    asked = pages.filter(F.col("html").rlike(r"""(?i)\b(?:class|id)\s*=\s*["']?[^"'>]*[0-9]"""))
+    asked = pages.filter(F.col("html").rlike(r"""(?i)\b(?:class|id)\s*+=\s*+["']?[^"'=>]*[0-9]"""))
     each = asked.select(host_column(F.col("url")).alias("_h"), F.explode(F.array_distinct(found)).alias("_w")).groupBy("_h", "_w").agg(F.count("*").alias("_n"))
     often = join_small(each, totals, each["_h"] == totals["_host"]).filter(2 * F.col("_n") >= F.col("of"))
     listed = cut(often.groupBy(F.col("_h").alias("_numbered_host")).agg(F.sort_array(F.collect_set("_w")).alias("_numbered")))  # a page's words, at most twice
