@@ -146,6 +146,43 @@ def procedure_keywords(procedures: DataFrame, stop_words=rules.PROCEDURE_STOP_WO
     return procedures.groupBy("bill_id").agg(F.count("*").alias("n_procedures"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(fine)))).alias("keywords"))
 
 
+#: Fields without which a bill is told to be incomplete.
+REQUIRED = ("hospital_name", "bill_number", "patient_name")
+
+
+def output_warnings(bills: DataFrame, items: DataFrame, required: tuple[str, ...] = REQUIRED, large: str = "100000", drift: str = "5", same: int = 3) -> DataFrame:
+    """bill_id, is_valid and warnings of every bill: those of its lines in their order, then of its total, its missing fields and equal amounts.
+
+    A bill without lines is not valid and has that one warning.  A line without an amount counts as 0; blank fields are missing.
+    """
+    amount, low = F.coalesce("amount", F.lit(0).cast("decimal(12,2)")), F.lower(F.coalesce("description", F.lit("")))
+    line = items.select("bill_id", "pos", amount.alias("_a"), (F.contains(low, F.lit("return"))).alias("_r"))
+    per = line.groupBy("bill_id").agg(F.array_sort(F.collect_list(F.struct("pos", "_a", "_r"))).alias("_x"), F.sum("_a").alias("_sum"), ((F.count_distinct("_a") == 1) & (F.count("*") > same)).alias("_same"))
+    number = lambda i: (i + 1).cast("string")
+    high = lambda x, i: F.when(x["_a"] > num(large), F.concat(F.lit("Line "), number(i), F.lit(" has an unusually high amount: ₹"), F.format_number(x["_a"], 2)))
+    below = lambda x, i: F.when((x["_a"] < 0) & ~x["_r"], F.concat(F.lit("Line "), number(i), F.lit(" is negative and no return")))
+    lines = F.flatten(F.transform("_x", lambda x, i: F.array(high(x, i), below(x, i))))
+    total, whole = F.coalesce(F.col("bill_total").cast("double"), F.lit(0.0)), F.col("_sum").cast("double")
+    away = F.abs(total - whole) / total * 100
+    gap = F.when((total > 0) & (whole > 0) & (away > float(drift)), F.concat(F.lit("The bill says ₹"), F.format_number(total, 2), F.lit(", its lines ₹"), F.format_number(whole, 2)))
+    absent = F.array_compact(F.array(*[F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(c)) for c in required]))
+    missing = F.when(F.size(absent) > 0, F.concat(F.lit("Missing fields: "), F.array_join(absent, ", ")))
+    equal = F.when(F.col("_same"), F.lit("All lines have the same amount"))
+    told = F.array_compact(F.concat(lines, F.array(gap, missing, equal)))
+    joined = bills.join(per, "bill_id", "left")
+    none = F.col("_x").isNull()
+    return joined.select("bill_id", (~none).alias("is_valid"), F.when(none, F.array(F.lit("No lines were read"))).otherwise(told).alias("warnings"))
+
+
+def numeric_lines(items: DataFrame, raw: str = "amount", kind: str = "decimal(18,2)") -> tuple[DataFrame, DataFrame]:
+    """Lines whose raw amount is a number above 0, as ``kind``, and those without one, with ``reason``; 0 and less is in neither."""
+    value = F.col(raw).try_cast("double")
+    fine = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    marked = items.withColumn("_fine", F.coalesce(fine, F.lit(False)))
+    good = marked.filter("_fine").withColumn(raw, F.col(raw).try_cast("double").try_cast(kind)).filter(F.col(raw) > 0)
+    return good.drop("_fine"), marked.filter("NOT _fine").drop("_fine").withColumn("reason", F.lit("missing_or_invalid_amount"))
+
+
 def procedure_charges(items: DataFrame, procedures: DataFrame, words=rules.PROCEDURE_WORDS, **how) -> DataFrame:
     """Positive lines that hold a procedure word or a keyword of the bill's own documented procedures."""
     per = procedure_keywords(procedures, **how)

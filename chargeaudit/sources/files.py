@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,19 @@ def parsed_bills(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return raw.drop("line_items"), raw.select("bill_id", F.posexplode_outer("line_items").alias("pos", "x")).filter("x IS NOT NULL").select("bill_id", "pos", "x.*")
 
 
+RESULTS = "query string, answer string, results array<struct<url:string,title:string,content:string,score:double>>"
+
+
+def search_results(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """query, rank, url, title, content and score of saved searches, best first in each; equal scores by url.  ``whole``: documents over several lines.
+
+    Broken documents and those without results give no row; results without a score come last.
+    """
+    raw = spark.read.schema(RESULTS).option("multiLine", whole).json(path)
+    each = raw.select("query", F.explode("results").alias("r")).select("query", "r.*").filter("url IS NOT NULL")
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last("score"), "url")))
+
+
 METADATA = {"source": "string", "reference": "string", "date": "string", "page": "int", "section": "string", "timelines": "array<string>", "key_terms": "array<string>", "chunk_chars": "int"}
 CHUNKS = "document_info struct<source:string,reference:string,date:string,total_pages:int>, chunking_strategy string, total_chunks int, chunks array<struct<chunk_id:string,text:string,metadata:struct<{}>>>".format(
     ",".join(f"{k}:{t}" for k, t in METADATA.items())
