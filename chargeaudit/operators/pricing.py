@@ -115,3 +115,18 @@ def unpriced_results(bills: DataFrame, items: DataFrame) -> DataFrame:
     total = F.coalesce(F.nullif("bill_total", F.lit(0)), F.col("_sum"), F.lit(0)).cast("double")
     out = bills.join(per, "bill_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
     return out.select("bill_id", total.alias("total_bill"), total.alias("unverified"), F.lit(0.0).alias("verified"), F.lit(0.0).alias("recoverable"), F.concat(F.col("n_items"), F.lit(" lines were read, without benchmarks")).alias("summary"))
+
+
+def single_threshold(items: DataFrame, kinds: dict[str, tuple[str, ...]], reference: Column, times: str = "1.5") -> DataFrame:
+    """The older ruleset: lines above ``times`` their reference, whatever their kind; the first kind of which a description holds a word counts, others are left out."""
+    kind = F.coalesce(*[F.when(any_keyword(F.col("description"), words), F.lit(name)) for name, words in kinds.items()])
+    hit = items.withColumn("kind", kind).filter(F.col("kind").isNotNull() & (F.col("amount") > reference * D.num(times)))
+    return hit.select("bill_id", "pos", "kind", F.col("amount").cast("double").alias("billed"), reference.cast("double").alias("benchmark"))
+
+
+def fallback_rates(items: DataFrame, own: DataFrame, key: str, common: Column, tolerance: str = "1.05") -> DataFrame:
+    """Lines above ``tolerance`` times the rate of their ``key`` in ``own`` (key, device_rate), or else a common rate, and which of the two it is."""
+    joined = items.join(own.hint("merge"), key, "left")
+    rate = F.coalesce("device_rate", common)
+    source = F.when(F.col("device_rate").isNull(), "common").otherwise("own")
+    return joined.filter(F.col("amount") > rate * D.num(tolerance)).select("bill_id", "pos", F.col("amount").cast("double").alias("billed"), rate.cast("double").alias("benchmark"), source.alias("basis"))

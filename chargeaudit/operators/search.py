@@ -220,6 +220,25 @@ def contradictions(reasons: DataFrame, policies: DataFrame, rules: DataFrame, po
     return asked.join(one.hint("merge"), "text").join(two.hint("merge"), "text").select("reason_id", "policy_id", "rule_id", F.col("amount").cast("double").alias("amount"))
 
 
+#: Characters of an excerpt.
+EXCERPT = 300
+
+
+def lookups(found: DataFrame, kind: Column) -> DataFrame:
+    """query_id and content: what was found for each question (query_id, rank, text and, for rates, rate) as numbered citations, a list of rates, or excerpts.
+
+    ``kind`` is regulation, rate or policy; other kinds and missing texts give no line, a question without lines no row.
+    """
+    short = F.when(F.length("text") > EXCERPT, F.concat(F.substring("text", 1, EXCERPT), F.lit("..."))).otherwise(F.col("text"))
+    line = (
+        F.when(kind == "regulation", F.concat(F.lit("["), F.col("rank"), F.lit("] "), F.col("text")))
+        .when(kind == "rate", F.concat(F.lit("• "), F.col("text"), F.lit(": ₹"), F.format_number("rate", 0)))
+        .when(kind == "policy", short)
+    )
+    per = found.select("query_id", "rank", line.alias("_line")).filter("_line IS NOT NULL").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "_line"))).alias("_x"))
+    return per.select("query_id", F.array_join(F.transform("_x", lambda x: x["_line"]), "\n").alias("content"))
+
+
 def keyword_recall(answers: DataFrame) -> DataFrame:
     """answers: query_id, text of what was found, keywords.  The share of keywords that the text holds."""
     low = F.lower("text")

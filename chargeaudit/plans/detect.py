@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import detect as D
+from ..operators import pricing as P
 from ..sources.bridge import BRIDGE, benchmarks, bills, discharge_procedures, line_items, table
 
 CONSULTS = ("plate", "gear")
@@ -152,9 +153,7 @@ def device_fallback_left(spark, d):
     """Devices without a price of their own fall back on twice the common rate."""
     items, s = line_items(spark, d).filter(F.contains("description", F.lit("rod"))), table(spark, d, "supplier")
     own = s.filter("s_acctbal > 5000").select(F.col("s_suppkey").cast("string").alias("batch_no"), (F.col("s_acctbal").cast("decimal(12,2)") * 2).alias("device_rate"))
-    joined = items.join(own, "batch_no", "left")
-    rate = F.coalesce(F.col("device_rate"), F.col("rate") * 2)
-    return joined.filter(F.col("amount") > rate * D.num("1.05")).select("bill_id", "pos", F.col("amount").cast("double").alias("billed"), rate.cast("double").alias("benchmark"), F.when(F.col("device_rate").isNull(), "common").otherwise("own").alias("basis"))
+    return P.fallback_rates(items, own, "batch_no", F.col("rate") * 2)
 
 
 KEYWORDS_SQL = """, docs AS (SELECT DISTINCT bill_id, description AS procedure FROM li WHERE line_status = 'F'),

@@ -38,6 +38,16 @@ def retrieval_quality(spark, d):
     return S.retrieval_quality(asked, _docs(spark, d), S.found_texts(asked, _docs(spark, d), 2, _words))
 
 
+def lookup_texts(spark, d):
+    """What is found for each benchmark passage, as citations, rates or excerpts by turns."""
+    words = _words(F.col("text"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("words"))
+    docs = _docs(spark, d)
+    found = S.found_texts(asked, docs, 2, _words).join(docs.hint("merge"), "id").withColumn("rate", F.length("text"))
+    kind = F.element_at(F.array(*map(F.lit, ("regulation", "rate", "policy", "other"))), (F.col("query_id") % 4 + 1).cast("int"))
+    return S.lookups(found, kind).select("query_id", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
+
+
 def _texts(parts, turn, special, often, seldom):
     return parts.filter(F.col("p_partkey") % 2 == turn).select(F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, special[0]).when(F.col("p_partkey") % 3 == 1, often).otherwise(seldom)).alias("text"), F.col("p_partkey").alias("id"))
 
@@ -102,7 +112,7 @@ _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 _SQUARE = "list_sum(list_transform(v, lambda x: x * x))::DOUBLE"
 _LONG = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: length(w) > 4))"
 
-QUERIES = {f.__name__: f for f in (embedded_knn, retrieval_quality, policy_contradiction, pharmacy_ceilings, multi_bill_consolidated, dictionary_expand)}
+QUERIES = {f.__name__: f for f in (embedded_knn, retrieval_quality, lookup_texts, policy_contradiction, pharmacy_ceilings, multi_bill_consolidated, dictionary_expand)}
 ORACLE_SQL = {
     "embedded_knn": f"""WITH q AS (SELECT item_id, v, {_SQUARE} AS n FROM (SELECT item_id, {_LETTERS} AS v FROM (SELECT item_id, {_LOW} AS t FROM benchmark))),
 c AS (SELECT doc_id, v, {_SQUARE} AS n FROM (SELECT doc_id, {_LETTERS} AS v FROM (SELECT doc_id, {_LOW} AS t FROM documents))),
@@ -114,6 +124,12 @@ s AS (SELECT item_id, doc_id FROM (SELECT item_id, doc_id, sum(weight) AS score
 h AS (SELECT item_id, count(DISTINCT w) AS n FROM s JOIN documents USING (doc_id) JOIN qw USING (item_id) WHERE contains(lower(text), w) GROUP BY item_id),
 r AS (SELECT item_id AS query_id, coalesce(n, 0)::DOUBLE / len(k) AS recall FROM q LEFT JOIN h USING (item_id) WHERE len(k) > 0), m AS (SELECT *, round(avg(recall) OVER (), 6) AS mean_recall FROM r)
 SELECT *, CASE WHEN mean_recall >= 0.8 THEN 'excellent' WHEN mean_recall >= 0.6 THEN 'good' WHEN mean_recall >= 0.4 THEN 'needs improvement' ELSE 'poor' END AS verdict FROM m""",
+    "lookup_texts": f"""WITH qw AS (SELECT item_id, unnest({_LONG}) AS w FROM benchmark), dw AS (SELECT doc_id, unnest({_LONG}) AS w FROM documents),
+f AS (SELECT w, 1000000 // count(*) AS weight FROM dw WHERE w IN (SELECT w FROM qw) GROUP BY w),
+s AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, sum(weight) AS score FROM qw JOIN f USING (w) JOIN dw USING (w) GROUP BY item_id, doc_id) QUALIFY rank <= 2),
+l AS (SELECT item_id, rank, CASE item_id % 4 WHEN 0 THEN '[' || rank || '] ' || text WHEN 1 THEN '• ' || text || ': ₹' || format('{{:,d}}', length(text)) WHEN 2 THEN CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END END AS line FROM s JOIN documents USING (doc_id)),
+c AS (SELECT item_id, string_agg(line, chr(10) ORDER BY rank) AS content FROM l WHERE line IS NOT NULL GROUP BY item_id)
+SELECT item_id AS query_id, length(content)::INTEGER AS n_chars, md5(content) AS digest FROM c""",
     "policy_contradiction": BRIDGE
     + f""", pol AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 3 WHEN 0 THEN ' is not covered' WHEN 1 THEN ' is excluded here' ELSE ' is payable' END AS text FROM part WHERE p_partkey % 2 = 0),
 rul AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 3 WHEN 0 THEN ' shall cover it' WHEN 1 THEN ' may apply' ELSE ' must cover it' END AS text FROM part WHERE p_partkey % 2 = 1),

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import tables as T
+from ..operators.pricing import single_threshold
 from ..sources.bridge import BRIDGE, benchmarks, bills, line_items, table
 from ..streaming import streams
 
@@ -112,12 +113,8 @@ def room_cap(spark, d):
 
 def rules_v1(spark, d):
     """The older single threshold: 1.5 times the rate for every kind, devices first."""
-    i = line_items(spark, d)
-    ref = F.col("rate") * F.col("quantity")
-    kind = F.when(F.contains("description", F.lit("rod")), "device").when(F.contains("description", F.lit("plate")), "room").when(F.contains("description", F.lit("gear")), "diagnostic").when(F.contains("description", F.lit("ring")), "consultation")
-    from decimal import Decimal
-
-    return i.withColumn("kind", kind).filter(kind.isNotNull() & (F.col("amount") > ref * F.lit(Decimal("1.5")))).select("bill_id", "pos", "kind", F.col("amount").cast("double").alias("billed"), ref.cast("double").alias("benchmark"))
+    kinds = {"device": ("rod",), "room": ("plate",), "diagnostic": ("gear",), "consultation": ("ring",)}
+    return single_threshold(line_items(spark, d), kinds, F.col("rate") * F.col("quantity"))
 
 
 def rate_limit(spark, d):
