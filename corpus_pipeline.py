@@ -4,6 +4,11 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that its predecess
 the columns of ``documents``: rejected documents go, one document of each group of near-duplicates stays,
 secrets are masked in the texts, and the mix repeats or leaves out whole documents so that sources meet their
 targets.  The last returns the pieces of packed sequences.
+
+Defined cases: a null, empty or blank text has too few words and goes with the quality rules; a null lang or source is a group
+of its own; rows without doc_id are linked with no others; of rows that repeat id and text one stays after the near-duplicates, rows of one id
+with different texts are documents of their own; long texts pass whole; an empty table gives an empty result; other columns of
+``documents`` stay as they are up to the mix.
 """
 
 from __future__ import annotations
