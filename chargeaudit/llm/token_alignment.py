@@ -48,7 +48,7 @@ AT_ONCE = 1 << 19
 KEPT = 400_000
 KEPT_LINKS = 3_000_000
 #: Bits of ids of A and B in a pair; a batch numbers its documents above them.
-A_BITS, B_BITS = 20, 20
+A_BITS, B_BITS = 20, 20  # over 100,000 ids each
 LOW = (1 << B_BITS) - 1
 
 #: As wide as Latin letters and signs go.
@@ -96,7 +96,6 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_names, self.b_names = (list(map(str, range(len(x)))) for x in (self.a_bytes, self.b_bytes))
         self.a_space, self.b_space = (np.array([t.startswith(b" ") for t in x]) for x in (self.a_bytes, self.b_bytes))
 
     def encode_a(self, text: str) -> list[int]:
@@ -131,17 +130,64 @@ def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def digits(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of the numbers below ``most``, a row each, and how many they are."""
+    names = np.array([str(i) for i in range(most)], "S")
+    return names.view(np.uint8).reshape(most, -1), np.char.str_len(names).astype(np.int64)
+
+
+_DIGITS = digits(100_000)
+
+
+def grouped(a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, last: np.ndarray) -> bytes:
+    """``a1,a2|b1;a3|b2,b3`` of all groups, whose ids end before ``a_last`` and ``b_last``, with a line for each window, whose groups end before ``last``."""
+    n_a, n_b = np.diff(a_last, prepend=0), np.diff(b_last, prepend=0)
+    start = np.cumsum(n_a + n_b) - n_a - n_b
+    places = [np.repeat(first - (end - n), n) + np.arange(end[-1]) for first, end, n in ((start, a_last, n_a), (start + n_a, b_last, n_b))]
+    ids = np.empty(len(a) + len(b), np.int64)
+    sign = np.full(len(ids), ord(","), np.uint8)
+    ids[places[0]], ids[places[1]] = a, b
+    ends = start + n_a + n_b - 1
+    sign[start + n_a - 1], sign[ends], sign[ends[last - 1]] = ord("|"), ord(";"), ord("\n")
+    table, sizes = _DIGITS
+    size = sizes[ids] + 1
+    stop = np.cumsum(size)
+    row = np.repeat(np.arange(len(ids)), size)
+    column = np.arange(stop[-1]) - np.repeat(stop - size, size)
+    out = table[ids[row], np.minimum(column, table.shape[1] - 1)]
+    out[stop - 1] = sign
+    return out.tobytes()
+
+
+#: Between the ids of A and those of B of a window, and behind each window; no id has a last byte but 0.
+MARK, BREAK = 0xFEFFFFFF, 0xFFFFFFFF
+BREAK_BYTES = BREAK.to_bytes(4, "little")
+
+
+def tuples(x: np.ndarray, y: np.ndarray, x_last: np.ndarray, y_last: np.ndarray) -> list[bytes]:
+    """The id tuples of windows, whose ids end before ``x_last`` and ``y_last``: four bytes an id, MARK between both sides."""
+    n_x, n_y = np.diff(x_last, prepend=0), np.diff(y_last, prepend=0)
+    size = n_x + n_y + 2
+    start = np.cumsum(size) - size
+    ids = np.empty(len(x) + len(y) + 2 * len(size), "<u4")
+    ids[np.repeat(start - (x_last - n_x), n_x) + np.arange(len(x))] = x
+    ids[start + n_x] = MARK
+    ids[np.repeat(start + n_x + 1 - (y_last - n_y), n_y) + np.arange(len(y))] = y
+    ids[start + size - 1] = BREAK
+    return ids.tobytes().split(BREAK_BYTES)[:-1]
+
+
 class Windows(dict):
-    """Windows met so far, by their tuples of ids (four bytes each): a number, under which is kept what each is aligned to."""
+    """Windows met so far, by their tuples of ids: a number, under which is kept what each is aligned to."""
 
     def __init__(self, by: Tokenizers) -> None:
         super().__init__()
         self.by = by
-        self.texts: list[str] = []
+        self.texts: list[bytes] = []
         self.groups, self.starts, self.links = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.used = 0
 
-    def of(self, keys: list[tuple[bytes, bytes]]) -> list[int]:
+    def of(self, keys: list[bytes]) -> list[int]:
         """The windows' numbers; new ones are aligned first."""
         codes = list(map(self.get, keys))
         if None in codes:
@@ -152,24 +198,25 @@ class Windows(dict):
             codes = list(map(self.__getitem__, keys))
         return codes
 
-    def align(self, keys: list[tuple[bytes, bytes]]) -> None:
+    def align(self, keys: list[bytes]) -> None:
         """Groups and links of windows, which stand behind each other: their bytes are the same on both sides."""
         by, known = self.by, len(self.texts)
-        sides = [np.frombuffer(b"".join([k[side] for k in keys]), np.uint32).astype(np.int64) for side in (0, 1)]
-        (a, b), (a_end, b_end) = sides, (np.cumsum(size[x]) for size, x in zip((by.a_size, by.b_size), sides, strict=True))
-        last_a = np.cumsum([len(k[0]) // 4 for k in keys])
+        ids = np.frombuffer(BREAK_BYTES.join(keys), "<u4")
+        mark, stop = ids == MARK, ids == BREAK
+        side = np.cumsum(mark) - np.cumsum(stop)
+        of_a = (side == 0) & ~stop
+        a, b = ids[of_a].astype(np.int64), ids[(side == 1) & ~mark].astype(np.int64)
+        a_end, b_end = np.cumsum(by.a_size[a]), np.cumsum(by.b_size[b])
+        last_a = np.cumsum(of_a)[mark]
         end = a_end[last_a - 1]
         # two tokens overlap in one stretch of bytes, up to the next end of either
-        ends = np.union1d(a_end, b_end)
+        both = np.sort(np.concatenate([a_end, b_end]))
+        ends = both[np.flatnonzero(np.diff(both, prepend=-1))]
         links = a[np.searchsorted(a_end, ends)] << B_BITS | b[np.searchsorted(b_end, ends)]
         link_last = np.searchsorted(ends, end) + 1
         shared, i, j = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
-        i, j = (i + 1).tolist(), (j + 1).tolist()
-        one, two = list(map(by.a_names.__getitem__, a.tolist())), list(map(by.b_names.__getitem__, b.tolist()))
-        texts = [",".join(one[p:q]) + "|" + ",".join(two[r:s]) for p, q, r, s in zip([0, *i[:-1]], i, [0, *j[:-1]], j, strict=True)]
         group_last = np.searchsorted(shared, end) + 1
-        cuts = group_last.tolist()
-        self.texts += [texts[p] if q - p == 1 else ";".join(texts[p:q]) for p, q in zip([0, *cuts[:-1]], cuts, strict=True)]
+        self.texts += grouped(a, b, i + 1, j + 1, group_last).split(b"\n")[:-1]
         self.groups = grown(self.groups, np.diff(group_last, prepend=0), known)
         self.links = grown(self.links, links, self.used)
         self.starts = grown(self.starts, np.concatenate([[self.used], self.used + link_last]), known)
@@ -180,7 +227,7 @@ class Aligner:
     """Documents' groups and links, with a bounded table of windows met so far."""
 
     def __init__(self, by: Tokenizers) -> None:
-        if len(by.a_bytes) >= 1 << A_BITS or len(by.b_bytes) >= 1 << B_BITS:
+        if max(len(by.a_bytes), len(by.b_bytes)) > len(_DIGITS[1]):
             raise ValueError("too many ids")
         self.by, self.known = by, Windows(by)
 
@@ -205,8 +252,7 @@ class Aligner:
         anchor = by.a_space[x[np.minimum(i, len(x) - 1)]] & by.b_space[y[np.minimum(j, len(y) - 1)]]
         anchor[stop] = True
         at = np.flatnonzero(anchor)
-        spans = lambda ids, ends: map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends))
-        codes = known.of(list(zip(spans(x, (4 * i[at]).tolist()), spans(y, (4 * j[at]).tolist()), strict=True)))
+        codes = known.of(tuples(x, y, i[at], j[at]))
         number = np.array(codes, np.int64)
         last = np.searchsorted(at, stop) + 1
         first = np.concatenate([[0], last[:-1]])
@@ -218,7 +264,7 @@ class Aligner:
         pairs, counts = key[new] & ((1 << A_BITS + B_BITS) - 1), np.diff(new, append=len(key))
         cut = np.searchsorted(key[new] >> A_BITS + B_BITS, np.arange(len(full) + 1))
         for k, ((row, a, b), p, q) in enumerate(zip(full, first.tolist(), last.tolist(), strict=True)):
-            digest = hashlib.sha256(";".join(map(known.texts.__getitem__, codes[p:q])).encode()).hexdigest()
+            digest = hashlib.sha256(b";".join(map(known.texts.__getitem__, codes[p:q]))).hexdigest()
             own = slice(cut[k], cut[k + 1])
             rows[row] = len(a), len(b), int(groups[k]), int(counts[own].sum()), digest, pairs[own], counts[own]
         return rows
