@@ -56,7 +56,7 @@ def fallback_steps(spark, d):
 
 def request_windows(spark, d):
     """Users with more requests in a sliding hour than allowed, as a stream."""
-    return streams._plain(streams.run(streams.requests_per_window(streams._closed_events(spark, d, "click"), REQUESTS)))
+    return streams._plain(streams.run_on_disk(streams.requests_per_window(streams._closed_events(spark, d, "click"), REQUESTS)))
 
 
 TOLD = BRIDGE + """, told AS (SELECT * REPLACE (CASE WHEN code % 11 = 0 THEN 'unnamed' WHEN code % 3 = 0 THEN description || ' strip' WHEN code % 3 = 1 THEN 'pack of new ' || description ELSE description END AS description) FROM li)"""

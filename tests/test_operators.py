@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import random
 from decimal import Decimal
 
 import numpy as np
@@ -199,3 +201,25 @@ def test_batches_without_files(spark, tmp_path):
     spark.createDataFrame([], "a long").write.parquet(str(tmp_path / "none.parquet"))
     got = streams.each_batch(streams.source(spark, str(tmp_path), "none"), lambda b: b.withColumn("x", F.lit(1)))
     assert got.count() == 0 and got.columns == ["a", "x"]
+
+
+def test_sliding_windows_enter_few_groups(spark):
+    """Windows of several lengths and slides, some that no slide divides, against a brute-force count; a request becomes two rows at most."""
+    begin, rng = dt.datetime(1969, 12, 31, 22), random.Random(3)
+    rows = [(rng.randint(1, 3), begin + dt.timedelta(seconds=rng.randint(0, 6 * 3600))) for _ in range(120)] + [(1, begin), (1, begin), (None, begin), (None, begin), (2, None)]
+    events = spark.createDataFrame(rows, "user_id long, ts timestamp")
+    epoch = dt.datetime(1970, 1, 1)
+    for length, slide in ((60, 5), (60, 60), (25, 10), (7, 3)):
+        want = {}
+        for user, ts in rows:
+            if ts is not None:
+                last = (ts - epoch) // dt.timedelta(minutes=slide)
+                for k in range(last - length // slide - 1, last + 1):
+                    start = epoch + dt.timedelta(minutes=k * slide)
+                    if start <= ts < start + dt.timedelta(minutes=length):
+                        want[user, start] = want.get((user, start), 0) + 1
+        out = streams.requests_per_window(events, 1, f"{length} minutes", f"{slide} minutes")
+        got = [(u, s, n) for u, s, n in out.select("user_id", F.col("start").cast("timestamp_ntz"), "n").collect()]
+        assert sorted(got, key=str) == sorted([(*k, n) for k, n in want.items() if n > 1], key=str)
+    plan = streams.requests_per_window(events, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.count("named_struct") for line in plan.splitlines() if "Expand" in line] == [2]
