@@ -2,8 +2,9 @@
 
 Events of one key may come late and twice.  They wait in the state until the watermark has passed them, so they are taken in the
 order of their times whatever the order of their files; what comes after the watermark is dropped by the stream, and so is a
-batch that is replayed after it was taken; one that is replayed before is recognised by its event ids.  Timers on event time
-take what has waited, and end an audit whose time is up.  An audit that runs is not asked for again.
+batch that is replayed after it was taken; one that is replayed before is recognised by its event ids.  A timer on event time
+takes what has waited, and ends an audit whose time is up; a key has one for the earliest of both and one for each batch that
+brought it rows, not one for each event.  An audit that runs is not asked for again.
 """
 
 from __future__ import annotations
@@ -16,9 +17,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from . import streams
 
-#: The state store that keeps lists and timers.
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 OUT = "key long, run_id long, status string, at long"
 Run = tuple[int, int] | None
 Event = tuple[int, int, str]
@@ -61,8 +59,8 @@ class AuditStatus(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         come = [(r["at"], r["event_id"], r["kind"]) for r in rows]
         self.waiting.appendList(come)
-        for at in {x[0] // 1000 + 1 for x in come}:
-            self.handle.registerTimer(at)
+        # the timer of the earliest one takes or calls again for the others
+        self.handle.registerTimer(min(x[0] for x in come) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -72,15 +70,18 @@ class AuditStatus(StatefulProcessor):
         due = sorted(x for x in every if x[0] < now)
         run = self.running.get() if self.running.exists() else None
         run, changes = moved(tuple(run) if run is not None else None, due, now, self.timeout)
-        if len(due) < len(every):
-            self.waiting.put(sorted(every - set(due)))
-        else:
+        rest = sorted(every - set(due))
+        if rest:
+            self.waiting.put(rest)
+        elif every:
             self.waiting.clear()
         if run is None:
             self.running.clear()
         else:
             self.running.update(run)
-            self.handle.registerTimer((run[1] + self.timeout) // 1000 + 1)
+        call = [x[0] for x in rest[:1]] + ([run[1] + self.timeout] if run is not None else [])
+        if call:
+            self.handle.registerTimer(min(call) // 1000 + 1)
         for run_id, status, at in changes:
             yield Row(key=key[0], run_id=run_id, status=status, at=at)
 
@@ -102,7 +103,8 @@ def audit_status(events: DataFrame, kinds: dict[str, str], timeout: int, late: s
 
     ``kinds`` maps event types to run, complete and failed, others and nulls pass without effect; ``timeout`` is in seconds.
     """
-    asked = _asked(events, kinds).withWatermark("ts", late).filter("key IS NOT NULL AND at IS NOT NULL")
+    # events of no kind need not wait, but the watermark must see them: a filter that reads ts is not moved before it
+    asked = _asked(events, kinds).withWatermark("ts", late).filter("key IS NOT NULL AND at IS NOT NULL AND (kind IS NOT NULL OR ts IS NULL)")
     return asked.groupBy("key").transformWithState(AuditStatus(timeout * 1_000_000), OUT, "append", "eventTime")
 
 
@@ -120,14 +122,5 @@ def audit_status_batch(events: DataFrame, kinds: dict[str, str], timeout: int) -
 
 
 def run_status(events: DataFrame, kinds: dict[str, str], timeout: int) -> DataFrame:
-    """Runs the stream to its end; the state store is set for it alone."""
-    conf = events.sparkSession.conf
-    before = conf.get(PROVIDER, None)
-    conf.set(PROVIDER, STORE)
-    try:
-        return _told(streams.run(audit_status(events, kinds, timeout)))
-    finally:
-        if before is None:
-            conf.unset(PROVIDER)
-        else:
-            conf.set(PROVIDER, before)
+    """Runs the stream to its end."""
+    return _told(streams.run_on_disk(audit_status(events, kinds, timeout)))

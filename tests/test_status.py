@@ -46,3 +46,58 @@ def test_stream_of_late_and_replayed_files(spark, tmp_path):
     spark.createDataFrame([(None, begin + dt.timedelta(days=60), -1, "click", None, None)], SCHEMA).write.parquet(str(tmp_path / "end"))
     got = sorted(map(tuple, T.run_status(stream.union(end), plans.KINDS, plans.TIMEOUT).collect()))
     assert [x for x in got if x in want] == got  # a file may come after the end's watermark, but nothing is said wrongly or twice
+
+
+def test_few_timers():
+    """A key asks for one timer for all rows of a batch, and for one more when it fires and something still waits or runs."""
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.states = [], {}
+
+        def getListState(self, name, schema):
+            return self.states.setdefault(name, State([]))
+
+        def getValueState(self, name, schema):
+            return self.states.setdefault(name, State(None))
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class State:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self):
+            return self.value
+
+        def exists(self):
+            return self.value is not None
+
+        def appendList(self, rows):
+            self.value = [*(self.value or []), *rows]
+
+        def put(self, rows):
+            self.value = rows
+
+        update = put
+
+        def clear(self):
+            self.value = [] if isinstance(self.value, list) else None
+
+    class Now:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    rows = [(i * 5_000_000, i, ("run", "failed")[i % 3 == 0]) for i in range(1, 200)]
+    audit, handle, said = T.AuditStatus(7_000_000), Handle(), []
+    audit.init(handle)
+    for part in (rows[100:], rows[:100], rows[:3]):
+        list(audit.handleInputRows((1,), iter([dict(zip(("at", "event_id", "kind"), r, strict=True)) for r in part]), None))
+    assert len(handle.timers) == 3
+    for mark in (300_000, 600_000, 10_000_000):  # each is after the timers that the one before left
+        assert min(handle.timers) <= mark
+        handle.timers.clear()
+        said += [(r.run_id, r.status, r["at"]) for r in audit.handleExpiredTimer((1,), Now(mark), Now(mark))]
+        assert len(handle.timers) <= 1
+    assert said == T.moved(None, rows, None, 7_000_000)[1] and not handle.timers
