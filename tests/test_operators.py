@@ -223,3 +223,22 @@ def test_sliding_windows_enter_few_groups(spark):
         assert sorted(got, key=str) == sorted([(*k, n) for k, n in want.items() if n > 1], key=str)
     plan = streams.requests_per_window(events, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert [line.count("named_struct") for line in plan.splitlines() if "Expand" in line] == [2]
+
+
+def test_issues_are_shuffled_once(spark):
+    """What is stored by bill keeps its rows, and letters, summaries and scenarios shuffle bills alone."""
+    from chargeaudit.plans import post
+    from chargeaudit.sources.bridge import stored_by
+
+    rows = [(i % 7 if i % 5 else None, i) for i in range(100)]
+    assert sorted(map(tuple, stored_by(spark.createDataFrame(rows, "k long, v long"), "few", "k").collect()), key=str) == sorted(rows, key=str)
+    plan = post.letter_validation(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_validation_of_nulls_and_repeated_lines(spark):
+    """Null texts and amounts confirm nothing, a bill without lines confirms nothing, and rows of one key are judged each for itself."""
+    items = spark.createDataFrame([(1, "Old Rod", 10.0), (1, "Old Rod", 10.0), (1, None, 5.0), (1, "", 7.0), (1, "Ring", None), (None, "Ring", 3.0)], "bill_id long, description string, amount double")
+    issues = [(1, "old rod — seen", 10.5, "high"), (1, "ring", 3.0, "high"), (1, "gear", 7.0, "high"), (2, "old rod", 10.0, "high"), (None, "ring", 3.0, "high"), (1, "gear", 1.0, "low")]
+    df = spark.createDataFrame([(0, i, *x, None) for i, x in enumerate(issues)], "stage int, pos int, bill_id long, description string, billed double, confidence string, benchmark double")
+    assert [r.note for r in P.validated(df, items).orderBy("pos").collect()] == [None, *["source row not found"] * 4, None]
