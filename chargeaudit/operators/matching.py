@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..sources.bridge import stored
 
 
 def words_of(text: Column) -> Column:
@@ -77,6 +78,18 @@ def text_matches(texts: DataFrame, benchmarks: DataFrame, n: int = 1, least: flo
     return scored.select("text", *own, "similarity", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= n)
 
 
+#: Rows of a written table up to which it is broadcast.
+SMALL = 100_000
+
+
+def _beside(left: DataFrame, right: DataFrame, on: Column | str, how: str = "inner") -> DataFrame:
+    """``left`` joined with what was found for its different texts, which is written first and broadcast if it turns out small.
+
+    Few texts stand in many lines, and a shuffle by text would bring all lines of a text to one task.
+    """
+    return left.join(right.hint("broadcast" if right.limit(SMALL + 1).count() <= SMALL else "merge"), on, how)
+
+
 def code_or_text(items: DataFrame, benchmarks: DataFrame | None, text: str = "description", least: float = 0.0) -> DataFrame:
     """Lines with matched, match_rate and similarity: the benchmark of their code, or else the most similar one by text.
 
@@ -85,21 +98,41 @@ def code_or_text(items: DataFrame, benchmarks: DataFrame | None, text: str = "de
     if benchmarks is None:
         return items.select("*", F.lit(None).cast("string").alias("matched"), F.lit(None).cast("decimal(12,2)").alias("match_rate"), F.lit(None).cast("double").alias("similarity"))
     priced = benchmarks.filter("rate > 0")
-    own = priced.groupBy(F.col("code").alias("_code")).agg(F.min("name").alias("_name"), F.min("rate").alias("_rate"))
-    coded = items.join(own.hint("merge"), items["code"] == own["_code"], "left")
+    # lines without a code find no partner, so they are dealt by what they hold and not all to one task
+    of_code = lambda c: F.xxhash64(F.col(c).cast("string"))
+    whole = F.xxhash64(*[c for c, t in items.dtypes if "map<" not in t])
+    own = priced.groupBy(F.col("code").alias("_code")).agg(F.min("name").alias("_name"), F.min("rate").alias("_rate")).withColumn("_dealt", of_code("_code"))
+    dealt = items.withColumn("_deal", F.when(F.col("code").isNull(), whole).otherwise(of_code("code")))
+    coded = dealt.join(own.hint("merge"), (dealt["_deal"] == own["_dealt"]) & (dealt["code"] == own["_code"]), "left")
     rest = coded.filter("_code IS NULL").select(F.col(text).alias("text"))
-    found = text_matches(rest, priced, 1, least, ("rate",)).select(F.col("text").alias("_text"), F.col("name").alias("_near"), F.col("rate").alias("_near_rate"), "similarity")
-    joined = coded.join(found.hint("merge"), (coded[text] == found["_text"]) & coded["_code"].isNull(), "left")
+    found = stored(text_matches(rest, priced, 1, least, ("rate",)).select(F.col("text").alias("_text"), F.col("name").alias("_near"), F.col("rate").alias("_near_rate"), "similarity"), "texts")
+    joined = _beside(coded, found, (coded[text] == found["_text"]) & coded["_code"].isNull(), "left")
     return joined.select(*[coded[c] for c in items.columns], F.coalesce("_name", "_near").alias("matched"), F.coalesce("_rate", "_near_rate").alias("match_rate"), F.when(F.col("_code").isNotNull(), 1.0).otherwise(F.col("similarity")).alias("similarity"))
 
 
 def best_of_texts(items: DataFrame, benchmarks: DataFrame, texts: tuple[str, ...], least: float = 0.45) -> DataFrame:
     """bill_id, pos and the best benchmark over several texts of a line: by similarity, then the earlier text."""
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("source"), F.col(t).alias("text")) for i, t in enumerate(texts)]))
-    asked = items.select("bill_id", "pos", each.alias("x")).select("bill_id", "pos", "x.*").filter("text IS NOT NULL")
-    found = text_matches(asked, benchmarks.filter("rate > 0"), 1, least, ("rate",)).drop("rank")
-    w = Window.partitionBy("bill_id", "pos").orderBy(F.desc("similarity"), "source")
-    return asked.join(found.hint("merge"), "text").select("*", F.row_number().over(w).alias("_turn")).filter("_turn = 1").drop("_turn")
+    return beside_best(items, benchmarks, texts, least).select("bill_id", "pos", "source", F.col("_near_text").alias("text"), F.col("matched").alias("name"), F.col("match_rate").alias("rate"), "similarity")
+
+
+def beside_best(items: DataFrame, benchmarks: DataFrame, texts: tuple[str, ...], least: float = 0.45, how: str = "inner") -> DataFrame:
+    """Lines with source, matched, match_rate and similarity of the best benchmark over several of their texts, which is found once for each different row of texts."""
+    found, same = _best_for(items, benchmarks, texts, least), F.lit(True)
+    for i, t in enumerate(texts):
+        same = same & items[t].eqNullSafe(found[f"_t{i}"])
+    told = [F.col("text").alias("_near_text"), F.col("name").alias("matched"), F.col("rate").alias("match_rate"), "source", "similarity"]
+    return _beside(items, found.select(*[f"_t{i}" for i in range(len(texts))], *told), same, how).drop(*[f"_t{i}" for i in range(len(texts))])
+
+
+def _best_for(items: DataFrame, benchmarks: DataFrame, texts: tuple[str, ...], least: float) -> DataFrame:
+    """For each different row of texts (_t0, _t1, ...) the best benchmark, the text and its place; written."""
+    keys = [f"_t{i}" for i in range(len(texts))]
+    rows = items.select(*[F.col(t).alias(k) for t, k in zip(texts, keys, strict=True)]).distinct()
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("source"), F.col(k).alias("text")) for i, k in enumerate(keys)]))
+    asked = rows.select(*keys, each.alias("x")).select(*keys, "x.*").filter("text IS NOT NULL")
+    near = text_matches(asked, benchmarks.filter("rate > 0"), 1, least, ("rate",)).drop("rank")
+    w = Window.partitionBy(*keys).orderBy(F.desc("similarity"), "source")
+    return stored(asked.join(near.hint("merge"), "text").select("*", F.row_number().over(w).alias("_turn")).filter("_turn = 1").drop("_turn"), "texts")
 
 
 def with_synonym(text: Column, also: Column, synonyms: dict[str, str] = rules.SYNONYMS) -> Column:

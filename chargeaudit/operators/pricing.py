@@ -98,8 +98,7 @@ def lab_rates(items: DataFrame, benchmarks: DataFrame | None, texts: tuple[str,
     if benchmarks is None:
         return priced(M.code_or_text(items, None).limit(0), "procedure_overcharge")
     tests = items.filter((F.trim("description") != "") & (F.col("amount") > 0) & ~any_keyword(F.col("description"), consumables))
-    found = M.best_of_texts(tests, benchmarks, texts).select("bill_id", "pos", F.col("name").alias("matched"), F.col("rate").alias("match_rate"), "similarity")
-    both = tests.join(found.hint("merge"), ["bill_id", "pos"], "left")
+    both = M.beside_best(tests, benchmarks, texts, how="left").select(*tests.columns, "matched", "match_rate", "similarity")
     level = F.lit("low")
     for least, name in reversed(steps):
         level = F.when(F.col("similarity") >= least, name).otherwise(level)

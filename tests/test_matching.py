@@ -51,3 +51,24 @@ def test_a_common_word_makes_no_pairs(spark):
     got = {r.text: (r.name, r.similarity) for r in M.text_matches(t, b).collect()}
     assert len(got) == 20_000 and got["charges for item77 of ward77"] == ("charges item77 unit", 0.5164)
     assert time.perf_counter() - began < 60
+
+
+def test_lines_are_not_dealt_by_text_or_missing_code(spark):
+    """Lines without a code are spread by what they hold, lines of one text are not brought together, and null texts stay without a match."""
+    prices = spark.createDataFrame([(1, "red rod", Decimal("5.00")), (2, "old ring", Decimal("7.00")), (None, "blue rod", Decimal("1.00"))], "code long, name string, rate decimal(12,2)")
+    rows = [(i, 1, "rod red" if i % 3 else None, 2 if i % 4 == 0 else None if i % 2 else 9) for i in range(40)]
+    items = spark.createDataFrame(rows, "bill_id long, pos int, description string, code long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = M.code_or_text(items, prices)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_deal" in plan and "hashpartitioning(description" not in plan
+        got = {r.bill_id: (r.matched, r.similarity) for r in out.collect()}
+        best = M.best_of_texts(items.withColumn("other", M.F.when(M.F.col("bill_id") < 20, "ring old")), prices, ("other", "description"))
+        assert "Window" not in best._jdf.queryExecution().executedPlan().toString()
+        best = sorted((r.bill_id, r.source, r.text, r.name) for r in best.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: ("old ring", 1.0) if c == 2 else ("red rod", 1.0) if t else (None, None) for i, _, t, c in rows}
+    assert best == [(i, 0, "ring old", "old ring") if i < 20 else (i, 1, "rod red", "red rod") for i, _, t, _ in rows if i < 20 or t]
