@@ -104,7 +104,9 @@ def code_or_text(items: DataFrame, benchmarks: DataFrame | None, text: str = "de
     own = priced.groupBy(F.col("code").alias("_code")).agg(F.min("name").alias("_name"), F.min("rate").alias("_rate")).withColumn("_dealt", of_code("_code"))
     dealt = items.withColumn("_deal", F.when(F.col("code").isNull(), whole).otherwise(of_code("code")))
     coded = dealt.join(own.hint("merge"), (dealt["_deal"] == own["_dealt"]) & (dealt["code"] == own["_code"]), "left")
-    rest = coded.filter("_code IS NULL").select(F.col(text).alias("text"))
+    # the texts alone, apart from the lines' other columns
+    unknown = items.filter("code IS NOT NULL").select("code", text).join(own.select("_code").hint("merge"), items["code"] == F.col("_code"), "left_anti")
+    rest = items.filter("code IS NULL").select(F.col(text).alias("text")).union(unknown.select(F.col(text)))
     found = stored(text_matches(rest, priced, 1, least, ("rate",)).select(F.col("text").alias("_text"), F.col("name").alias("_near"), F.col("rate").alias("_near_rate"), "similarity"), "texts")
     joined = _beside(coded, found, (coded[text] == found["_text"]) & coded["_code"].isNull(), "left")
     return joined.select(*[coded[c] for c in items.columns], F.coalesce("_name", "_near").alias("matched"), F.coalesce("_rate", "_near_rate").alias("match_rate"), F.when(F.col("_code").isNotNull(), 1.0).otherwise(F.col("similarity")).alias("similarity"))
