@@ -53,22 +53,22 @@ def merged_bills(bills: DataFrame, group: Column) -> DataFrame:
     return per
 
 
-def consolidated(lines: DataFrame, parts: DataFrame, bills: DataFrame, key: str = "upload_id", page: str = "page") -> tuple[DataFrame, DataFrame]:
+def consolidated(lines: DataFrame, parts: DataFrame, bills: DataFrame, key: str = "upload_id", page: str = "page", number: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The lines of each upload tagged with their bill, and one row per upload: what its readable bills add up to, with a warning for the others.
 
-    ``parts`` (key, part, first, last) are ranges of pages; a line belongs to the part whose range holds its page, by a join on
+    ``parts`` (key, part, first, last) are ranges of pages; a line belongs to the part whose range holds its page, by one join on
     the upload and the range.  ``bills`` (key, part, number, bill_date, total, readable) has one row for each part; lines of bills that
     could not be read are left out, and so are lines of no part.  An upload of no readable bill has no total.
+    Lines of a page may come as one row, their amounts summed and their number in the column ``number``.
     """
-    p = parts.select(F.col(key).alias("_key"), "part", "first", "last")
-    ranged = lines.join(p.hint("merge"), (lines[key] == p["_key"]) & (lines[page] >= p["first"]) & (lines[page] <= p["last"])).drop("_key", "first", "last")
-    read = bills.filter(F.coalesce("readable", F.lit(False))).select(key, "part", "number", "bill_date", "total")
-    tagged = ranged.join(read.select(key, "part").hint("merge"), [key, "part"]).withColumnRenamed("part", "source_bill")
+    read = bills.filter(F.coalesce("readable", F.lit(False))).select(key, "part")
+    p = parts.join(read.hint("merge"), [key, "part"]).select(F.col(key).alias("_key"), F.col("part").alias("source_bill"), "first", "last")
+    tagged = lines.join(p.hint("merge"), (lines[key] == p["_key"]) & (lines[page] >= p["first"]) & (lines[page] <= p["last"])).drop("_key", "first", "last")
     ok = F.coalesce("readable", F.lit(False))
     own = F.array_sort(F.collect_list(F.when(ok, F.struct("part", F.coalesce(F.col("number").cast("string"), F.lit("?")).alias("number")))))
     failed = F.array_sort(F.collect_list(F.when(~ok, F.col("part"))))
     per = bills.groupBy(key).agg(F.count("*").alias("n_bills"), F.count_if(ok).alias("n_read"), F.sum(F.when(ok, F.col("total"))).alias("total"), F.min(F.when(ok, F.col("bill_date"))).cast("string").alias("first_date"), own.alias("_own"), failed.alias("_failed"))
-    n_lines = tagged.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n_lines"), F.sum("amount").alias("lines_total"))
+    n_lines = tagged.groupBy(F.col(key).alias("_key")).agg((F.sum(number) if number else F.count("*")).alias("n_lines"), F.sum("amount").alias("lines_total"))
     warning = F.when(F.col("n_read") == 0, F.format_string("All %d bills failed", "n_bills")).when(
         F.size("_failed") > 0, F.format_string("%d of %d bills could not be read (%s); %d are shown", F.size("_failed"), "n_bills", F.array_join(F.transform("_failed", lambda x: x.cast("string")), ", "), "n_read")
     )

@@ -81,6 +81,18 @@ def test_consolidated_bills(spark):
     }
 
 
+def test_consolidated_page_sums(spark):
+    """Lines summed by page give what the lines give; the query sorts lines once, before pages are stored."""
+    parts = spark.createDataFrame([(1, 1, 1, 2), (1, 2, 3, 3), (2, 1, 1, 9)], "upload_id long, part int, first int, last int")
+    lines = spark.createDataFrame([(1, 1, 5), (1, 1, 6), (1, 2, None), (1, 3, 7), (2, 5, None)], "upload_id long, page int, amount int")
+    bills = spark.createDataFrame([(1, 1, "A", "2024-02-01", 11, True), (1, 2, "B", "2024-01-01", 7, False), (2, 1, "C", None, None, True)], "upload_id long, part int, number string, bill_date string, total int, readable boolean")
+    sums = lines.groupBy("upload_id", "page").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    got = {r.upload_id: tuple(r)[1:] for r in T.consolidated(sums, parts, bills, number="n")[1].collect()}
+    assert got == {r.upload_id: tuple(r)[1:] for r in T.consolidated(lines, parts, bills)[1].collect()}
+    assert {k: r[5:7] for k, r in got.items()} == {1: (3, 11.0), 2: (1, 0.0)}
+    assert "l_orderkey" not in plans.multi_bill_consolidated(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dictionary_is_the_fold(spark):
     """A table of 214 entries gives what the fold over a list of them gives, whatever the entries hold."""
     rng = random.Random(7)
