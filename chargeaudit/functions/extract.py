@@ -63,9 +63,8 @@ ARTIFACTS = (r"\(.*?\)", r"(?i)\s*-\s*dr\..*", r"\s*\d+$", r"\s*-\s*\d+$")
 
 
 def field(text: Column, pattern: str) -> Column:
-    """The trimmed first group, or null."""
-    found = F.trim(F.regexp_extract(text, pattern, 1), F.lit(" \t\n\r"))
-    return F.when(found != "", found)
+    """The trimmed first group, or null; the text is searched once for it."""
+    return F.nullif(F.trim(F.regexp_extract(text, pattern, 1), F.lit(" \t\n\r")), F.lit(""))
 
 
 def bills(pages: DataFrame) -> DataFrame:
@@ -87,8 +86,8 @@ def bill_items(pages: DataFrame, least: int = 20) -> DataFrame:
 def claims(pages: DataFrame, limit_days: int = 15) -> DataFrame:
     """doc_id, claim fields, amounts, days from discharge to rejection, and whether that is too long (null if unknown)."""
     t = F.col("text")
-    amounts = [F.when(field(t, p).isNotNull(), X.amount(field(t, p)).cast("double")).alias(k) for k, p in CLAIM_AMOUNTS.items()]
-    out = pages.select("doc_id", *[field(t, p).alias(k) for k, p in CLAIM_FIELDS.items()], *amounts)
+    found = pages.select("doc_id", *[field(t, p).alias(k) for k, p in (CLAIM_FIELDS | CLAIM_AMOUNTS).items()])
+    out = found.withColumns({k: F.when(F.col(k).isNotNull(), X.amount(F.col(k)).cast("double")) for k in CLAIM_AMOUNTS})
     days = X.days_between(F.col("discharge_date"), F.col("date_of_rejection"))
     return out.withColumn("sum_insured", X.digits(F.col("sum_insured"))).withColumn("cashless", F.lower("cashless") == "yes").withColumn("days", days).withColumn("late", F.col("days") > limit_days)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 from decimal import Decimal
 
 import numpy as np
@@ -52,6 +53,20 @@ def test_filters(spark):
     assert got == ["Please [FILTERED] now", "[FILTERED]x", "plain"]
 
 
+def test_days_as_formats_read_them(spark):
+    """What is not tried is what no format reads; a field's pattern is searched once."""
+    texts = ["1/2/2025", "01/12/25", "1-2-2025", "31-12-25", "1/2-25", "1/2/125", "1/2/02025", "1/2/+2025", "30/2/2025", " 1/2/2025", "1/2/2025 ", "1/2/25\n", "1.2.2025", "/2/2025", "1//2025", "-1/2/2025", "١/٢/٢٠٢٥", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = df.crossJoin(df.withColumnRenamed("t", "u"))
+    for forms in (("d/M/yyyy", "d-M-yyyy", "d/M/yy", "d-M-yy"), ("d.M.yyyy", "dd/MM/yy", "d MMM yyyy", "dd/MM/yyyy HH:mm")):
+        plain = F.coalesce(*[F.date_diff(F.try_to_timestamp("u", F.lit(f)).cast("date"), F.try_to_timestamp("t", F.lit(f)).cast("date")) for f in forms])
+        got = pairs.select(X.days_between(F.col("t"), F.col("u"), forms).alias("got"), plain.alias("want"))
+        assert got.filter("NOT got <=> want").count() == 0 and got.filter("got IS NOT NULL").count() > 1
+    plan = E.claims(df.select(F.lit(1).alias("doc_id"), F.col("t").alias("text")))._jdf.queryExecution().executedPlan().toString()
+    assert all(plan.count(p) == 1 for p in (*E.CLAIM_FIELDS.values(), *E.CLAIM_AMOUNTS.values()))
+    assert [bool(re.search(X.shape("d/M/yyyy"), t)) for t in ("1/2/2025", "1-2-2025", "1/2/25")] == [True, False, False]
+
+
 def test_days(spark):
     df = spark.createDataFrame([("01/02/2025", "17/02/2025"), ("1/2/25", "3/2/25"), ("01/02/2025", "17-02-2025"), (None, "1/1/2025"), ("x", "y")], "a string, b string")
     assert [r[0] for r in df.select(X.days_between(F.col("a"), F.col("b"))).collect()][2:] == [None, None, None]
