@@ -72,9 +72,13 @@ def file_types(spark, d):
 def column_roles(spark, d):
     i = line_items(spark, d)
     heads = ("Service Date", "PARTICULARS", "Qty", "Unit Rate", "Net Amount")
-    cells = i.select(F.col("bill_id").alias("doc_id"), F.col("pos").alias("row"), F.posexplode(F.array(F.col("service_date").cast("string"), F.concat(F.lit(" "), F.replace("description", F.lit(" "), F.lit("   "))), F.col("quantity").cast("int").cast("string"), F.col("rate").cast("string"), F.col("amount").cast("string"))).alias("col", "text"))
-    head = i.select(F.col("bill_id").alias("doc_id")).distinct().select("doc_id", F.lit(0).alias("row"), F.posexplode(F.array(*map(F.lit, heads))).alias("col", "text"))
-    return S.cells_to_rows(cells.union(head))
+    texts = (F.col("service_date").cast("string"), F.concat(F.lit(" "), F.replace("description", F.lit(" "), F.lit("   "))), F.col("quantity").cast("int").cast("string"), F.col("rate").cast("string"), F.col("amount").cast("string"))
+    cell = lambda row, k, text: F.struct(row.alias("row"), F.lit(k).alias("col"), text.alias("text"))
+    # a bill's first line brings the headings, so cells stay dealt by bill
+    own = [cell(F.col("pos"), k, t) for k, t in enumerate(texts)]
+    head = [cell(F.lit(0), k, F.lit(t)) for k, t in enumerate(heads)]
+    cells = i.select(F.col("bill_id").alias("doc_id"), F.explode(F.when(F.col("pos") == 1, F.array(*head, *own)).otherwise(F.array(*own))).alias("c")).select("doc_id", "c.*")
+    return S.cells_to_rows(cells)
 
 
 def payable_status(spark, d):

@@ -133,10 +133,17 @@ def column_role(heading: Column) -> Column:
 
 
 def cells_to_rows(cells: DataFrame) -> DataFrame:
-    """Cells (doc_id, row, col, text) under a heading row 0 as rows with the columns of :data:`ROLES`."""
-    roles = cells.filter("row = 0").select("doc_id", "col", column_role(F.col("text")).alias("role")).filter("role IS NOT NULL")
-    j = cells.filter("row > 0").join(roles.hint("merge"), ["doc_id", "col"])
-    return j.groupBy("doc_id", "row").agg(*[F.max(F.when(F.col("role") == r, F.regexp_replace(F.trim("text"), r"\s+", " "))).alias(r) for r in ROLES])
+    """Cells (doc_id, row, col, text) under a heading row 0 as rows with the columns of :data:`ROLES`.
+
+    A window over each document tells its headings to its cells and leaves them in order of rows, so cells are sorted once and shuffled
+    once, or not at all if they come dealt by doc_id.
+    """
+    w = Window.partitionBy("doc_id").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    role = F.when(F.col("row") == 0, column_role(F.col("text")))
+    heads = F.collect_set(F.when(role.isNotNull(), F.struct("col", role.alias("role")))).over(w)
+    own = F.transform(F.filter("_heads", lambda h: h["col"] == F.col("col")), lambda h: h["role"])
+    told = cells.filter("doc_id IS NOT NULL").withColumn("_heads", heads).filter("row > 0").select("doc_id", "row", F.regexp_replace(F.trim("text"), r"\s+", " ").alias("text"), own.alias("_roles"))
+    return told.filter(F.size("_roles") > 0).groupBy("doc_id", "row").agg(*[F.max(F.when(F.array_contains("_roles", r), F.col("text"))).alias(r) for r in ROLES])
 
 
 def payable_status(text: Column) -> Column:

@@ -6,7 +6,10 @@ import json
 
 from pyspark.sql import functions as F
 
+from conftest import DATA
+
 from chargeaudit.functions import extract as E
+from chargeaudit.plans.sources import column_roles
 from chargeaudit.sources import files as S
 
 
@@ -41,6 +44,22 @@ def test_page_texts(spark):
     assert [tuple(r) for r in got] == [(1, 2, "a\nb", 3)]
 
 
+def test_cells_shuffled_once(spark):
+    """Headings told twice, by no column or in other documents, and cells under none; cells are shuffled once, and not at all if dealt by document."""
+    rows = [
+        (1, 0, 0, "Date"), (1, 0, 0, "Rate"), (1, 0, 1, "Item"), (1, 0, 2, "Notes"), (1, 0, None, "Amount"), (1, 1, 0, " 5 "), (1, 1, 1, None), (1, 1, None, "9"), (1, 2, 2, "x"), (1, None, 0, "y"), (1, -1, 0, "z"),
+        (2, 1, 0, "lost"), (3, 0, 0, "Qty"), (3, 0, 1, "units"), (3, 1, 0, "1"), (3, 1, 1, "2"), (3, 1, 1, "10"), (None, 0, 0, "Qty"), (None, 1, 0, "1"),
+    ]
+    cells = spark.createDataFrame(rows, "doc_id long, row int, col int, text string")
+    got = S.cells_to_rows(cells)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, "5", None, None, "5", None), (3, 1, None, None, "2", None, None)]
+    assert got.columns == ["doc_id", "row", "date", "description", "qty", "rate", "amount"]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan(S.cells_to_rows(cells)).count("Exchange") == 1
+    assert plan(S.cells_to_rows(cells.repartition(4, "doc_id"))).count("Exchange") == 1
+    assert plan(column_roles(spark, DATA)).count("Exchange hashpartitioning(l_orderkey") == 1 and "hashpartitioning(doc_id" not in plan(column_roles(spark, DATA))
+
+
 def test_columns_and_statuses(spark):
     cells = [(1, 0, i, t) for i, t in enumerate(["Particulars", "Amount (Rs)", "Remarks"])] + [(1, 1, 0, " Bed   day "), (1, 1, 1, "9"), (1, 1, 2, "x")]
     row = S.cells_to_rows(spark.createDataFrame(cells, "doc_id int, row int, col int, text string")).first()
