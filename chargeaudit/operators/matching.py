@@ -117,24 +117,33 @@ def best_of_texts(items: DataFrame, benchmarks: DataFrame, texts: tuple[str, ...
     return beside_best(items, benchmarks, texts, least).select("bill_id", "pos", "source", F.col("_near_text").alias("text"), F.col("matched").alias("name"), F.col("match_rate").alias("rate"), "similarity")
 
 
-def beside_best(items: DataFrame, benchmarks: DataFrame, texts: tuple[str, ...], least: float = 0.45, how: str = "inner") -> DataFrame:
-    """Lines with source, matched, match_rate and similarity of the best benchmark over several of their texts, which is found once for each different row of texts."""
-    found, same = _best_for(items, benchmarks, texts, least), F.lit(True)
-    for i, t in enumerate(texts):
-        same = same & items[t].eqNullSafe(found[f"_t{i}"])
+def beside_best(items: DataFrame, benchmarks: DataFrame, texts: tuple[str, ...], least: float = 0.45, how: str = "inner", keep: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Lines with source, matched, match_rate and similarity of the best benchmark over several of their texts, which is found once for each different row of texts.
+
+    ``keep``: a condition on the texts and the columns ``by``; lines that don't meet it are left out.  It is judged once for each different
+    row too: in every line, a long list of words makes code that the JVM does not compile.
+    """
+    cols = [*dict.fromkeys((*texts, *by))]
+    found, same = _best_for(items, benchmarks, texts, least, how, keep, cols), F.lit(True)
+    for i, c in enumerate(cols):
+        same = same & items[c].eqNullSafe(found[f"_t{i}"])
     told = [F.col("text").alias("_near_text"), F.col("name").alias("matched"), F.col("rate").alias("match_rate"), "source", "similarity"]
-    return _beside(items, found.select(*[f"_t{i}" for i in range(len(texts))], *told), same, how).drop(*[f"_t{i}" for i in range(len(texts))])
+    keys = [f"_t{i}" for i in range(len(cols))]
+    return _beside(items, found.select(*keys, *told), same).drop(*keys)
 
 
-def _best_for(items: DataFrame, benchmarks: DataFrame, texts: tuple[str, ...], least: float) -> DataFrame:
-    """For each different row of texts (_t0, _t1, ...) the best benchmark, the text and its place; written."""
-    keys = [f"_t{i}" for i in range(len(texts))]
-    rows = items.select(*[F.col(t).alias(k) for t, k in zip(texts, keys, strict=True)]).distinct()
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("source"), F.col(k).alias("text")) for i, k in enumerate(keys)]))
-    asked = rows.select(*keys, each.alias("x")).select(*keys, "x.*").filter("text IS NOT NULL")
+def _best_for(items: DataFrame, benchmarks: DataFrame, texts: tuple[str, ...], least: float, how: str, keep: Column | None, cols: list[str]) -> DataFrame:
+    """For each different row of ``cols`` (_t0, _t1, ...; the texts come first) the best benchmark, the text and its place; written.  Rows without one keep nulls if ``how`` is left."""
+    told = stored(items.select(*cols).distinct(), "texts")
+    keys = [f"_t{i}" for i in range(len(cols))]
+    rows = (told if keep is None else told.filter(keep)).select(*[F.col(c).alias(k) for c, k in zip(cols, keys, strict=True)])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("source"), F.col(k).alias("text")) for i, k in enumerate(keys[: len(texts)])]))
+    asked = rows.select(*keys, each.alias("x")).select(*keys, "x.*")
     near = text_matches(asked, benchmarks.filter("rate > 0"), 1, least, ("rate",)).drop("rank")
-    w = Window.partitionBy(*keys).orderBy(F.desc("similarity"), "source")
-    return stored(asked.join(near.hint("merge"), "text").select("*", F.row_number().over(w).alias("_turn")).filter("_turn = 1").drop("_turn"), "texts")
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("similarity"), "source")
+    best = asked.join(near.hint("merge"), "text", how).select("*", F.row_number().over(w).alias("_turn")).filter("_turn = 1").drop("_turn")
+    found = F.col("name").isNotNull()
+    return stored(best.withColumns({c: F.when(found, F.col(c)) for c in ("source", "text")}), "texts")
 
 
 def with_synonym(text: Column, also: Column, synonyms: dict[str, str] = rules.SYNONYMS) -> Column:
@@ -153,8 +162,8 @@ def synonym_overcharges(items: DataFrame, benchmarks: DataFrame, also: str, syno
 
 
 def evidence(*lines: Column) -> Column:
-    """The lines that say something, in order."""
-    return F.filter(F.array_compact(F.array(*lines)), lambda x: F.trim(x) != "")
+    """The lines that say something, in order; without a lambda, so that what they are made of is compiled."""
+    return F.array_remove(F.array(*[F.when(F.trim(x) != "", x).otherwise("") for x in lines]), "")
 
 
 def numbered(issues: DataFrame, prefix: str, key: str = "bill_id", order: tuple[str, ...] = ("pos",)) -> DataFrame:

@@ -26,7 +26,7 @@ def rupees(label: str, amount: Column) -> Column:
     return F.concat(F.lit(f"{label}: ₹"), F.format_number(amount, 2))
 
 
-def priced(lines: DataFrame, kind: str, confidence: str | Column = "high") -> DataFrame:
+def priced(lines: DataFrame, kind: str | Column, confidence: str | Column = "high") -> DataFrame:
     """Issues of lines with matched, match_rate, similarity and, where there is more to say, note."""
     note = F.col("note") if "note" in lines.columns else F.lit(None).cast("string")
     said = M.evidence(rupees("Benchmark", F.col("match_rate")), rupees("Billed", F.col("amount")), F.concat(F.lit("Matched entry: "), F.col("matched")), note)
@@ -97,15 +97,16 @@ def lab_rates(items: DataFrame, benchmarks: DataFrame | None, texts: tuple[str,
     """
     if benchmarks is None:
         return priced(M.code_or_text(items, None).limit(0), "procedure_overcharge")
-    tests = items.filter((F.trim("description") != "") & (F.col("amount") > 0) & ~any_keyword(F.col("description"), consumables))
-    both = M.beside_best(tests, benchmarks, texts, how="left").select(*tests.columns, "matched", "match_rate", "similarity")
+    test = (F.trim("description") != "") & ~any_keyword(F.col("description"), consumables)
+    both = M.beside_best(items.filter("amount > 0"), benchmarks, texts, how="left", keep=test, by=("description",)).select(*items.columns, "matched", "match_rate", "similarity")
     level = F.lit("low")
     for least, name in reversed(steps):
         level = F.when(F.col("similarity") >= least, name).otherwise(level)
     level = F.when((level == "high") & (F.col("amount") > F.col("match_rate") * F.lit(Decimal(suspicious))), "medium").otherwise(level)
-    over = both.filter(F.col("amount") > F.col("match_rate") * D.num(tolerance)).withColumn("note", F.when(level != "high", "To be verified before it is disputed"))
-    review = both.filter("matched IS NULL").withColumn("note", F.lit("No reliable benchmark"))
-    return priced(over, "procedure_overcharge", level).unionByName(priced(review, "missing_itemization", "low"))
+    unknown = F.col("matched").isNull()
+    shown = both.filter(unknown | (F.col("amount") > F.col("match_rate") * D.num(tolerance)))
+    said = shown.withColumn("note", F.when(unknown, "No reliable benchmark").when(level != "high", "To be verified before it is disputed"))
+    return priced(said, F.when(unknown, "missing_itemization").otherwise("procedure_overcharge"), level)
 
 
 def unpriced_results(bills: DataFrame, items: DataFrame) -> DataFrame:

@@ -7,7 +7,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import DATA
+
+from chargeaudit.operators import matching as M
 from chargeaudit.operators import pricing as P
+from chargeaudit.plans import pricing as plans
 
 LINE = "bill_id long, pos int, description string, amount decimal(12,2), code long"
 PRICE = "name string, rate decimal(12,2)"
@@ -55,3 +59,28 @@ def test_without_prices_or_lines(spark, prices, check):
     assert check(i, None).count() == 0 and check(i, None).columns == with_prices.columns
     assert check(i.limit(0), prices).count() == 0
     assert check(i, prices.limit(0)).filter("benchmark IS NOT NULL").count() == 0
+
+
+def test_labs_judge_texts_and_not_lines(spark):
+    """Words are looked for in each different text, lines are read in one branch, and what runs over them is small enough for the JVM to compile (8000 bytes)."""
+    b = spark.createDataFrame([("complete blood count", Decimal(100)), ("urea", Decimal(100))], PRICE)
+    i = lines(spark, ("cbc", 151), ("syringe", 900), (None, 900), (" ", 900), ("mystery", 10), ("mystery", None), ("cbc", 150), ("cbc", 151))
+    i = i.withColumn("expanded", F.when(F.col("description") != "mystery", "complete blood count"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = P.lab_rates(i, b, ("expanded",))
+        plan = out._jdf.queryExecution().executedPlan()
+        assert "syringe" not in plan.toString() and "Union" not in plan.toString()
+        made = getattr(getattr(spark._jvm, "org.apache.spark.sql.execution.debug.package$"), "MODULE$").codegenStringSeq(plans.lab_rates(spark, DATA)._jdf.queryExecution().executedPlan())
+        assert 0 < max(made.apply(n)._3().maxMethodCodeSize() for n in range(made.size())) < 8000
+        got = found(out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == {1: ("complete blood count", "high"), 5: (None, "low"), 8: ("complete blood count", "high")}
+    assert [list(r.evidence) for r in out.sort("pos").collect()][:2] == [["Benchmark: ₹100.00", "Billed: ₹151.00", "Matched entry: complete blood count"], ["Billed: ₹10.00", "No reliable benchmark"]]
+
+
+def test_evidence_leaves_out_what_says_nothing(spark):
+    rows = spark.createDataFrame([("a", None, " "), (None, None, ""), (" a ", "b", "a")], "x string, y string, z string")
+    assert [r.e for r in rows.select(M.evidence(F.col("x"), F.col("y"), F.col("z")).alias("e")).collect()] == [["a"], [], [" a ", "b", "a"]]
